@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import load
+from .mixing import mix_report
 from .quality import quality_rules
 
 
@@ -13,7 +14,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(load(spark, sf_dir, "documents")).drop("times")
+
+
 QUERIES = {
+    "op5_mix_sources": op5_mix_sources,
     "op9_quality_rules": op9_quality_rules,
 }
 
