@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import load
+from .common import crc_of_id, load
+from .language import identify
 from .mixing import mix_report
 from .quality import quality_rules
 
@@ -14,11 +16,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_of_id() % 4 == 2
+    return identify(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(load(spark, sf_dir, "documents")).drop("times")
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op5_mix_sources": op5_mix_sources,
     "op9_quality_rules": op9_quality_rules,
 }
