@@ -9,6 +9,7 @@ from .common import crc_of_id, load
 from .language import identify
 from .mixing import mix_report
 from .quality import quality_rules
+from .simhash import fingerprint_text, near_duplicates
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,12 +23,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", fingerprint_text().alias("fingerprint"), "component_id")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(load(spark, sf_dir, "documents")).drop("times")
 
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op9_quality_rules": op9_quality_rules,
 }
