@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from .common import crc_of_id, load
 from .language import identify
 from .mixing import mix_report
+from .packing import pack
 from .quality import quality_rules
 from .simhash import fingerprint_text, near_duplicates
 
 
+def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(load(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(load(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -36,6 +41,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_mix_sources": op5_mix_sources,
+    "op8_pack_sequences": op8_pack_sequences,
     "op9_quality_rules": op9_quality_rules,
 }
 

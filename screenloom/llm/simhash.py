@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_ASCII, materialise
@@ -116,5 +116,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(found, "fp").select(id_col, "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs of each group, with its columns: that of the smallest id. Rows that repeat
+    an id count as one document; rows without an id stay only where their whole group has none."""
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    found = near_duplicates(docs, id_col, text_col)
+    stay = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
+    kept = docs.withColumn("_key", key).join(stay, "_key", "left_semi")
+    first = Window.partitionBy("_key").orderBy(F.xxhash64(text_col))
+    return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
+
+
 def fingerprint_text(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
