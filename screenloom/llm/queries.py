@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id, load
 from .language import identify
+from .licenses import labels_of, scan
 from .mixing import mix_report
 from .packing import pack
 from .quality import quality_rules
@@ -33,6 +34,22 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fingerprint_text().alias("fingerprint"), "component_id")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(load(spark, sf_dir, "documents"))
+    base = F.transform(F.filter("places", lambda p: p["whole"]), lambda p: p["first_word"])
+    score = F.coalesce(F.array_max(F.transform("places", lambda p: p["cover"])), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(base).alias("first_word"),
+        F.array_max(base).alias("last_word"),
+        labels_of("places", whole_only=True).alias("base_labels"),
+        labels_of("places").alias("labels"),
+        score.alias("score"),
+    )
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(load(spark, sf_dir, "documents")).drop("times")
 
@@ -40,6 +57,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_license_scan": op3_license_scan,
     "op5_mix_sources": op5_mix_sources,
     "op8_pack_sequences": op8_pack_sequences,
     "op9_quality_rules": op9_quality_rules,
