@@ -75,11 +75,13 @@ def ball(bits: tuple[int, ...], radius: int) -> list[int]:
     return [signed(sum(1 << b for b in some)) for r in range(radius + 1) for some in combinations(bits, r)]
 
 
-def variants(fps: DataFrame, kept: tuple[int, ...], radius: int) -> DataFrame:
-    """(fp, variant): every variant within the radius, over the kept bits alone."""
-    masks = F.array(*(F.lit(m).cast("long") for m in ball(kept, radius)))
-    rest = F.col("fp").bitwiseAND(F.lit(signed(sum(1 << b for b in kept))).cast("long"))
-    return fps.withColumn("_rest", rest).select("fp", F.explode(masks).alias("_mask"), "_rest").select("fp", F.col("_rest").bitwiseXOR(F.col("_mask")).alias("variant"))
+def restricted(fp: str, kept: tuple[int, ...]) -> Column:
+    return F.col(fp).bitwiseAND(F.lit(signed(sum(1 << b for b in kept))).cast("long"))
+
+
+def around(column: str, bits: tuple[int, ...], radius: int) -> Column:
+    """One row for each value within the radius of the column's, over these bits."""
+    return F.explode(F.transform(F.array(*(F.lit(m).cast("long") for m in ball(bits, radius))), lambda m: m.bitwiseXOR(F.col(column))))
 
 
 def apart(a: str, b: str) -> Column:
@@ -88,17 +90,18 @@ def apart(a: str, b: str) -> Column:
 
 def links(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) to links (a, b) that join up all of their components."""
-    parts = []
-    for left_out in range(3):
-        kept = tuple(b for k, t in enumerate(THIRDS) if k != left_out for b in t)
-        parts.append(variants(fps, kept, RADIUS // 4).withColumn("part", F.lit(left_out)))
-    emitted = parts[0].union(parts[1]).union(parts[2])
-    met = emitted.groupBy("part", "variant").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
-    met = materialise(met, "met")
+    kept = [tuple(b for k, t in enumerate(THIRDS) if k != out for b in t) for out in range(3)]
+    each = [fps.select("fp", F.lit(k).alias("part"), restricted("fp", bits).alias("rest")) for k, bits in enumerate(kept)]
+    emitted = [e.select("fp", "part", around("rest", bits, RADIUS // 4).alias("variant")) for e, bits in zip(each, kept, strict=True)]
+    met = emitted[0].union(emitted[1]).union(emitted[2]).groupBy("part", "variant")
+    met = materialise(met.agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "met")
     pairs = met.filter("n = 2").select("a", "b").distinct().filter(apart("a", "b") <= RADIUS)
-    crowded = met.filter("n > 2").select("part", "variant")
-    dense = materialise(emitted.join(crowded, ["part", "variant"], "left_semi").select("fp").distinct(), "dense")
-    full = variants(dense, tuple(range(64)), RADIUS // 2)
+    # who met in a crowd: the balls around the crowded variants lead back to the fingerprints
+    crowds = met.filter("n > 2")
+    back = [crowds.filter(F.col("part") == k).select("part", around("variant", bits, RADIUS // 4).alias("rest")) for k, bits in enumerate(kept)]
+    back = back[0].union(back[1]).union(back[2]).distinct()
+    dense = each[0].union(each[1]).union(each[2]).join(back, ["part", "rest"], "left_semi").select("fp").distinct()
+    full = materialise(dense, "dense").select("fp", around("fp", tuple(range(64)), RADIUS // 2).alias("variant"))
     # at most 2,081 fingerprints can meet at a variant of 64 bits, so the lists are bounded
     stars = full.groupBy("variant").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     stars = stars.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).filter("a <> b").distinct()
