@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_ASCII
+from .hashing import Stretches, gram_hashes, runs_of
 
 
 @dataclass(frozen=True)
@@ -61,38 +62,14 @@ PASSAGES = (
 K, SLACK, LEAST_COVER, MAX_GRAMS = 2, 3, 0.8, 100_000
 #: A text's row that tells its words, among its grams.
 COUNT_ROW = -1
-BASE = np.uint64(0x9E3779B97F4A7C15)
-UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 IS_WORD = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
-
 def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and hash of each word of lower-cased bytes."""
-    raw = np.frombuffer(data, np.uint8)
-    edges = np.diff(np.concatenate(([False], IS_WORD[raw], [False])).astype(np.int8))
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    power = np.full(len(raw) + 1, BASE)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)))
-    inverse = np.full(len(raw) + 1, UNBASE)
-    inverse[0] = 1
-    np.multiply.accumulate(inverse, out=inverse)
-    return starts, ends, mixed((sums[ends] - sums[starts]) * inverse[starts])
-
-
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """The hash of each k words in a row."""
-    n = max(len(words) - k + 1, 0)
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out = mixed(out * BASE + words[j : j + n])
-    return out.view(np.int64)
+    text = Stretches(data)
+    starts, ends = runs_of(IS_WORD[text.raw])
+    return starts, ends, text.hashes(starts, ends)
 
 
 def template_grams(templates: tuple[Template, ...], k: int) -> list[tuple[int, str, int, int]]:

@@ -9,9 +9,16 @@ from .common import crc_of_id, load
 from .language import identify
 from .licenses import labels_of, scan
 from .mixing import mix_report
+from .neighbours import nearest
 from .packing import pack
 from .quality import quality_rules
 from .simhash import fingerprint_text, near_duplicates
+from .urls import ALLOW, BLOCK, Rule, judge_urls
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "embeddings")
+    return nearest(rows.filter(F.col("vec_id") % 20 == 0), rows, 20)
 
 
 def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +57,19 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = (
+    Rule(ALLOW, "org", "/"),
+    Rule(BLOCK, "example.org", "/es/"),
+    Rule(BLOCK, "example.org", "/en/1"),
+    Rule(ALLOW, "com", "/fr/"),
+    Rule(BLOCK, "com", "/de/"),
+)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(load(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(load(spark, sf_dir, "documents")).drop("times")
 
@@ -58,7 +78,9 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_license_scan": op3_license_scan,
+    "op4_url_filter": op4_url_filter,
     "op5_mix_sources": op5_mix_sources,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_pack_sequences": op8_pack_sequences,
     "op9_quality_rules": op9_quality_rules,
 }
@@ -103,6 +125,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few
 FROM fails
 """
 
+_OP7 = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 20
+"""
+
 ORACLE_SQL = {
+    "op7_nearest_neighbours": _OP7,
     "op9_quality_rules": _OP9,
 }
