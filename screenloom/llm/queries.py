@@ -12,6 +12,7 @@ from .mixing import mix_report
 from .neighbours import nearest
 from .packing import pack
 from .quality import quality_rules
+from .scoring import lm_scores
 from .simhash import fingerprint_text, near_duplicates
 from .urls import ALLOW, BLOCK, Rule, judge_urls
 
@@ -57,6 +58,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_scores(load(spark, sf_dir, "documents"), crc_of_id() % 10 != 0)
+    return found.select("doc_id", (~F.col("teaches")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 URL_RULES = (
     Rule(ALLOW, "org", "/"),
     Rule(BLOCK, "example.org", "/es/"),
@@ -83,6 +89,7 @@ QUERIES = {
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_pack_sequences": op8_pack_sequences,
     "op9_quality_rules": op9_quality_rules,
+    "op10_lm_score": op10_lm_score,
 }
 
 _OP9 = r"""
