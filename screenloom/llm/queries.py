@@ -13,10 +13,17 @@ from .neighbours import nearest
 from .packing import pack
 from .quality import quality_rules
 from .scoring import lm_scores
+from .shards import write_shards
 from .simhash import fingerprint_text, near_duplicates
 from .urls import ALLOW, BLOCK, Rule, judge_urls
 
 
+def op6_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = write_shards(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    part = lambda name: F.transform("parts", lambda p: p[name]).alias(f"{name}s" if name != "length" else "lengths")
+    return found.select("slot", "shard", "byte_offset", "n_ids", "ids_crc32", part("doc_id"), part("start"), part("length"))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "embeddings")
     return nearest(rows.filter(F.col("vec_id") % 20 == 0), rows, 20)
@@ -86,6 +93,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_url_filter": op4_url_filter,
     "op5_mix_sources": op5_mix_sources,
+    "op6_training_shards": op6_training_shards,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_pack_sequences": op8_pack_sequences,
     "op9_quality_rules": op9_quality_rules,
