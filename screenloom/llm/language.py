@@ -113,14 +113,17 @@ def build_model(texts: dict[str, list[np.ndarray]]) -> Model | None:
     tables, starts, at = [], [], 0
     for text in joined.values():
         arcs = suffix_automaton(codes[text].tolist())
-        steps = np.full((len(arcs), width), -1, np.int64)
+        unknown = len(arcs)  # the state after a symbol that the text lacks: a phrase by itself
+        steps = np.full((len(arcs) + 1, width), -1, np.int64)
         for state, out in enumerate(arcs):
             steps[state, list(out)] = list(out.values())
-        first = np.where(steps[0] >= 0, steps[0], 0)  # a phrase ends: the next begins with this symbol
-        steps = np.where(steps >= 0, (steps + at) * width, ((first + at) * width + (1 << bit))[None, :])
+        first = np.where(steps[0] >= 0, steps[0], unknown)
+        starts_phrase = (first + at) * width + (1 << bit)  # a phrase ends, and the next begins with this symbol
+        steps = np.where(steps >= 0, (steps + at) * width, starts_phrase[None, :])
+        steps[0] = (first + at) * width
         tables.append(steps.astype(kind))
         starts.append(at * width)
-        at += len(arcs)
+        at += len(arcs) + 1
     return Model(list(joined), np.array(starts, kind), np.log2([len(t) + 1 for t in joined.values()]), np.concatenate(tables).ravel(), width, codes, bit)
 
 
