@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from screenloom.plans import scoring_plans
+
+QUERIES: dict = {**scoring_plans.QUERIES}
+ORACLE_SQL: dict[str, str] = {**scoring_plans.ORACLE_SQL}
