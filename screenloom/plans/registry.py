@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from screenloom.plans import scoring_plans
+from screenloom.plans import profile_plans, scoring_plans, text_plans
 
-QUERIES: dict = {**scoring_plans.QUERIES}
-ORACLE_SQL: dict[str, str] = {**scoring_plans.ORACLE_SQL}
+PLANS = (scoring_plans, profile_plans, text_plans)
+QUERIES: dict = {k: v for p in PLANS for k, v in p.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for p in PLANS for k, v in p.ORACLE_SQL.items()}
