@@ -13,7 +13,7 @@ pairs are made within a group. Equal fingerprints are one node throughout. All l
 
 Defined results: null, empty or blank text has no word and fingerprint zero, and links like any
 other; repeated rows and null ids are documents like others, and a component's id is its smallest
-id that isn't null; an empty table gives no rows; columns other than the id and the text are
+id that isn't null (null if it has none); an empty table gives no rows; columns other than the id and the text are
 ignored.
 """
 
@@ -55,15 +55,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp) with the fingerprint's bits as a signed long."""
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    """(id, key, fp) with the fingerprint's bits as a signed long; the key is the id as text, or of
+    the text where the id is null."""
+    rows = docs.select(F.col(id_col), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], [id_col, "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], [id_col, "key", "fp"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, key string, fp long")
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("#"), F.xxhash64(text_col).cast("string")))
 
 
 def signed(mask: int) -> int:
@@ -93,41 +98,52 @@ def links(fps: DataFrame) -> DataFrame:
     kept = [tuple(b for k, t in enumerate(THIRDS) if k != out for b in t) for out in range(3)]
     each = [fps.select("fp", F.lit(k).alias("part"), restricted("fp", bits).alias("rest")) for k, bits in enumerate(kept)]
     emitted = [e.select("fp", "part", around("rest", bits, RADIUS // 4).alias("variant")) for e, bits in zip(each, kept, strict=True)]
-    met = emitted[0].union(emitted[1]).union(emitted[2]).groupBy("part", "variant")
+    # few variants repeat within a task, so they are dealt out as they are, not summed up before
+    met = emitted[0].union(emitted[1]).union(emitted[2]).repartition("part", "variant").groupBy("part", "variant")
     met = materialise(met.agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "met")
     pairs = met.filter("n = 2").select("a", "b").distinct().filter(apart("a", "b") <= RADIUS)
     # who met in a crowd: the balls around the crowded variants lead back to the fingerprints
-    crowds = met.filter("n > 2")
-    back = [crowds.filter(F.col("part") == k).select("part", around("variant", bits, RADIUS // 4).alias("rest")) for k, bits in enumerate(kept)]
-    back = back[0].union(back[1]).union(back[2]).distinct()
+    # (dealt out anew before each explosion, since crowds lie in a few of the written files)
+    crowds = met.filter("n > 2").select("part", "variant").repartition("part", "variant")
+    masks = [F.array(*(F.lit(m).cast("long") for m in ball(bits, RADIUS // 4))) for bits in kept]
+    masks = F.when(F.col("part") == 0, masks[0]).when(F.col("part") == 1, masks[1]).otherwise(masks[2])
+    back = crowds.select("part", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("variant")))).alias("rest")).distinct()
     dense = each[0].union(each[1]).union(each[2]).join(back, ["part", "rest"], "left_semi").select("fp").distinct()
-    full = materialise(dense, "dense").select("fp", around("fp", tuple(range(64)), RADIUS // 2).alias("variant"))
+    full = materialise(dense, "dense").repartition("fp").select("fp", around("fp", tuple(range(64)), RADIUS // 2).alias("variant"))
     # at most 2,081 fingerprints can meet at a variant of 64 bits, so the lists are bounded
     stars = full.groupBy("variant").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     stars = stars.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).filter("a <> b").distinct()
     return pairs.union(stars)
 
 
+def grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs as (id, key, fp), and (fp, root) for every fingerprint."""
+    rows = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
+    nodes = materialise(rows.select("fp").distinct(), "nodes")
+    roots = components(links(nodes)).withColumnRenamed("node", "fp")
+    return rows, nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) for every row of docs."""
-    rows = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = materialise(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.join(least, "root").select("fp", "component_id")
+    rows, roots = grouped(docs, id_col, text_col)
+    # least ids by fingerprint first, then by component, so that many copies are one row
+    least = rows.groupBy("fp").agg(F.min(id_col).alias("_least")).join(roots, "fp")
+    by_root = least.groupBy("root").agg(F.min("_least").alias("component_id"))
+    found = roots.join(by_root, "root").select("fp", "component_id")
     return rows.join(found, "fp").select(id_col, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs of each group, with its columns: that of the smallest id. Rows that repeat
-    an id count as one document; rows without an id stay only where their whole group has none."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    found = near_duplicates(docs, id_col, text_col)
-    stay = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
-    kept = docs.withColumn("_key", key).join(stay, "_key", "left_semi")
-    first = Window.partitionBy("_key").orderBy(F.xxhash64(text_col))
-    return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
+    an id count as one document; rows without an id go by their text, and come last."""
+    rows, roots = grouped(docs, id_col, text_col)
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "key"))
+    least = rows.groupBy("fp").agg(first.alias("_first")).join(roots, "fp")
+    stay = least.groupBy("root").agg(F.min("_first").alias("_first")).select(F.col("_first.key").alias("_key")).distinct()
+    kept = docs.withColumn("_key", row_key(id_col, text_col)).join(stay, "_key", "left_semi")
+    same = Window.partitionBy("_key").orderBy(F.xxhash64(text_col))
+    return kept.withColumn("_n", F.row_number().over(same)).filter("_n = 1").select(*docs.columns)
 
 
 def fingerprint_text(fp: str = "fp") -> Column:
