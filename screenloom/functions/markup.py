@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import INLINE_SPACE, fold_space, trimmed
 
@@ -22,7 +23,7 @@ def decode_entity(found: re.Match) -> str:
     return chr(point) if 0 < point <= 0x10FFFF and not 0xD800 <= point <= 0xDFFF else found[0]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_entities(texts: pd.Series) -> pd.Series:
     """Named and numeric entities, in one pass: what a pass gives isn't decoded again."""
     return texts.map(lambda t: ENTITY.sub(decode_entity, t), na_action="ignore")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from screenloom.plans import profile_plans, scoring_plans, text_plans
+from screenloom.plans import profile_plans, scoring_plans, stream_plans, text_plans
 
-PLANS = (scoring_plans, profile_plans, text_plans)
+PLANS = (scoring_plans, profile_plans, text_plans, stream_plans)
 QUERIES: dict = {k: v for p in PLANS for k, v in p.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for p in PLANS for k, v in p.ORACLE_SQL.items()}
