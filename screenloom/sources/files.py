@@ -29,7 +29,8 @@ CONTROL = re.compile(rb"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """path, byte_size, sha256 and content of the files below a path of any store Spark reads."""
+    """path, byte_size, sha256 and content of the files below a path of any store Spark reads.
+    (Its reader passes over files of no bytes.)"""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     return rows.select("path", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256"), "content")
 
