@@ -39,6 +39,8 @@ from .tokens import END, encoder
 
 LENGTH, SHARD_SIZE, KEY = 2048, 4096, "training-order"
 ROUNDS = 6
+#: Texts, and characters of each, by which the codec ranks ids.
+SAMPLE_TEXTS, SAMPLE_CHARS = 400, 4000
 
 
 def permuted(numbers: np.ndarray, n: int, key: str = KEY) -> np.ndarray:
@@ -56,16 +58,43 @@ def permuted(numbers: np.ndarray, n: int, key: str = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, id_col: str, text_col: str, length: int, tokenizer: str | None) -> DataFrame:
+class Codec:
+    """How ids are held between the steps: as ranks by frequency, byte plane by byte plane, squeezed.
+    The ranks come from a small sample of texts; they change how small ids get, and nothing else."""
+
+    def __init__(self, vocabulary: int, sample: list[np.ndarray]) -> None:
+        self.kind = "<u4" if vocabulary > 1 << 16 else "<u2"
+        uses = np.bincount(np.concatenate([np.zeros(0, np.int64), *sample]), minlength=vocabulary)
+        self.by_rank = np.argsort(-uses, kind="stable").astype(self.kind)
+        self.rank = np.empty_like(self.by_rank)
+        self.rank[self.by_rank] = np.arange(len(self.by_rank))
+
+    def pack(self, ids: np.ndarray) -> bytes:
+        width = np.dtype(self.kind).itemsize
+        return zstandard.ZstdCompressor(level=3).compress(self.rank[ids].view(np.uint8).reshape(-1, width).T.tobytes())
+
+    def unpack(self, data: bytes) -> np.ndarray:
+        width = np.dtype(self.kind).itemsize
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+        return self.by_rank[np.ascontiguousarray(planes.T).view(self.kind)[:, 0]]
+
+
+def fit_codec(docs: DataFrame, text_col: str, tokenizer: str | None) -> Codec:
+    rows = docs.select(F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS)).limit(SAMPLE_TEXTS).collect()
+    encode = encoder(tokenizer)
+    return Codec(encode.whole.get_vocab_size(), [encode.ids(r[0]).astype(np.int64) for r in rows])
+
+
+def sequences(docs: DataFrame, id_col: str, text_col: str, length: int, tokenizer: str | None, codec: Codec) -> DataFrame:
     """(place, row, n_ids, ids_crc32, ids, parts): sequences with their number in their task; ids are
-    compressed, and parts tells which ids of which documents they are."""
+    packed by the codec, and parts tells which ids of which documents they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(codec)
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, squeeze = encoder(tokenizer).ids, zstandard.ZstdCompressor(level=1).compress
+        encode, codec = encoder(tokenizer).ids, sent.value
         place, row = TaskContext.get().partitionId(), 0
-        wide = encoder(tokenizer).whole.get_vocab_size() > 1 << 16
         held: list[np.ndarray] = []
         parts: list[dict] = []
         room = length
@@ -73,8 +102,7 @@ def sequences(docs: DataFrame, id_col: str, text_col: str, length: int, tokenize
         def full() -> list:
             nonlocal row, room
             ids = np.concatenate(held)
-            data = ids.astype("<u4" if wide else "<u2").tobytes()
-            out = [place, row, len(ids), zlib.crc32(ids.tobytes()), squeeze(data), list(parts)]
+            out = [place, row, len(ids), zlib.crc32(ids.tobytes()), codec.pack(ids), list(parts)]
             held.clear()
             parts.clear()
             row, room = row + 1, length
@@ -119,7 +147,8 @@ def write_shards(
     sequence: slot, shard, byte_offset, n_ids, ids_crc32, parts, path."""
     spark = docs.sparkSession
     at = work_path(spark, "sequences")
-    made = sequences(docs, id_col, text_col, length, tokenizer)
+    codec = fit_codec(docs, text_col, tokenizer)
+    made = sequences(docs, id_col, text_col, length, tokenizer, codec)
     made.write.option("compression", "none").parquet(at)
     made = spark.read.schema(made.schema).parquet(at)
     sizes = {r["place"]: r["n"] for r in made.groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect()}  # one number an input task
@@ -138,14 +167,13 @@ def write_shards(
     dealt = made.mapInArrow(slots, f"slot long, shard int, {fields}")
     shards = max(1, -(-total // shard_size))
     dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    sent = spark.sparkContext.broadcast(codec)
     target = (out_dir or work_path(spark, "shards")).rstrip("/")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pyarrow.fs.FileSystem.from_uri(target)
         store.create_dir(root, recursive=True)
-        unpack = zstandard.ZstdDecompressor().decompress
-        wide = encoder(tokenizer).whole.get_vocab_size() > 1 << 16
-        kind = "<u4" if wide else "<u2"
+        unpack, kind = sent.value.unpack, sent.value.kind
         stride = length * np.dtype(kind).itemsize
         out, name, whole = None, "", ""
 
@@ -166,7 +194,7 @@ def write_shards(
                     out = None if resume and store.get_file_info(whole).size == due else store.open_output_stream(name)
                 if out is not None:
                     ids = unpack(data.as_py())
-                    out.write(ids + np.full((stride - len(ids)) // np.dtype(kind).itemsize, END, kind).tobytes())
+                    out.write(np.concatenate((ids, np.full(length - len(ids), END, kind))).tobytes())
                 paths.append(whole)
             slot = batch.column(0).to_numpy()
             offset = (slot % shard_size) * stride
