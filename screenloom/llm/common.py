@@ -36,6 +36,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: So many rows of a few hundred bytes are sent to every task; more are joined by a shuffle.
+BROADCAST_ROWS = 50_000
+
+
+def few(small: DataFrame) -> DataFrame:
+    """small, marked for a broadcast if it has few rows."""
+    return F.broadcast(small) if len(small.take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS else small
+
+
+#: Rows in an Arrow batch of texts. Spark's 10,000 would be tens of MB, several times over in each task.
+BATCH_ROWS = 1000
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches cut to BATCH_ROWS unless it has its own setting."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     """crc32 of the id as text; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -13,23 +16,51 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Texts are hashed together up to about so many bytes, for which the powers are kept.
+PART = 1 << 20
+
+
+def powers_of(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base)
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
+
+
+@lru_cache(2)
+def kept_powers(base: int) -> np.ndarray:
+    return powers_of(np.uint64(base), 2 * PART)
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    return kept_powers(int(base))[:n] if n <= 2 * PART else powers_of(base, n)
+
+
 class Stretches:
     """Hashes of data[a:b] for any a and b, after one pass over the data."""
 
     def __init__(self, data: bytes) -> None:
         self.raw = np.frombuffer(data, np.uint8)
-        power = np.full(len(data) + 1, BASE)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)))
-        self.inverse = np.full(len(data) + 1, UNBASE)
-        self.inverse[0] = 1
-        np.multiply.accumulate(self.inverse, out=self.inverse)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((self.raw + np.uint64(1)) * powers(BASE, len(data) + 1)[:-1], out=self.sums[1:])
+        self.inverse = powers(UNBASE, len(data) + 1)
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
 
 
+def parts(texts: list[str | None], most: int = PART) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many characters in all; a longer text is a range by itself."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        n = len(t or "") + 1
+        if k > start and size + n > most:
+            yield start, k
+            start, size = k, 0
+        size += n
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def runs_of(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true marks."""
     edges = np.diff(np.concatenate(([False], marks, [False])).astype(np.int8))

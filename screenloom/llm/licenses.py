@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII
-from .hashing import Stretches, gram_hashes, runs_of
+from .common import LOWER_ASCII, in_batches
+from .hashing import Stretches, gram_hashes, parts, runs_of
 
 
 @dataclass(frozen=True)
@@ -98,8 +98,8 @@ def rolling_grams(docs: DataFrame, id_col: str, text_col: str, k: int, sought: l
         doc = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = [(t.as_py() or "").encode("utf-8", "surrogatepass").translate(LOWER_ASCII) for t in batch.column(1)]
-            for lo in range(0, len(texts), 512):
-                part = texts[lo : lo + 512]
+            for lo, hi in parts(texts):
+                part = texts[lo:hi]
                 data = b"\n".join(part)
                 begins = np.cumsum([0, *(len(t) + 1 for t in part)])
                 starts, ends, hashes = word_spans(data)
@@ -129,7 +129,7 @@ def rolling_grams(docs: DataFrame, id_col: str, text_col: str, k: int, sought: l
                 )
             doc += len(texts)
 
-    return rows.mapInArrow(run, f"doc long, id {rows.schema[id_col].dataType.simpleString()}, pos long, gram long, words string")
+    return in_batches(rows).mapInArrow(run, f"doc long, id {rows.schema[id_col].dataType.simpleString()}, pos long, gram long, words string")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = PHRASES + PASSAGES, k: int = K, slack: int = SLACK, least_cover: float = LEAST_COVER) -> DataFrame:
