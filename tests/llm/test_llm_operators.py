@@ -196,7 +196,7 @@ def test_links_join_up_planted_balls(spark):
 
 
 def test_keep_one_of_each_group(docs):
-    kept = simhash.keep_one(docs)
+    kept = simhash.keep_one(docs, views=0)
     assert kept.columns == docs.columns
     rows = kept.collect()
     all_rows = odd_rows()
@@ -208,6 +208,19 @@ def test_keep_one_of_each_group(docs):
         assert r.doc_id is not None or all(x[0] is None for x, root in zip(all_rows, roots, strict=True) if root == of[None, r.text])
 
 
+def test_views_add_similar_texts_only(spark):
+    r = random.Random(8)
+    base = [["w%05d" % r.randrange(10**5) for _ in range(150)] for _ in range(30)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(base)]
+    near, far = list(base[4]), list(base[5])
+    near[70] = near[71] = "another"
+    for k in range(0, 150, 12):
+        far[k] = "elsewhere"
+    rows += [(100, " ".join(near)), (101, " ".join(far)), (102, rows[6][1])]
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), views=6).collect()}
+    assert kept == {*range(30), 101}
+
+
 # licenses
 
 
