@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_batches
+
 #: Labelled text for a language: so many different texts, of each so many characters (the bound of
 #: the sample; an automaton has at most two states a character).
 SAMPLE_TEXTS, SAMPLE_CHARS = 60, 600
@@ -214,7 +216,7 @@ def with_language(docs: DataFrame, model: Model | None, text_col: str = "text",
             langs, scores = judge(sent.value, batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], [*batch.schema.names, lang_out, score_out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())]))
+    return in_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())]))
 
 
 def identify(docs: DataFrame, teaches: Column, text_col: str = "text", lang_col: str = "lang", **bounds) -> DataFrame:

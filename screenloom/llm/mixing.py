@@ -18,14 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import few, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: 42 bits of hash, cut into three levels of 16,384 buckets.
 BITS, LEVELS = 14, 3
 WEIGHTS = (5, 2, 1)
-#: So many sources' thresholds are sent to every task (some 100 bytes each); more are joined by a shuffle.
-BROADCAST_SOURCES = 50_000
 
 
 def size_of(text: str) -> Column:
@@ -46,10 +44,6 @@ def above(hashed: Column, level: int) -> Column:
     return F.shiftright(hashed, BITS * (LEVELS - level))
 
 
-def few(small: DataFrame) -> DataFrame:
-    return F.broadcast(small) if len(small.take(BROADCAST_SOURCES + 1)) <= BROADCAST_SOURCES else small
-
-
 def targets(sizes: DataFrame, share_percent: int = 150, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 2) -> DataFrame:
     """_key, source_size, target from (_key, source_size), one row a source.
 

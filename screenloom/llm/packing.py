@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import in_batches, materialise
 from .tokens import encoder
 
 LENGTH = 2048
@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             columns = np.array(found, np.int64).reshape(-1, len(names)).T
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *map(pa.array, columns)], [id_col, *names])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
+    return in_batches(rows).mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group_docs: int = GROUP_DOCS, seed: int = 0, tokenizer: str | None = None) -> DataFrame:

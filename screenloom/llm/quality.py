@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, materialise
+from .common import SPACES, in_batches, materialise
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -91,7 +91,7 @@ def measured(docs: DataFrame, id_col: str, host_col: str, text_col: str) -> Data
             counts = np.array([measure(t.as_py()) for t in batch.column(2)], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(counts[:, k]) for k in range(len(COUNTS)))], ["doc_id", "host", *COUNTS])
 
-    return kept.mapInArrow(run, schema)
+    return in_batches(kept).mapInArrow(run, schema)
 
 
 def failures(bounds: Bounds, prefix: str = "") -> dict[str, Column]:
@@ -171,7 +171,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays([pa.array(counts[:, k]) for k in range(len(COUNTS))], list(COUNTS))], [*batch.schema.names, "_counts"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("_counts", T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
-    marked = docs.mapInArrow(run, schema)
+    marked = in_batches(docs).mapInArrow(run, schema)
     usual, tight = (any_of(list(failures(b, "_counts.").values())) for b in (USUAL, TIGHT))
     joined = marked.filter(~usual).withColumn("_tight", tight).join(bad, F.col(host_col).eqNullSafe(F.col("_of_host")), "left")
     return joined.filter(~(F.col("_tight") & F.coalesce("_bad_host", F.lit(False)))).select(*docs.columns)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import work_path
+from .common import in_batches, work_path
 from .hashing import mixed
 from .tokens import END, encoder
 
@@ -82,7 +82,7 @@ class Codec:
 def fit_codec(docs: DataFrame, text_col: str, tokenizer: str | None) -> Codec:
     rows = docs.select(F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS)).limit(SAMPLE_TEXTS).collect()
     encode = encoder(tokenizer)
-    return Codec(encode.whole.get_vocab_size(), [encode.ids(r[0]).astype(np.int64) for r in rows])
+    return Codec(encode.size, [encode.ids(r[0]).astype(np.int64) for r in rows])
 
 
 def sequences(docs: DataFrame, id_col: str, text_col: str, length: int, tokenizer: str | None, codec: Codec) -> DataFrame:
@@ -129,7 +129,7 @@ def sequences(docs: DataFrame, id_col: str, text_col: str, length: int, tokenize
         if held:
             yield batch_of([full()])
 
-    return rows.mapInArrow(run, f"place long, row long, n_ids long, ids_crc32 long, ids binary, parts array<struct<doc_id: {kind}, start: long, length: long>>")
+    return in_batches(rows).mapInArrow(run, f"place long, row long, n_ids long, ids_crc32 long, ids binary, parts array<struct<doc_id: {kind}, start: long, length: long>>")
 
 
 def write_shards(

@@ -28,10 +28,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, materialise
+from .common import LOWER_ASCII, few, in_batches, materialise
 from .graph import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
+#: For the groups of keep_one(): fingerprints of words of at least so many bytes, for texts with at
+#: least so many of them, by so many seeds; and the similarity of shingles that a link must have.
+LONG_WORD, FEW_WORDS, VIEWS = 5, 20, 3
+CHECK_SHINGLE, SIMILARITY = 5, 0.8
 #: The bits of the three thirds.
 THIRDS = tuple(range(0, 21)), tuple(range(21, 42)), tuple(range(42, 64))
 
@@ -55,16 +59,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, key, fp) with the fingerprint's bits as a signed long; the key is the id as text, or of
-    the text where the id is null."""
-    rows = docs.select(F.col(id_col), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    """(id, fp) with the fingerprint's bits as a signed long."""
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], [id_col, "key", "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], [id_col, "fp"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, key string, fp long")
+    return in_batches(rows).mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, fp long")
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -80,13 +83,32 @@ def ball(bits: tuple[int, ...], radius: int) -> list[int]:
     return [signed(sum(1 << b for b in some)) for r in range(radius + 1) for some in combinations(bits, r)]
 
 
-def restricted(fp: str, kept: tuple[int, ...]) -> Column:
-    return F.col(fp).bitwiseAND(F.lit(signed(sum(1 << b for b in kept))).cast("long"))
+def longs(values: list[int]) -> Column:
+    return F.array(*(F.lit(v).cast("long") for v in values))
 
 
-def around(column: str, bits: tuple[int, ...], radius: int) -> Column:
-    """One row for each value within the radius of the column's, over these bits."""
-    return F.explode(F.transform(F.array(*(F.lit(m).cast("long") for m in ball(bits, radius))), lambda m: m.bitwiseXOR(F.col(column))))
+def around(column: str, masks: list[int]) -> Column:
+    """One row for each value that a mask makes of the column's."""
+    return F.explode(F.transform(longs(masks), lambda m: m.bitwiseXOR(F.col(column))))
+
+
+#: For each third left out: its bits, and the masks of the ball over the others.
+OUT = [signed(sum(1 << b for b in third)) for third in THIRDS]
+BALLS = [ball(tuple(b for t in THIRDS if t is not third for b in t), RADIUS // 4) for third in THIRDS]
+
+
+def met_at_variants(fps: DataFrame) -> DataFrame:
+    """(variant, n, a, b): the variants at which several fingerprints meet, how many, and two of them.
+
+    A variant has ones for the third left out. What is shuffled is the fingerprint with its mask's
+    bits flipped and the number of the mask; the variant and the fingerprint follow from these."""
+    masks = [m for each in BALLS for m in each]
+    left_out = [out for out, each in zip(OUT, BALLS, strict=True) for _ in each]
+    emitted = fps.select("fp", F.posexplode(longs(masks)).alias("k", "_mask")).select(F.col("fp").bitwiseXOR(F.col("_mask")).alias("w"), F.col("k").cast("short").alias("k"))
+    at = lambda values: F.element_at(longs(values), F.col("k") + 1)
+    variant = F.col("w").bitwiseOR(at(left_out))
+    dealt = emitted.repartition(variant).select(variant.alias("variant"), F.col("w").bitwiseXOR(at(masks)).alias("fp"))
+    return dealt.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
 
 
 def apart(a: str, b: str) -> Column:
@@ -95,38 +117,28 @@ def apart(a: str, b: str) -> Column:
 
 def links(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) to links (a, b) that join up all of their components."""
-    kept = [tuple(b for k, t in enumerate(THIRDS) if k != out for b in t) for out in range(3)]
-    each = [fps.select("fp", F.lit(k).alias("part"), restricted("fp", bits).alias("rest")) for k, bits in enumerate(kept)]
-    emitted = [e.select("fp", "part", around("rest", bits, RADIUS // 4).alias("variant")) for e, bits in zip(each, kept, strict=True)]
-    # few variants repeat within a task, so they are dealt out as they are, not summed up before
-    met = emitted[0].union(emitted[1]).union(emitted[2]).repartition("part", "variant").groupBy("part", "variant")
-    met = materialise(met.agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "met")
+    met = materialise(met_at_variants(fps), "met")
     pairs = met.filter("n = 2").select("a", "b").distinct().filter(apart("a", "b") <= RADIUS)
     # who met in a crowd: the balls around the crowded variants lead back to the fingerprints
     # (dealt out anew before each explosion, since crowds lie in a few of the written files)
-    crowds = met.filter("n > 2").select("part", "variant").repartition("part", "variant")
-    masks = [F.array(*(F.lit(m).cast("long") for m in ball(bits, RADIUS // 4))) for bits in kept]
-    masks = F.when(F.col("part") == 0, masks[0]).when(F.col("part") == 1, masks[1]).otherwise(masks[2])
-    back = crowds.select("part", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("variant")))).alias("rest")).distinct()
-    dense = each[0].union(each[1]).union(each[2]).join(back, ["part", "rest"], "left_semi").select("fp").distinct()
-    full = materialise(dense, "dense").repartition("fp").select("fp", around("fp", tuple(range(64)), RADIUS // 2).alias("variant"))
+    crowds = met.filter("n > 2").select("variant").repartition("variant")
+    whose = [F.when(F.col("variant").bitwiseAND(F.lit(out)) == F.lit(out), longs(each)).otherwise(longs([])) for out, each in zip(OUT, BALLS, strict=True)]
+    back = crowds.select(F.explode(F.transform(F.concat(*whose), lambda m: m.bitwiseXOR(F.col("variant")))).alias("rest")).distinct()
+    rests = fps.select("fp", F.explode(F.array(*(F.col("fp").bitwiseOR(F.lit(out)) for out in OUT))).alias("rest"))
+    dense = materialise(rests.join(back, "rest", "left_semi").select("fp").distinct(), "dense")
+    full = dense.repartition("fp").select("fp", around("fp", ball(tuple(range(64)), RADIUS // 2)).alias("variant"))
     # at most 2,081 fingerprints can meet at a variant of 64 bits, so the lists are bounded
     stars = full.groupBy("variant").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     stars = stars.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).filter("a <> b").distinct()
     return pairs.union(stars)
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The rows of docs as (id, key, fp), and (fp, root) for every fingerprint."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component_id) for every row of docs."""
     rows = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = materialise(rows.select("fp").distinct(), "nodes")
     roots = components(links(nodes)).withColumnRenamed("node", "fp")
-    return rows, nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id) for every row of docs."""
-    rows, roots = grouped(docs, id_col, text_col)
+    roots = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     # least ids by fingerprint first, then by component, so that many copies are one row
     least = rows.groupBy("fp").agg(F.min(id_col).alias("_least")).join(roots, "fp")
     by_root = least.groupBy("root").agg(F.min("_least").alias("component_id"))
@@ -134,12 +146,94 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(found, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def views_of(text: str | None, views: int) -> list[int]:
+    """Fingerprints of the set of a text's longer words, by one seed each. They move less than those
+    of shingles when a word is changed. A text with few such words is taken as one feature."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_ASCII).split()
+    kinds = {w for w in words if len(w) >= LONG_WORD}
+    features = list(kinds) if len(kinds) >= FEW_WORDS else [b" ".join(words)]
+    out = []
+    for seed in range(views):
+        hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in features], ">u8")
+        ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(features)).tobytes(), "big"))
+    return out
+
+
+def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, views: int) -> DataFrame:
+    """(id, key, h, fp0, fp1, ...): the fingerprint of shingles and those of long words; h is the
+    text's hash, and the key is the id as text, or h where the id is null."""
+    rows = docs.select(F.col(id_col), row_key(id_col, text_col).alias("key"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    names = [f"fp{k}" for k in range(views + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(3).to_pylist()
+            fps = np.array([[fingerprint(t), *views_of(t, views)] for t in texts], np.uint64).reshape(-1, views + 1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(fps[:, k]) for k in range(views + 1))], [id_col, "key", "h", *names])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return in_batches(rows).mapInArrow(run, f"`{id_col}` {kind}, key string, h long, " + ", ".join(f"{n} long" for n in names))
+
+
+def text_links(rows: DataFrame, fp: str) -> DataFrame:
+    """(a, b): links between texts (h) of equal or linked fingerprints. The texts of a fingerprint
+    are linked to one of them, and linked fingerprints by those ones."""
+    own = rows.select("h", F.col(fp).alias("fp")).distinct()
+    least = materialise(own.groupBy("fp").agg(F.min("h").alias("center")), "centers")
+    same = own.join(least, "fp").select(F.col("h").alias("a"), F.col("center").alias("b")).filter("a <> b")
+    ends = [least.select(F.col("fp").alias(e), F.col("center").alias(f"c{e}")) for e in ("a", "b")]
+    linked = links(least.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    return same.union(linked).filter("a <> b").distinct()
+
+
+def shingle_sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(h, shingles): the distinct hashes of each text's word shingles."""
+    rows = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(1):
+                words = (text.as_py() or "").encode("utf-8", "surrogatepass").translate(LOWER_ASCII).split()
+                runs = [b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))]
+                out.append(np.unique(np.array([xxhash.xxh64_intdigest(r) for r in runs], np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["h", "shingles"])
+
+    return in_batches(rows).mapInArrow(run, "h long, shingles array<long>")
+
+
+def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs of texts whose five-word shingles have a Jaccard similarity of SIMILARITY or more.
+    Only the texts in pairs are looked at, one row of each."""
+    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
+    keys = rows.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("key").alias("_key")).select("_key")
+    texts = docs.withColumn("_key", row_key(id_col, text_col)).join(few(keys), "_key", "left_semi")
+    sets = materialise(shingle_sets(texts, text_col, CHECK_SHINGLE).dropDuplicates(["h"]), "shingles")
+    ends = [sets.select(F.col("h").alias(e), F.col("shingles").alias(f"s{e}")) for e in ("a", "b")]
+    met = pairs.join(ends[0], "a").join(ends[1], "b").withColumn("_both", F.size(F.array_intersect("sa", "sb")))
+    return met.filter(F.col("_both") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("_both"))).select("a", "b")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", views: int = VIEWS) -> DataFrame:
     """One row of docs of each group, with its columns: that of the smallest id. Rows that repeat
-    an id count as one document; rows without an id go by their text, and come last."""
-    rows, roots = grouped(docs, id_col, text_col)
+    an id count as one document; rows without an id go by their text, and come last.
+
+    Groups are those of near_duplicates(), joined by texts that are linked in one of the views and
+    of which a check of their shingles says that they are similar."""
+    rows = materialise(with_fingerprints(docs, id_col, text_col, views), "fingerprints")
+    sure = text_links(rows, "fp0")
+    maybe = None
+    for k in range(1, views + 1):
+        found = text_links(rows, f"fp{k}")
+        maybe = found if maybe is None else maybe.union(found)
+    if maybe is not None:
+        low, high = F.least("a", "b"), F.greatest("a", "b")
+        pairs = materialise(maybe.select(low.alias("a"), high.alias("b")).distinct(), "pairs")
+        sure = sure.union(similar(pairs, rows, docs, id_col, text_col))
+    roots = components(sure).withColumnRenamed("node", "h")
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "key"))
-    least = rows.groupBy("fp").agg(first.alias("_first")).join(roots, "fp")
+    least = rows.groupBy("h").agg(first.alias("_first")).join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     stay = least.groupBy("root").agg(F.min("_first").alias("_first")).select(F.col("_first.key").alias("_key")).distinct()
     kept = docs.withColumn("_key", row_key(id_col, text_col)).join(stay, "_key", "left_semi")
     same = Window.partitionBy("_key").orderBy(F.xxhash64(text_col))

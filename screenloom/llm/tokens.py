@@ -7,9 +7,10 @@ file's special tokens, which are matched before anything else, go through the fi
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -21,16 +22,24 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.whole = Tokenizer.from_file(path)
-        special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.path = path
+        with open(path, "rb") as whole:
+            special = [t["content"] for t in json.load(whole)["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
+        self.size = len(ranks) + len(special)
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def whole(self):
+        """The file's own tokenizer, for the texts that need it."""
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str | None) -> np.ndarray:
         """Unsigned 32-bit ids, with END after the last."""
         text = text or ""
