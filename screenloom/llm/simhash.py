@@ -19,6 +19,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -30,12 +31,17 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_ASCII, few, in_batches, materialise
 from .graph import components
+from .hashing import Stretches, gram_hashes, parts, runs_of
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-#: For the groups of keep_one(): fingerprints of words of at least so many bytes, for texts with at
-#: least so many of them, by so many seeds; and the similarity of shingles that a link must have.
-LONG_WORD, FEW_WORDS, VIEWS = 5, 20, 3
+#: For the groups of keep_one(): fingerprints of words of at least so many bytes, by so many seeds; and
+#: the similarity of shingles that a link must have.
+LONG_WORD, VIEWS = 5, 3
 CHECK_SHINGLE, SIMILARITY = 5, 0.8
+#: How many texts tell which shingles are common, in so many buckets (handed on in blocks); and the
+#: turns in which texts that meet are compared with one of them. They decide on cost only.
+SAMPLE, BUCKETS, BLOCK, STARS = 20_000, 1 << 20, 1 << 14, 2
+IS_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 #: The bits of the three thirds.
 THIRDS = tuple(range(0, 21)), tuple(range(21, 42)), tuple(range(42, 64))
 
@@ -148,10 +154,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def views_of(text: str | None, views: int) -> list[int]:
     """Fingerprints of the set of a text's longer words, by one seed each. They move less than those
-    of shingles when a word is changed. A text with few such words is taken as one feature."""
+    of shingles when a word is changed. A text without such words is taken by all its words."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_ASCII).split()
     kinds = {w for w in words if len(w) >= LONG_WORD}
-    features = list(kinds) if len(kinds) >= FEW_WORDS else [b" ".join(words)]
+    features = list(kinds or set(words)) or [b""]
     out = []
     for seed in range(views):
         hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in features], ">u8")
@@ -187,22 +193,128 @@ def text_links(rows: DataFrame, fp: str) -> DataFrame:
     return same.union(linked).filter("a <> b").distinct()
 
 
+def sets_of(texts: list[str | None], shingle: int) -> list[np.ndarray]:
+    """The distinct hashes of each text's word shingles, in order; a shorter text is one shingle."""
+    out: list[np.ndarray] = []
+    for lo, hi in parts(texts):
+        raw = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER_ASCII) for t in texts[lo:hi]]
+        data = Stretches(b"\n".join(raw))
+        starts, ends = runs_of(~IS_SPACE[data.raw])
+        hashes = data.hashes(starts, ends)
+        edges = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw)]))
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            out.append(np.unique(gram_hashes(hashes[i:j], max(1, min(shingle, j - i)))) if j > i else np.zeros(1, np.int64))
+    return out
+
+
 def shingle_sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
     """(h, shingles): the distinct hashes of each text's word shingles."""
     rows = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column(1):
-                words = (text.as_py() or "").encode("utf-8", "surrogatepass").translate(LOWER_ASCII).split()
-                runs = [b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))]
-                out.append(np.unique(np.array([xxhash.xxh64_intdigest(r) for r in runs], np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["h", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets_of(batch.column(1).to_pylist(), shingle), pa.list_(pa.int64()))], ["h", "shingles"])
 
     return in_batches(rows).mapInArrow(run, "h long, shingles array<long>")
 
 
+def commonness(docs: DataFrame, n_texts: int, text_col: str) -> np.ndarray:
+    """How often shingles of each of BUCKETS hash buckets occur, by a sample of about SAMPLE texts."""
+    rows = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    share = min(1.0, SAMPLE / max(n_texts, 1))
+    rows = rows.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).dropDuplicates(["h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, np.int32)
+        for batch in batches:
+            for found in sets_of(batch.column(1).to_pylist(), CHECK_SHINGLE):
+                np.add.at(n, found & (BUCKETS - 1), 1)
+        k = np.arange(0, BUCKETS, BLOCK)
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array([n[i : i + BLOCK].tobytes() for i in k.tolist()], pa.binary())], ["k", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        n = sum(np.frombuffer(x.as_py(), np.int32) for x in table.column("n"))
+        return pa.table({"k": table.column("k")[:1], "n": pa.array([n.tobytes()], pa.binary())})
+
+    out = np.zeros(BUCKETS, np.int32)
+    for r in in_batches(rows).mapInArrow(run, "k long, n binary").groupBy("k").applyInArrow(add, "k long, n binary").collect():
+        out[r["k"] : r["k"] + BLOCK] = np.frombuffer(r["n"], np.int32)
+    return out
+
+
+def prefixes(docs: DataFrame, common: np.ndarray, text_col: str) -> DataFrame:
+    """(h, n, place, shingle): the first shingles of every text, rarest first, so many that texts of
+    SIMILARITY or more have one of them in common; n is the size of the set. The order is the same for
+    all texts, so that it decides what is compared, and not what is found."""
+    rows = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    sent = docs.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, firsts = [], []
+            for found in sets_of(batch.column(1).to_pylist(), CHECK_SHINGLE):
+                n.append(len(found))
+                order = np.lexsort((found, sent.value[found & (BUCKETS - 1)]))
+                firsts.append(found[order[: len(found) - math.ceil(SIMILARITY * len(found) - 1e-6) + 1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["h", "n", "firsts"])
+
+    found = in_batches(rows).mapInArrow(run, "h long, n int, firsts array<long>").dropDuplicates(["h"])
+    return found.select("h", "n", F.posexplode("firsts").alias("place", "shingle"))
+
+
+def grouped(nodes: DataFrame, sure: DataFrame) -> DataFrame:
+    """nodes with `root`, by the links that are sure."""
+    roots = components(sure).withColumnRenamed("node", "h")
+    return nodes.drop("root").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+
+
+def meeting(firsts: DataFrame) -> DataFrame:
+    """The rows of firsts whose shingle is in texts of several groups."""
+    shared = firsts.groupBy("shingle").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("shingle")
+    return firsts.join(shared, "shingle", "left_semi")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of texts whose shingles have a Jaccard similarity of SIMILARITY or more."""
+    ends = [sets.select(F.col("h").alias(e), F.col("shingles").alias(f"s{e}")) for e in ("a", "b")]
+    met = pairs.join(ends[0], "a").join(ends[1], "b").withColumn("_both", F.size(F.array_intersect("sa", "sb")))
+    return met.filter(F.col("_both") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("_both"))).select("a", "b")
+
+
+def alike_in_size(a: Column, b: Column) -> Column:
+    return F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-6
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, sure: DataFrame, text_col: str) -> DataFrame:
+    """(a, b): links that, with those that are sure, join up all pairs of texts of SIMILARITY or more.
+
+    Texts meet at the rarest shingles of each (prefixes()). Those that meet at a shingle are first
+    compared with one of them, for STARS turns; then every pair that meets and isn't yet in one group
+    is compared, unless the places of the shingles it meets at say that it can't be similar enough. So
+    a large group of copies makes a row a text and shingle, and only what stays apart makes pairs."""
+    nodes = grouped(nodes, sure)
+    firsts = prefixes(docs, commonness(docs, nodes.count(), text_col), text_col)
+    met = materialise(meeting(materialise(firsts, "prefixes").join(nodes, "h")), "met")
+    wanted = few(met.select("h").distinct())
+    texts = docs.withColumn("_h", F.xxhash64(text_col)).join(wanted.withColumnRenamed("h", "_h"), "_h", "left_semi")
+    sets = materialise(shingle_sets(texts, text_col, CHECK_SHINGLE).dropDuplicates(["h"]), "shingles")
+    links = sure
+    for turn in range(STARS):
+        center = F.min(F.struct(F.xxhash64("h", F.lit(turn)), F.col("h"), "root", "n")).alias("c")
+        stars = met.join(met.groupBy("shingle").agg(center), "shingle").filter((F.col("root") != F.col("c.root")) & alike_in_size(F.col("n"), F.col("c.n")))
+        pairs = stars.select(F.least("h", "c.h").alias("a"), F.greatest("h", "c.h").alias("b")).distinct()
+        links = materialise(links.union(verified(materialise(pairs, "pairs"), sets)), "links")
+        nodes = grouped(nodes, links)
+        met = materialise(meeting(met.drop("root").join(nodes, "h")), "met")
+    sides = [met.select("shingle", *(F.col(c).alias(f"{c}_{e}") for c in ("h", "n", "place", "root"))) for e in ("a", "b")]
+    both = sides[0].join(sides[1], "shingle").filter((F.col("h_a") < F.col("h_b")) & (F.col("root_a") != F.col("root_b")) & alike_in_size(F.col("n_a"), F.col("n_b")))
+    least = F.least(F.col("n_a") - F.max("place_a"), F.col("n_b") - F.max("place_b")) - 1
+    can = both.groupBy(F.col("h_a").alias("a"), F.col("h_b").alias("b"), "n_a", "n_b").agg((F.count(F.lit(1)) + least).alias("most"))
+    pairs = can.filter(F.col("most") >= SIMILARITY / (1 + SIMILARITY) * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b")
+    return links.union(verified(materialise(pairs, "pairs"), sets))
+
+
 def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs of texts whose five-word shingles have a Jaccard similarity of SIMILARITY or more.
     Only the texts in pairs are looked at, one row of each."""
@@ -219,8 +331,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vi
     """One row of docs of each group, with its columns: that of the smallest id. Rows that repeat
     an id count as one document; rows without an id go by their text, and come last.
 
-    Groups are those of near_duplicates(), joined by texts that are linked in one of the views and
-    of which a check of their shingles says that they are similar."""
+    Groups are those of near_duplicates(), joined by all pairs of texts whose five-word shingles have
+    a Jaccard similarity of SIMILARITY or more."""
     rows = materialise(with_fingerprints(docs, id_col, text_col, views), "fingerprints")
     sure = text_links(rows, "fp0")
     maybe = None
@@ -231,7 +343,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vi
         low, high = F.least("a", "b"), F.greatest("a", "b")
         pairs = materialise(maybe.select(low.alias("a"), high.alias("b")).distinct(), "pairs")
         sure = sure.union(similar(pairs, rows, docs, id_col, text_col))
-    roots = components(sure).withColumnRenamed("node", "h")
+    roots = components(similar_links(docs, rows.select("h").distinct(), materialise(sure, "sure"), text_col)).withColumnRenamed("node", "h")
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "key"))
     least = rows.groupBy("h").agg(first.alias("_first")).join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     stay = least.groupBy("root").agg(F.min("_first").alias("_first")).select(F.col("_first.key").alias("_key")).distinct()

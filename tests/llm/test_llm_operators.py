@@ -221,6 +221,31 @@ def test_views_add_similar_texts_only(spark):
     assert kept == {*range(30), 101}
 
 
+def slow_similarity(a, b):
+    sets = []
+    for t in (a, b):
+        w = words(t)
+        sets.append({tuple(w[i : i + simhash.CHECK_SHINGLE]) for i in range(max(1, len(w) - simhash.CHECK_SHINGLE + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_similar_texts_are_found_whole(spark):
+    """Cut, extended, edited and short-worded copies, with production parameters."""
+    r = random.Random(11)
+    rows = []
+    for k in range(120):
+        n = (60, 150, 500)[k % 3]
+        text = ["%0*x" % ((3, 8)[k % 2], r.randrange(16**3)) for _ in range(n)]
+        edited = list(text)
+        edited[r.randrange(5, n - 5)] = "x"
+        other = (text[: n - n // 8], [*text, *("%08x" % r.randrange(16**8) for _ in range(n // 8))], edited)[k // 6 % 3]
+        if slow_similarity(" ".join(text), " ".join(other)) >= simhash.SIMILARITY:
+            rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+    assert len(rows) >= 200
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {k for k, _ in rows if k % 2 == 0}
+
+
 # licenses
 
 
