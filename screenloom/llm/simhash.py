@@ -34,9 +34,7 @@ from .graph import components
 from .hashing import Stretches, gram_hashes, parts, runs_of
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-#: For the groups of keep_one(): fingerprints of words of at least so many bytes, by so many seeds; and
-#: the similarity of shingles that a link must have.
-LONG_WORD, VIEWS = 5, 3
+#: For the groups of keep_one(): the similarity of shingles from which texts are near duplicates.
 CHECK_SHINGLE, SIMILARITY = 5, 0.8
 #: How many texts tell which shingles are common, in so many buckets (handed on in blocks); and the
 #: turns in which texts that meet are compared with one of them. They decide on cost only.
@@ -152,40 +150,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(found, "fp").select(id_col, "fp", "component_id")
 
 
-def views_of(text: str | None, views: int) -> list[int]:
-    """Fingerprints of the set of a text's longer words, by one seed each. They move less than those
-    of shingles when a word is changed. A text without such words is taken by all its words."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_ASCII).split()
-    kinds = {w for w in words if len(w) >= LONG_WORD}
-    features = list(kinds or set(words)) or [b""]
-    out = []
-    for seed in range(views):
-        hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in features], ">u8")
-        ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * ones > len(features)).tobytes(), "big"))
-    return out
-
-
-def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, views: int) -> DataFrame:
-    """(id, key, h, fp0, fp1, ...): the fingerprint of shingles and those of long words; h is the
-    text's hash, and the key is the id as text, or h where the id is null."""
+def with_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, h, fp): h is the text's hash, and the key is the id as text, or h where the id is null."""
     rows = docs.select(F.col(id_col), row_key(id_col, text_col).alias("key"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    names = [f"fp{k}" for k in range(views + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(3).to_pylist()
-            fps = np.array([[fingerprint(t), *views_of(t, views)] for t in texts], np.uint64).reshape(-1, views + 1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(fps[:, k]) for k in range(views + 1))], [id_col, "key", "h", *names])
+            fps = np.array([fingerprint(t) for t in batch.column(3).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps)], [id_col, "key", "h", "fp"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return in_batches(rows).mapInArrow(run, f"`{id_col}` {kind}, key string, h long, " + ", ".join(f"{n} long" for n in names))
+    return in_batches(rows).mapInArrow(run, f"`{id_col}` {kind}, key string, h long, fp long")
 
 
-def text_links(rows: DataFrame, fp: str) -> DataFrame:
+def text_links(rows: DataFrame) -> DataFrame:
     """(a, b): links between texts (h) of equal or linked fingerprints. The texts of a fingerprint
     are linked to one of them, and linked fingerprints by those ones."""
-    own = rows.select("h", F.col(fp).alias("fp")).distinct()
+    own = rows.select("h", "fp").distinct()
     least = materialise(own.groupBy("fp").agg(F.min("h").alias("center")), "centers")
     same = own.join(least, "fp").select(F.col("h").alias("a"), F.col("center").alias("b")).filter("a <> b")
     ends = [least.select(F.col("fp").alias(e), F.col("center").alias(f"c{e}")) for e in ("a", "b")]
@@ -315,34 +296,15 @@ def similar_links(docs: DataFrame, nodes: DataFrame, sure: DataFrame, text_col:
     return links.union(verified(materialise(pairs, "pairs"), sets))
 
 
-def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs of texts whose five-word shingles have a Jaccard similarity of SIMILARITY or more.
-    Only the texts in pairs are looked at, one row of each."""
-    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    keys = rows.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("key").alias("_key")).select("_key")
-    texts = docs.withColumn("_key", row_key(id_col, text_col)).join(few(keys), "_key", "left_semi")
-    sets = materialise(shingle_sets(texts, text_col, CHECK_SHINGLE).dropDuplicates(["h"]), "shingles")
-    ends = [sets.select(F.col("h").alias(e), F.col("shingles").alias(f"s{e}")) for e in ("a", "b")]
-    met = pairs.join(ends[0], "a").join(ends[1], "b").withColumn("_both", F.size(F.array_intersect("sa", "sb")))
-    return met.filter(F.col("_both") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("_both"))).select("a", "b")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", views: int = VIEWS) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", views: int = 0) -> DataFrame:
     """One row of docs of each group, with its columns: that of the smallest id. Rows that repeat
     an id count as one document; rows without an id go by their text, and come last.
 
     Groups are those of near_duplicates(), joined by all pairs of texts whose five-word shingles have
-    a Jaccard similarity of SIMILARITY or more."""
-    rows = materialise(with_fingerprints(docs, id_col, text_col, views), "fingerprints")
-    sure = text_links(rows, "fp0")
-    maybe = None
-    for k in range(1, views + 1):
-        found = text_links(rows, f"fp{k}")
-        maybe = found if maybe is None else maybe.union(found)
-    if maybe is not None:
-        low, high = F.least("a", "b"), F.greatest("a", "b")
-        pairs = materialise(maybe.select(low.alias("a"), high.alias("b")).distinct(), "pairs")
-        sure = sure.union(similar(pairs, rows, docs, id_col, text_col))
+    a Jaccard similarity of SIMILARITY or more. All of these are found by similar_links(), so the
+    fingerprints of other views that `views` once asked for add nothing, and it is ignored."""
+    rows = materialise(with_fingerprints(docs, id_col, text_col), "fingerprints")
+    sure = text_links(rows)
     roots = components(similar_links(docs, rows.select("h").distinct(), materialise(sure, "sure"), text_col)).withColumnRenamed("node", "h")
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "key"))
     least = rows.groupBy("h").agg(first.alias("_first")).join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))

@@ -246,6 +246,32 @@ def test_similar_texts_are_found_whole(spark):
     assert kept == {k for k, _ in rows if k % 2 == 0}
 
 
+def test_similar_texts_meet_without_their_centre(spark):
+    """Texts that are each alike to one other only, all edited copies of one original."""
+    r = random.Random(12)
+    base, rows = ["w%05d" % r.randrange(10**5) for _ in range(200)], []
+    for k in range(40):
+        pair = list(base)
+        for i in range(5 + k % 7, 195, 25):  # the original and other pairs are below the threshold
+            pair[i] = f"p{k}x{i}"
+        other = list(pair)
+        other[k % 190] = "another"
+        rows += [(2 * k + 1, " ".join(pair)), (2 * k + 2, " ".join(other))]
+    rows.append((0, " ".join(base)))
+    alike = slow_similarity
+    roots = list(range(len(rows)))
+    prints = [slow_fingerprint(t) for _, t in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if alike(rows[i][1], rows[j][1]) >= simhash.SIMILARITY or (prints[i] ^ prints[j]).bit_count() <= simhash.RADIUS:
+                old, new = roots[i], roots[j]
+                roots = [new if x == old else x for x in roots]
+    want = {min(rows[i][0] for i in range(len(rows)) if roots[i] == root) for root in set(roots)}
+    assert len(want) > 10
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == want
+
+
 # licenses
 
 
