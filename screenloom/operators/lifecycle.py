@@ -18,6 +18,9 @@ TRANSITIONS = (
     ("release", ("parsing", "evaluating"), "pending"),
 )
 
+#: Events that are read as one piece.
+CHUNK = 4096
+
 
 def next_status(status: Column, event: Column) -> Column:
     """The status that an event leads to; null if it isn't allowed there."""
@@ -27,15 +30,17 @@ def next_status(status: Column, event: Column) -> Column:
     return out
 
 
-def fold_transitions(log: DataFrame, key: str, order: list[str], event: str = "event") -> DataFrame:
-    """key, status, accepted, refused, attempts: each key's log, read in order from `pending`.
-
-    A key's log is one row's array; logs are short by nature (a candidate has a few dozen events)."""
-    events = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(event).alias("_event")))), lambda x: x["_event"])
-    start = F.struct(F.lit("pending").alias("status"), *(F.lit(0).cast("long").alias(c) for c in ("accepted", "refused", "attempts")))
+def chunk_maps(log: DataFrame, key: str, order: list[str], event: str = "event", chunk: int = CHUNK) -> DataFrame:
+    """key, chunk, n, maps: pieces of at most `chunk` events of each key's log, in order, and for each
+    status in STATUSES what the piece makes of it: status, accepted, refused, attempts."""
+    rows = log.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), F.col(event).alias("_event"))
+    by = rows.columns
+    # numbers of rows in order, a partition's after those of the one before
+    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    pieces = dealt.groupBy("_key", F.floor(F.col("_at") / chunk).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("_at", "_event"))).alias("_events"))
 
-    def step(s: Column, e: Column) -> Column:
-        to = next_status(s["status"], e)
+    def step(s: Column, x: Column) -> Column:
+        to, e = next_status(s["status"], x["_event"]), x["_event"]
         one = lambda c: F.when(c, 1).otherwise(0).cast("long")
         return F.struct(
             F.coalesce(to, s["status"]).alias("status"),
@@ -44,7 +49,26 @@ def fold_transitions(log: DataFrame, key: str, order: list[str], event: str = "e
             (s["attempts"] + one(to.isNotNull() & (e == "retry"))).alias("attempts"),
         )
 
-    return log.groupBy(key).agg(events.alias("_events")).select(key, F.aggregate("_events", start, step).alias("s")).select(key, "s.*")
+    maps = F.array(*(F.aggregate("_events", start_of(s), step) for s in STATUSES))
+    return pieces.select(F.col("_key").alias(key), "chunk", F.size("_events").alias("n"), maps.alias("maps"))
+
+
+def start_of(status: str) -> Column:
+    return F.struct(F.lit(status).alias("status"), *(F.lit(0).cast("long").alias(c) for c in ("accepted", "refused", "attempts")))
+
+
+def fold_transitions(log: DataFrame, key: str, order: list[str], event: str = "event", chunk: int = CHUNK) -> DataFrame:
+    """key, status, accepted, refused, attempts: each key's log, read in order from `pending`.
+
+    A key's log is read in pieces, side by side; what comes together for a key is a map a piece."""
+
+    def then(s: Column, x: Column) -> Column:
+        to = F.element_at(x["maps"], F.array_position(F.array(*map(F.lit, STATUSES)), s["status"]).cast("int"))
+        return F.struct(to["status"].alias("status"), *((s[c] + to[c]).alias(c) for c in ("accepted", "refused", "attempts")))
+
+    pieces = F.array_sort(F.collect_list(F.struct("chunk", "maps")))
+    whole = chunk_maps(log, key, order, event, chunk).groupBy(key).agg(pieces.alias("_pieces"))
+    return whole.select(key, F.aggregate("_pieces", start_of("pending"), then).alias("s")).select(key, "s.*")
 
 
 def status_counts(rows: DataFrame, job: str = "job_id", status: str = "status") -> DataFrame:

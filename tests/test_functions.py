@@ -241,3 +241,19 @@ def test_declared_tables(spark, tmp_path):
     spark.range(1).write.parquet(str(tmp_path / "candidates"))
     with pytest.raises(ValueError, match="candidates"):
         tables.read_table(spark, str(tmp_path), "candidates")
+
+
+def test_long_log_is_read_in_pieces(spark):
+    r = random.Random(3)
+    names = [name for name, *_ in lifecycle.TRANSITIONS] + [None]
+    log = [(k, t, r.choice(names)) for k, n in ((1, 3000), (2, 1), (None, 200)) for t in range(n)]
+    want = {}
+    for k, _, e in log:
+        status, accepted, refused, attempts = want.get(k, ("pending", 0, 0, 0))
+        to = next((to for name, start, to in lifecycle.TRANSITIONS if name == e and status in start), None)
+        want[k] = (to or status, accepted + (to is not None), refused + (to is None), attempts + (to is not None and e == "retry"))
+    r.shuffle(log)
+    df = spark.createDataFrame(log, "k int, t int, event string")
+    assert {x[0]: tuple(x)[1:] for x in lifecycle.fold_transitions(df, "k", ["t"], chunk=16).collect()} == want
+    sizes = [x.n for x in lifecycle.chunk_maps(df, "k", ["t"], chunk=16).collect()]
+    assert sum(sizes) == len(log) and max(sizes) <= 16
