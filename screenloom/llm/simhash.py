@@ -74,10 +74,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return in_batches(rows).mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, fp long")
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("#"), F.xxhash64(text_col).cast("string")))
-
-
 def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
@@ -151,16 +147,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, h, fp): h is the text's hash, and the key is the id as text, or h where the id is null."""
-    rows = docs.select(F.col(id_col), row_key(id_col, text_col).alias("key"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    """(id, h, fp): h is the text's hash."""
+    rows = docs.select(F.col(id_col), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch.column(3).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps)], [id_col, "key", "h", "fp"])
+            fps = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps)], [id_col, "h", "fp"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return in_batches(rows).mapInArrow(run, f"`{id_col}` {kind}, key string, h long, fp long")
+    return in_batches(rows).mapInArrow(run, f"`{id_col}` {kind}, h long, fp long")
 
 
 def text_links(rows: DataFrame) -> DataFrame:
@@ -298,7 +294,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, sure: DataFrame, text_col:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", views: int = 0) -> DataFrame:
     """One row of docs of each group, with its columns: that of the smallest id. Rows that repeat
-    an id count as one document; rows without an id go by their text, and come last.
+    an id with another text are documents of their own; rows without an id come last.
 
     Groups are those of near_duplicates(), joined by all pairs of texts whose five-word shingles have
     a Jaccard similarity of SIMILARITY or more. All of these are found by similar_links(), so the
@@ -306,11 +302,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vi
     rows = materialise(with_fingerprints(docs, id_col, text_col), "fingerprints")
     sure = text_links(rows)
     roots = components(similar_links(docs, rows.select("h").distinct(), materialise(sure, "sure"), text_col)).withColumnRenamed("node", "h")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "key"))
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "h"))
     least = rows.groupBy("h").agg(first.alias("_first")).join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
-    stay = least.groupBy("root").agg(F.min("_first").alias("_first")).select(F.col("_first.key").alias("_key")).distinct()
-    kept = docs.withColumn("_key", row_key(id_col, text_col)).join(stay, "_key", "left_semi")
-    same = Window.partitionBy("_key").orderBy(F.xxhash64(text_col))
+    stay = least.groupBy("root").agg(F.min("_first").alias("_first")).select(F.col("_first.id").alias("_id"), F.col("_first.h").alias("_sh"))
+    kept = docs.withColumn("_h", F.xxhash64(text_col))
+    kept = kept.join(stay, (F.col("_h") == F.col("_sh")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    same = Window.partitionBy(id_col, "_h").orderBy("_h")
     return kept.withColumn("_n", F.row_number().over(same)).filter("_n = 1").select(*docs.columns)
 
 

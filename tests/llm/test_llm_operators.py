@@ -272,6 +272,12 @@ def test_similar_texts_meet_without_their_centre(spark):
     assert kept == want
 
 
+def test_rows_of_one_id_with_unlike_texts_stay(spark):
+    rows = [(1, "one two three four five six"), (1, "red green blue black white grey"), (1, "one two three four five six"), (2, "red green blue black white grey")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((x.doc_id, x.text) for x in kept.collect()) == sorted({*rows[:2]})
+
+
 # licenses
 
 
