@@ -225,6 +225,8 @@ def identify(docs: DataFrame, teaches: Column, text_col: str = "text", lang_col:
 
 
 def keep_known(docs: DataFrame, teaches: Column, text_col: str = "text", lang_col: str = "lang", **bounds) -> DataFrame:
-    """The rows of docs, with their columns, whose language can be told."""
+    """The rows of docs, with their columns, whose language can be told; all where no label teaches any."""
     model = fit(docs.filter(teaches), text_col, lang_col, **bounds)
+    if model is None:
+        return docs
     return with_language(docs, model, text_col, "_lang", "_score").filter(F.col("_lang") != UNDETERMINED).select(*docs.columns)

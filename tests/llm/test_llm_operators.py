@@ -122,6 +122,11 @@ def test_language_held_out_accuracy(spark):
     assert got["a"] > 0.98 and 0 <= got["lo"] <= got["hi"] <= 1
 
 
+def test_all_stay_where_no_label_teaches(spark):
+    rows = spark.createDataFrame([(1, "some text", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert language.keep_known(rows, F.lit(True)).count() == 2
+
+
 def test_language_of_odd_rows(docs):
     got = language.identify(docs, F.lit(True)).collect()
     assert len(got) == len(odd_rows())
