@@ -158,11 +158,11 @@ def status_by_ids(spark: SparkSession, d: str) -> DataFrame:
     return D.candidates(spark, d).filter(F.col("id").isin(1, 5, 33, 34, -1)).select("id", "status")
 
 
-@query("SELECT o_orderkey AS parent, coalesce(string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey), '') AS children FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 50 = 3 GROUP BY o_orderkey")
+@query("SELECT o_orderkey AS parent, coalesce(string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey), '') AS children FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def children_by_parents(spark: SparkSession, d: str) -> DataFrame:
     """Ordered children of a set of parents; childless parents get an empty list."""
-    parents = D.load(spark, d, "orders").filter("o_orderkey % 50 = 3").select(F.col("o_orderkey").alias("parent"))
-    own = D.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("parent"), F.struct("l_linenumber", "l_partkey").alias("c")).filter("parent % 50 = 3")
+    parents = D.load(spark, d, "orders").select(F.col("o_orderkey").alias("parent"))
+    own = D.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("parent"), F.struct("l_linenumber", "l_partkey").alias("c"))
     lists = own.groupBy("parent").agg(F.array_sort(F.collect_list("c")).alias("cs"))
     text = F.array_join(F.transform(F.coalesce("cs", F.array().cast("array<struct<l_linenumber:int,l_partkey:bigint>>")), lambda c: F.concat_ws(":", c["l_linenumber"], c["l_partkey"])), ",")
     return parents.join(lists, "parent", "left").select("parent", text.alias("children"))
@@ -189,9 +189,9 @@ def find_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return ingest.duplicates_of(D.uploads(spark, d), ["sha"], "ordinal")
 
 
-@query("SELECT l_orderkey AS parent, l_linenumber AS child, 'old' AS what FROM lineitem WHERE l_orderkey % 4 <> 0 AND l_linenumber <= 2 UNION ALL SELECT o_orderkey, 1, 'new' FROM orders WHERE o_orderkey % 4 = 0")
+@query("SELECT l_orderkey AS parent, l_linenumber AS child, 'old' AS what FROM lineitem WHERE l_orderkey % 4 <> 0 UNION ALL SELECT o_orderkey, 1, 'new' FROM orders WHERE o_orderkey % 4 = 0")
 def replace_children(spark: SparkSession, d: str) -> DataFrame:
-    line = D.load(spark, d, "lineitem").filter("l_linenumber <= 2").select(F.col("l_orderkey").alias("parent"), F.col("l_linenumber").alias("child"), F.lit("old").alias("what"))
+    line = D.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("parent"), F.col("l_linenumber").alias("child"), F.lit("old").alias("what"))
     new = D.load(spark, d, "orders").filter("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("parent"), F.lit(1).alias("child"), F.lit("new").alias("what"))
     return ingest.replace_children(line, new, "parent")
 
