@@ -1,9 +1,11 @@
 """Whether quotes occur in texts: a containment join that scales.
 
 Every quote is looked up by one of its word runs: all runs of PROBE words of the texts meet, by an
-equi-join on a hash, the first PROBE whole words of the quotes; only pairs that meet are compared as
-text. Quotes too short for that are found by their words. Without a shared run a quote can't be
-contained, so nothing is lost, and no text meets all quotes.
+equi-join on a hash, the first PROBE inner words of the quotes. Quotes of one or two words, whose words
+may be parts of longer ones, are looked up by their first letters: they meet the letter runs of the
+texts' different words (or pairs of words). Only the hash and the text's id take part in that; the text
+is joined to the pairs that met, and only these are compared as text. Without a shared run a quote can't
+be contained, so nothing is lost, and no text meets all quotes.
 """
 
 from __future__ import annotations
@@ -13,37 +15,52 @@ from pyspark.sql import functions as F
 
 from screenloom.functions.text import match_form
 
-PROBE = 4
+PROBE, LETTERS = 4, 3
 
 
 def runs(tokens: Column, n: int) -> Column:
-    """Hashes of all runs of n tokens; an empty array if there are fewer."""
-    last = F.size(tokens) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i + 1, n), " ")))).otherwise(F.array().cast("array<bigint>"))
+    """All runs of n tokens, joined by blanks; an empty array if there are fewer."""
+    shifted = [F.slice(tokens, k + 1, F.greatest(F.size(tokens) - n + 1, F.lit(0))) for k in range(n)]
+    return shifted[0] if n == 1 else F.transform(F.arrays_zip(*(c.alias(f"w{k}") for k, c in enumerate(shifted))), lambda w: F.concat_ws(" ", *(w[f"w{k}"] for k in range(n))))
+
+
+def by_words(quotes: DataFrame, texts: DataFrame, quote_id: str, text_id: str, n: int) -> DataFrame:
+    """Pairs whose text holds the quote's first n inner words in a row."""
+    probe = quotes.filter(F.col("_n") == n).select(quote_id, F.xxhash64(F.array_join(F.slice("_words", 2, n), " ")).alias("_run"))
+    units = texts.select(text_id, F.explode(runs(F.col("_words"), n)).alias("_unit")).select(text_id, F.xxhash64("_unit").alias("_run"))
+    return units.join(probe, "_run").select(quote_id, text_id).distinct()
+
+
+def by_letters(quotes: DataFrame, texts: DataFrame, quote_id: str, text_id: str, n: int) -> DataFrame:
+    """Pairs of quotes of n words and texts of which n words in a row hold the quote."""
+    short = quotes.filter((F.col("_n") == 0) & (F.size("_words") == n))
+    probe = short.select(quote_id, "_quote", F.substring("_quote", 1, LETTERS).alias("_letters"))
+    units = texts.select(text_id, F.explode(runs(F.col("_words"), n)).alias("_unit")).distinct()
+    kinds = units.select("_unit").distinct()
+    places = F.sequence(F.lit(1), F.length("_unit"))
+    lettered = F.flatten(F.transform(places, lambda i: F.array(*(F.substring("_unit", i, F.lit(k)) for k in range(1, LETTERS + 1)))))
+    met = kinds.select("_unit", F.explode(F.array_distinct(lettered)).alias("_letters")).join(probe, "_letters").filter(F.contains("_unit", F.col("_quote")))
+    return units.join(met.select("_unit", quote_id).distinct(), "_unit").select(quote_id, text_id).distinct()
 
 
 def contained(quotes: DataFrame, texts: DataFrame, quote_id: str, quote: str, text_id: str, text: str) -> DataFrame:
     """(quote_id, text_id) of quotes that a text contains, both in match form.
 
     The quote's first and last word may be part of a longer one in the text, so the run is taken from
-    its inner words; quotes of fewer than PROBE inner words are probed by fewer, those without any
-    are compared with every text (they are few and short: they are broadcast)."""
-    q = quotes.select(F.col(quote_id), match_form(F.col(quote)).alias("_quote")).filter("_quote <> ''")
-    inner = F.slice(F.split("_quote", " "), 2, F.greatest(F.size(F.split("_quote", " ")) - 2, F.lit(0)))
-    q = q.withColumn("_n", F.least(F.lit(PROBE), F.size(inner))).withColumn("_inner", inner)
+    its inner words; quotes of fewer than PROBE inner words are probed by fewer. Which lengths there
+    are is asked of the quotes first (PROBE + 2 numbers), so that texts aren't cut for nothing."""
+    q = quotes.select(F.col(quote_id), match_form(F.col(quote)).alias("_quote")).filter("_quote <> ''").withColumn("_words", F.split("_quote", " "))
+    q = q.withColumn("_n", F.greatest(F.least(F.lit(PROBE), F.size("_words") - 2), F.lit(0)))
     t = texts.select(F.col(text_id), match_form(F.col(text)).alias("_text"))
-    tokens = F.split("_text", " ")
-    out = None
-    lengths = sorted(r["_n"] for r in q.select("_n").distinct().collect())  # PROBE + 1 values at most
-    for n in [n for n in lengths if n] or [PROBE]:
-        probe = q.filter(F.col("_n") == n).withColumn("_run", F.xxhash64(F.array_join(F.slice("_inner", 1, n), " ")))
-        met = t.select(text_id, "_text", F.explode(F.array_distinct(runs(tokens, n))).alias("_run")).join(probe, "_run")
-        found = met.filter(F.contains("_text", F.col("_quote"))).select(quote_id, text_id)
-        out = found if out is None else out.union(found)
-    if 0 not in lengths:
-        return out
-    short = q.filter("_n = 0")
-    return out.union(t.join(F.broadcast(short), F.contains("_text", F.col("_quote"))).select(quote_id, text_id))
+    cut = t.select(text_id, F.split("_text", " ").alias("_words"))
+    kinds = {(r["_n"], min(r["w"], 3)) for r in q.select("_n", F.size("_words").alias("w")).distinct().collect()}
+    met = [by_words(q, cut, quote_id, text_id, n) for n in sorted({n for n, _ in kinds if n})]
+    met += [by_letters(q, cut, quote_id, text_id, w) for w in sorted({w for n, w in kinds if not n})]
+    pairs = met[0] if met else by_words(q, cut, quote_id, text_id, PROBE)
+    for more in met[1:]:
+        pairs = pairs.union(more)
+    found = pairs.join(q.select(quote_id, "_quote"), quote_id).join(t, text_id).filter(F.contains("_text", F.col("_quote")))
+    return found.select(quote_id, text_id).distinct() if len(met) > 1 else found.select(quote_id, text_id)
 
 
 def downgrade(skills: Column) -> Column:
