@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import match_form
+from .text import let, match_form
 
 #: Month names and short forms.
 MONTHS = {
@@ -17,29 +17,38 @@ MONTHS = {
 }
 #: Words for an end that hasn't come.
 PRESENT_WORDS = ("present", "current", "currently", "now", "ongoing", "to date", "today")
-YEAR_FIRST = r"^(\d{4})(?:[-/](\d{1,2}))?(?:[-/]\d{1,2})?$"
-NAME_FIRST = r"^([a-z]+)\.? (\d{4})$"
-MONTH_FIRST = r"^(\d{1,2})[-/](\d{4})$"
 
 
-def parse_date(c: Column) -> Column:
-    """struct<year, month>; month is null if only a year is given; null if it isn't a date."""
-    t = match_form(c)
-    part = lambda pattern, k: F.nullif(F.regexp_extract(t, pattern, k), F.lit("")).cast("int")
+def parse_date(c: Column, compose: bool = True) -> Column:
+    """struct<year, month>; month is null if only a year is given; null if it isn't a date.
+
+    The text is split at its separators: a year alone, year and month (and day) in numbers, month and
+    year in numbers, or a month's name and a year. Numbers are split by - or /, a name by one blank."""
+    return let(match_form(c, compose), date_of)
+
+
+def date_of(text: Column) -> Column:
+    parts = F.split(text, "[-/ ]")
+    n = F.size(parts)
+    at = lambda k: F.get(parts, F.lit(k))
+    digits = lambda k, least, most: F.length(at(k)).between(least, most) & (F.translate(at(k), "0123456789", "") == "")
+    number = lambda k: at(k).try_cast("int")
+    spaced = F.contains(text, F.lit(" "))
     names = F.create_map(*map(F.lit, chain(*MONTHS.items())))
-    first = F.struct(part(YEAR_FIRST, 1).alias("year"), part(YEAR_FIRST, 2).alias("month"))
-    named = F.struct(part(NAME_FIRST, 2).alias("year"), F.try_element_at(names, F.regexp_extract(t, NAME_FIRST, 1)).alias("month"))
-    last = F.struct(part(MONTH_FIRST, 2).alias("year"), part(MONTH_FIRST, 1).alias("month"))
-    ok = lambda m: m.between(1, 12)
+    named = F.try_element_at(names, F.regexp_replace(at(0), r"\.$", ""))
+    date = lambda year, month: F.struct(year.cast("int").alias("year"), month.cast("int").alias("month"))
+    ok = lambda k: number(k).between(1, 12)
+    none = F.lit(None)
     return (
-        F.when(t.rlike(YEAR_FIRST), F.when(part(YEAR_FIRST, 2).isNull() | ok(part(YEAR_FIRST, 2)), first))
-        .when(t.rlike(NAME_FIRST), F.when(named.getField("month").isNotNull(), named))
-        .when(t.rlike(MONTH_FIRST), F.when(ok(part(MONTH_FIRST, 1)), last))
+        F.when((n == 1) & digits(0, 4, 4), date(number(0), none))
+        .when(spaced, F.when((n == 2) & digits(1, 4, 4) & named.isNotNull(), date(number(1), named)))
+        .when(digits(0, 4, 4) & digits(1, 1, 2) & ((n == 2) | ((n == 3) & digits(2, 1, 2))), F.when(ok(1), date(number(0), number(1))))
+        .when((n == 2) & digits(0, 1, 2) & digits(1, 4, 4), F.when(ok(0), date(number(1), number(0))))
     )
 
 
-def is_present_word(c: Column) -> Column:
-    return match_form(c).isin(*PRESENT_WORDS)
+def is_present_word(c: Column, compose: bool = True) -> Column:
+    return match_form(c, compose).isin(*PRESENT_WORDS)
 
 
 def month_index(year: Column, month: Column) -> Column:
@@ -53,9 +62,9 @@ def start_month(c: Column) -> Column:
     return month_index(d.getField("year"), F.coalesce(d.getField("month"), F.lit(1)))
 
 
-def end_month(c: Column) -> Column:
+def end_month(c: Column, compose: bool = True) -> Column:
     """A bare year ends in December."""
-    d = parse_date(c)
+    d = parse_date(c, compose)
     return month_index(d.getField("year"), F.coalesce(d.getField("month"), F.lit(12)))
 
 
@@ -68,6 +77,6 @@ def years_of(months: Column) -> Column:
     return F.floor(months * 10 / F.lit(12.0) + 0.5) / 10
 
 
-def is_expired(expiry: Column, now: Column) -> Column:
+def is_expired(expiry: Column, now: Column, compose: bool = True) -> Column:
     """Whether an expiry date is before the month `now` (a month index); false if it says nothing."""
-    return F.coalesce(end_month(expiry) < now, F.lit(False))
+    return F.coalesce(end_month(expiry, compose) < now, F.lit(False))

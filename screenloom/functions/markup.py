@@ -13,14 +13,16 @@ from .text import INLINE_SPACE, fold_space, trimmed
 
 #: The five named entities of XML.
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
-ENTITY = re.compile(r"&(?:(amp|lt|gt|quot|apos)|#(\d{1,7})|#[xX]([0-9A-Fa-f]{1,6}));")
+ENTITY = re.compile(r"&(?:(amp|lt|gt|quot|apos)|#([0-9]+)|#[xX]([0-9A-Fa-f]+));")
 
 
 def decode_entity(found: re.Match) -> str:
     if found[1]:
         return ENTITIES[found[1]]
-    point = int(found[2]) if found[2] else int(found[3], 16)
-    return chr(point) if 0 < point <= 0x10FFFF and not 0xD800 <= point <= 0xDFFF else found[0]
+    digits, base = (found[2], 10) if found[2] else (found[3], 16)
+    digits = digits.lstrip("0") or "0"
+    point = int(digits, base) if len(digits) < 8 else -1
+    return chr(point) if 0 <= point <= 0x10FFFF and not 0xD800 <= point <= 0xDFFF else found[0]
 
 
 @F.pandas_udf(T.StringType())

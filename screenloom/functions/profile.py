@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank_to_null, fold_space
+from .text import blank_to_null, composed_names, fold_space, let, match_form
 
 MIN_PHONE_DIGITS, MAX_STATED_YEARS = 7, 80
 
 
 def email(c: Column) -> Column:
+    """One @ with something before it and, after it, two names or more with a dot between each."""
     t = F.lower(blank_to_null(c))
-    return F.when(t.rlike(r"^[^\s@]+@[^\s@.]+(?:\.[^\s@.]+)+$"), t)
+    sides = F.split(t, "@")
+    names = F.split(F.get(sides, F.lit(1)), r"\.")
+    good = (F.size(sides) == 2) & (F.get(sides, F.lit(0)) != "") & (F.size(names) > 1) & F.forall(names, lambda n: n != "") & ~F.contains(t, F.lit(" "))
+    return F.when(good, t)
 
 
 def phone(c: Column) -> Column:
@@ -22,8 +26,11 @@ def phone(c: Column) -> Column:
 
 
 def linkedin(c: Column) -> Column:
+    """A link whose host is linkedin.com or one under it; the scheme may be missing."""
     t = blank_to_null(c)
-    return F.when(t.rlike(r"(?i)(?:^|\.|//)linkedin\.com/"), t)
+    host = F.lower(F.substring_index(F.element_at(F.split(t, "//", 2), -1), "/", 1))
+    pathed = F.contains(F.element_at(F.split(t, "//", 2), -1), F.lit("/"))
+    return F.when(pathed & ((host == "linkedin.com") | host.endswith(".linkedin.com")), t)
 
 
 def country(c: Column) -> Column:
@@ -59,18 +66,18 @@ def named_entries(entries: Column) -> Column:
 def merge_skills(skills: Column) -> Column:
     """One entry for each name in match form, in order of first mention: the first name given, and
     the first evidence that shows the skill in use, if any does, else the first."""
-    from .text import match_form
+    keyed = F.transform(composed_names(skills), lambda s, i: F.struct(match_form(s["name"], compose=False).alias("k"), i.alias("i"), s.alias("s")))
 
-    keyed = F.transform(skills, lambda s: F.struct(match_form(s["name"]).alias("k"), s.alias("s")))
-    kinds = F.array_distinct(F.transform(keyed, lambda x: x["k"]))
+    def by_name(keyed: Column) -> Column:
+        def merged(k: Column) -> Column:
+            own = F.filter(keyed, lambda x: x["k"] == k)
+            first = F.get(own, F.lit(0))
+            best = F.coalesce(F.get(F.filter(own, lambda x: x["s"]["evidenceType"] == "demonstrated"), F.lit(0)), first)["s"]
+            return F.struct(fold_space(F.get(skills, first["i"])["name"]).alias("name"), best["evidenceType"].alias("evidenceType"), best["evidenceQuote"].alias("evidenceQuote"))
 
-    def merged(k: Column) -> Column:
-        own = F.transform(F.filter(keyed, lambda x: x["k"] == k), lambda x: x["s"])
-        shown = F.filter(own, lambda s: s["evidenceType"] == "demonstrated")
-        best = F.coalesce(F.get(shown, F.lit(0)), F.get(own, F.lit(0)))
-        return F.struct(fold_space(F.get(own, F.lit(0))["name"]).alias("name"), best["evidenceType"].alias("evidenceType"), best["evidenceQuote"].alias("evidenceQuote"))
+        return F.transform(F.filter(F.array_distinct(F.transform(keyed, lambda x: x["k"])), lambda k: k != ""), merged)
 
-    return F.transform(F.filter(kinds, lambda k: k != ""), merged)
+    return let(keyed, by_name)
 
 
 def redact(profile: Column, fields: tuple[str, ...] = ("fullName", "email", "phone", "linkedinUrl")) -> Column:

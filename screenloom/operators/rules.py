@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from screenloom.functions.dates import is_expired
-from screenloom.functions.text import equals_exact, holds_words
+from screenloom.functions.text import composed_names, equals_exact, holds_words
 
 PASS, FAIL, INDETERMINATE = "pass", "fail", "indeterminate"
 #: The ladder of education, lowest first.
@@ -31,7 +31,7 @@ def no_entries(entries: Column) -> Column:
 
 
 def same_name(name: Column, sought: Column, mode: Column) -> Column:
-    return F.coalesce(F.when(mode == "exact", equals_exact(name, sought)).otherwise(holds_words(name, sought)), F.lit(False))
+    return F.coalesce(F.when(mode == "exact", equals_exact(name, sought)).otherwise(holds_words(name, sought, compose=False)), F.lit(False))
 
 
 def min_years(profile: Column, rule: Column, now: Column) -> Column:
@@ -57,7 +57,7 @@ def required_education(profile: Column, rule: Column, now: Column) -> Column:
 
 def required_certification(profile: Column, rule: Column, now: Column) -> Column:
     found = F.filter(profile["certifications"], lambda c: same_name(c["name"], rule["name"], rule["matchMode"]))
-    return unless_missing(no_entries(profile["certifications"]), passes(F.exists(found, lambda c: ~is_expired(c["expiryDate"], now))))
+    return unless_missing(no_entries(profile["certifications"]), passes(F.exists(found, lambda c: ~is_expired(c["expiryDate"], now, compose=False))))
 
 
 def location_allowlist(profile: Column, rule: Column, now: Column) -> Column:
@@ -74,7 +74,18 @@ RULES = {
 }
 
 
+def readable(profile: Column) -> Column:
+    """The profile with what rules compare in NFKC. outcome() and report() take it so."""
+    skills, held = composed_names(profile["skills"]), composed_names(composed_names(profile["certifications"]), "expiryDate")
+    return profile.withField("skills", skills).withField("certifications", held)
+
+
+def readable_rules(rules: Column) -> Column:
+    return composed_names(composed_names(rules, "skill"), "name")
+
+
 def outcome(profile: Column, rule: Column, now: Column) -> Column:
+    """`profile` as readable() makes it, and a rule of readable_rules()."""
     out = F.raise_error(F.concat(F.lit("unknown rule type: "), F.coalesce(rule["type"], F.lit("null")))).cast("string")
     for name, evaluate in RULES.items():
         out = F.when(rule["type"] == name, evaluate(profile, rule, now)).otherwise(out)

@@ -33,8 +33,9 @@ _SIGNAL = " OR ".join(f"contains(lower(t), '{w}')" for w in text.SIGNAL_WORDS)
       SELECT *, length(regexp_replace(t, '\\P{{L}}', '', 'g')) AS letters, CASE WHEN length(replace(t, ' ', '')) = 0 THEN 0 ELSE letters / length(replace(t, ' ', '')) END AS ratio FROM (SELECT doc_id, {FOLDED} AS t FROM documents))"""
 )
 def text_assess(spark: SparkSession, d: str) -> DataFrame:
-    t = text.fold_space(F.col("text"))
-    return D.load(spark, d, "documents").select("doc_id", F.array_join(text.text_failures(F.col("text")), ",").alias("failures"), F.length(t).cast("long").alias("characters"), text.letters(t).cast("long").alias("letters"))
+    folded = D.load(spark, d, "documents").select("doc_id", text.fold_space(F.coalesce("text", F.lit(""))).alias("t"))
+    t = F.col("t")
+    return folded.select("doc_id", F.array_join(text.folded_failures(t), ",").alias("failures"), F.length(t).cast("long").alias("characters"), text.letters(t).cast("long").alias("letters"))
 
 
 @query("SELECT doc_id, length(text) / (1 + doc_id % 9) AS per_page, length(text) / (1 + doc_id % 9) < 100 AS image_only FROM documents")
@@ -80,8 +81,8 @@ def evidence_downgrade(spark: SparkSession, d: str) -> DataFrame:
     return items.join(held, "item_id", "left").select("item_id", F.get(evidence.downgrade(F.array(skill)), F.lit(0))["evidenceType"].alias("evidence"))
 
 
-_W, _B = text.SCORE_WORDS, text.BINDERS
-_S, _F = text.SCALE_WORDS.replace("\\", "\\"), "|".join(text.FUNCTION_WORDS)
+_W, _B = "|".join(text.SCORE_WORDS), "|".join(text.LEADING_WORDS)
+_S, _F = "|".join(text.SCALE_WORDS).replace(" ", r"\s+"), "|".join(text.FUNCTION_WORDS)
 _LOOSE = rf"(?i)\b({_W})\b(\s+[A-Za-z][A-Za-z’''-]*){{0,3}}\s+"
 _PUNCT = r"(\s*$|\s+[^\w\s]|\s+(" + _S + "|" + _F + r")\b|"
 FIGURE = (
@@ -147,7 +148,7 @@ def page_assembly(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def nfkc_fold(spark: SparkSession, d: str) -> DataFrame:
-    return D.load(spark, d, "documents").select("doc_id", F.md5(text.match_form(F.col("text"), compose=True).cast("binary")).alias("form"))
+    return D.load(spark, d, "documents").select("doc_id", F.md5(text.match_form(F.col("text")).cast("binary")).alias("form"))
 
 
 @query()
