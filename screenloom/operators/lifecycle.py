@@ -120,3 +120,8 @@ def retry_disposition(exists: Column, status: Column, has_file: Column) -> Colum
     return (
         F.when(~exists, "not_found").when(status != "failed", "status_conflict").when(~has_file, "source_file_missing").otherwise("requeued")
     )
+
+
+def retry_job_id(key: Column, attempt: Column) -> Column:
+    """The queue's id of a retry; the first run goes by the row's own id."""
+    return F.concat_ws("-", key.cast("string"), F.lit("retry"), attempt.cast("string"))

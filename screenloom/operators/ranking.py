@@ -51,6 +51,13 @@ def page_meta(rows: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total")).withColumn("total_pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("long"))
 
 
+def page_with_counts(ordered: DataFrame, number: int, size: int = PAGE_SIZE, tier: str = "tier") -> DataFrame:
+    """A page of ordered rows, and beside each the total, total_pages, the rows of each tier and of all
+    tiers (tiered): one row of counts, which is sent to the page."""
+    counts = page_meta(ordered, size).join(F.broadcast(tier_counts(ordered, [], tier)))
+    return page(ordered, number, size).join(F.broadcast(counts.withColumn("tiered", sum((F.col(t) for t in TIERS), F.lit(0)).cast("long"))))
+
+
 def tier_counts(rows: DataFrame, by: list[str], tier: str = "tier") -> DataFrame:
     """Rows of each tier, zero where there are none; rows without a tier don't count."""
     return rows.groupBy(*by).agg(*(F.count_if(F.col(tier) == t).alias(t) for t in TIERS))

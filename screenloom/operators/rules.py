@@ -92,6 +92,63 @@ def outcome(profile: Column, rule: Column, now: Column) -> Column:
     return out
 
 
+def quoted(c: Column) -> Column:
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
+def said(*parts: str | Column) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
+def detail(profile: Column, rule: Column, now: Column, why_no_years: Column | None = None) -> Column:
+    """Why a rule has the outcome it has, in words. Both as for outcome(); why_no_years may say why
+    the years aren't known. Fixed values: the sentences, which readers see."""
+    years = F.regexp_replace(rule["years"].cast("string"), r"\.0$", "")
+    known = F.regexp_replace(profile["computedYearsExperience"].cast("string"), r"\.0$", ".0")
+    unknown = said("years of experience could not be determined from the CV", *([": ", why_no_years] if why_no_years is not None else []), " (rule asks for ", years, " years)")
+    min_years_said = F.when(profile["computedYearsExperience"].isNull(), unknown).otherwise(said(known, " years computed from dates, minimum ", years))
+
+    found = F.filter(profile["skills"], lambda s: same_name(s["name"], rule["skill"], rule["matchMode"]))
+    shown = F.get(F.filter(found, lambda s: F.coalesce(s["evidenceType"] == "demonstrated", F.lit(False))), F.lit(0))["name"]
+    first = F.get(found, F.lit(0))["name"]
+    skill_said = (
+        F.when(no_entries(profile["skills"]), said("no skills were extracted, so ", quoted(rule["skill"]), " could not be checked"))
+        .when(F.size(found) == 0, said("no skill matching ", quoted(rule["skill"])))
+        .when(~F.coalesce(rule["mustBeDemonstrated"], F.lit(False)), said("skill ", quoted(first), " is listed"))
+        .when(shown.isNull(), said("skill ", quoted(first), " is listed but never shown being used"))
+        .otherwise(said("skill ", quoted(shown), " is demonstrated in the CV"))
+    )
+
+    highest = F.coalesce(F.array_max(F.transform(profile["education"], lambda e: rank_of(e["level"]))), F.lit(0))
+    education_said = (
+        F.when(no_entries(profile["education"]), said("no education was extracted, so ", quoted(rule["level"]), " could not be checked"))
+        .when(highest == 0, "education is listed but none of it maps to a known level")
+        .otherwise(said("highest education ", F.get(F.array(*map(F.lit, EDUCATION)), (highest - 1).cast("int")), ", minimum ", rule["level"]))
+    )
+
+    held = F.filter(profile["certifications"], lambda c: same_name(c["name"], rule["name"], rule["matchMode"]))
+    current = F.get(F.filter(held, lambda c: ~is_expired(c["expiryDate"], now, compose=False)), F.lit(0))["name"]
+    lapsed = F.get(held, F.lit(0))
+    certification_said = (
+        F.when(no_entries(profile["certifications"]), said("no certifications were extracted, so ", quoted(rule["name"]), " could not be checked"))
+        .when(F.size(held) == 0, said("no certification matching ", quoted(rule["name"])))
+        .when(current.isNull(), said("certification ", quoted(lapsed["name"]), " expired on ", lapsed["expiryDate"]))
+        .otherwise(said("certification ", quoted(current), " is held"))
+    )
+
+    code, allowed = F.upper(F.trim(profile["location"]["countryCode"])), F.array_join(rule["countryCodes"], ", ")
+    location_said = (
+        F.when(F.coalesce(code, F.lit("")) == "", said("no country could be determined from the CV (allowed: ", allowed, ")"))
+        .when(F.array_contains(rule["countryCodes"], code), said("location ", code, " is allowed"))
+        .otherwise(said("location ", code, " is not in ", allowed))
+    )
+    sentences = dict(zip(RULES, (min_years_said, skill_said, education_said, certification_said, location_said), strict=True))
+    out = F.lit(None).cast("string")
+    for name, sentence in sentences.items():
+        out = F.when(rule["type"] == name, sentence).otherwise(out)
+    return out
+
+
 def eliminates(result: Column, on_missing: Column) -> Column:
     return (result == FAIL) | ((result == INDETERMINATE) & (on_missing == "eliminate"))
 

@@ -43,21 +43,25 @@ def tier(score: Column, eliminated: Column, check: bool = True) -> Column:
     )
 
 
-def reconcile(ratings: DataFrame, criteria: DataFrame, keys: list[str], criterion: str = "criterion_id") -> DataFrame:
+def reconcile(ratings: DataFrame, criteria: DataFrame, keys: list[str], criterion: str = "criterion_id", scope: list[str] | None = None) -> DataFrame:
     """keys, verdict, duplicates, missing, unknown: how a set of ratings fits the criteria.
 
     A criterion rated twice is the first thing to be wrong, then one not rated; ratings of unknown
     criteria are dropped and only reported. criteria has one row a criterion; ratings are counted
-    before they meet it."""
-    known = criteria.select(criterion, F.lit(True).alias("_known"))
-    counts = ratings.groupBy(*keys, criterion).agg(F.count(F.lit(1)).alias("_n")).join(known, criterion, "left")
-    every = criteria.agg(F.sort_array(F.collect_set(criterion)).alias("_every"))
+    before they meet it. With `scope` (such as a role) both have these columns, and ratings are held
+    against the criteria of their own scope; they are part of the result."""
+    scope = scope or []
+    own, keys = [*scope, criterion], [*keys, *scope]
+    known = criteria.select(*own, F.lit(True).alias("_known"))
+    counts = ratings.groupBy(*keys, criterion).agg(F.count(F.lit(1)).alias("_n")).join(known, own, "left")
+    every = criteria.groupBy(*scope).agg(F.sort_array(F.collect_set(criterion)).alias("_every"))
     got = counts.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.when(F.col("_n") > 1, F.col(criterion)))).alias("duplicates"),
         F.collect_set(F.when(F.col("_known"), F.col(criterion))).alias("_rated"),
         F.sort_array(F.collect_list(F.when(F.col("_known").isNull(), F.col(criterion)))).alias("unknown"),
     )
-    out = got.crossJoin(F.broadcast(every)).withColumn("missing", F.sort_array(F.array_except("_every", "_rated")))
+    out = got.join(every, scope, "left") if scope else got.crossJoin(F.broadcast(every))
+    out = out.withColumn("missing", F.sort_array(F.coalesce(F.array_except("_every", "_rated"), F.array().cast(every.schema["_every"].dataType))))
     verdict = F.when(F.size("duplicates") > 0, "duplicate").when(F.size("missing") > 0, "missing").otherwise("ok")
     return out.select(*keys, verdict.alias("verdict"), "duplicates", "missing", "unknown")
 
