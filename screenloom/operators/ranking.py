@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scoring import TIERS
@@ -46,6 +46,12 @@ def page(ordered: DataFrame, number: int, size: int = PAGE_SIZE) -> DataFrame:
     return ordered.offset((number - 1) * size).limit(size)
 
 
+def first_of_each(rows: DataFrame, by: str, values: tuple[str, ...], size: int = MAX_PAGE_SIZE, created: str = "created_at", key: str = "id") -> DataFrame:
+    """The newest `size` rows of each of these values, in one scan: ranks are cut off before the shuffle."""
+    newest = Window.partitionBy(by).orderBy(F.col(created).desc(), F.col(key).desc())
+    return rows.filter(F.col(by).isin(*values)).withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= size).drop("_rank")
+
+
 def page_meta(rows: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     """total and total_pages (1 at least)."""
     return rows.agg(F.count(F.lit(1)).alias("total")).withColumn("total_pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("long"))
@@ -74,8 +80,6 @@ def patch(rows: DataFrame, newer: DataFrame, key: str, columns: list[str]) -> Da
 
 def allocate(files: DataFrame, keys: list[str], order: str, size: str, loaded: Column) -> DataFrame:
     """Adds `sent`: how much of each file is among the first `loaded` bytes of all, in order."""
-    from pyspark.sql import Window
-
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.coalesce(F.sum(size).over(before), F.lit(0))
     return files.withColumn("sent", F.greatest(F.lit(0), F.least(F.col(size), loaded - earlier)))

@@ -96,9 +96,7 @@ def display_formats(spark: SparkSession, d: str) -> DataFrame:
 @query(sql(" UNION ALL ".join(f"(SELECT id, status FROM candidates WHERE status = '{s}' ORDER BY created_at DESC, id DESC LIMIT 100)" for s in ("failed", "evaluating", "parsing", "pending")), "candidates"))
 def attention_list(spark: SparkSession, d: str) -> DataFrame:
     """The newest rows of each status that asks for attention, a page of each."""
-    rows = D.candidates(spark, d)
-    pages = [ranking.page(ranking.newest_first(rows.filter(F.col("status") == s)), 1, 100) for s in ("failed", "evaluating", "parsing", "pending")]
-    return reduce(DataFrame.unionByName, pages).select("id", "status")
+    return ranking.first_of_each(D.candidates(spark, d), "status", ("failed", "evaluating", "parsing", "pending")).select("id", "status")
 
 
 @query(sql("SELECT id, status FROM candidates WHERE role_id = 4 AND tier = 'strong_match' AND (id <> 34 OR 34 IS NULL)", "candidates"))

@@ -13,15 +13,29 @@ from pyspark.sql import types as T
 from screenloom.functions.text import strip_fences
 
 
+def known_keys(json: Column, kind: T.DataType) -> Column:
+    """Whether no object in a JSON text has a key that the schema lacks, at any depth."""
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+        elements = F.from_json(json, "array<string>")  # objects as their text
+        return F.coalesce(F.forall(elements, lambda e: known_keys(e, kind.elementType)), F.lit(True))
+    if not isinstance(kind, T.StructType):
+        return F.lit(True)
+    strange = F.array_except(F.json_object_keys(json), F.array(*(F.lit(f.name) for f in kind.fields)))
+    good = F.coalesce(F.size(strange) == 0, F.lit(True))
+    for f in kind.fields:
+        if isinstance(f.dataType, (T.StructType, T.ArrayType)):
+            good = good & known_keys(F.get_json_object(json, f"$.{f.name}"), f.dataType)
+    return good
+
+
 def parse_reply(rows: DataFrame, text: str, schema: T.StructType) -> DataFrame:
     """Adds outcome and value."""
     plain = strip_fences(F.col(text))
     keys = F.json_object_keys(plain)
-    known = F.array(*(F.lit(f.name) for f in schema.fields))
     value = F.from_json(plain, schema, {"mode": "PERMISSIVE"})
     required = [F.get_json_object(plain, f"$.{f.name}").isNotNull() for f in schema.fields if not f.nullable]
     typed = [value[f.name].isNotNull() | F.get_json_object(plain, f"$.{f.name}").isNull() for f in schema.fields]
-    good = F.size(F.array_except(keys, known)) == 0
+    good = known_keys(plain, schema)
     for c in [*required, *typed]:
         good = good & c
     outcome = F.when(keys.isNull(), "invalid_json").when(good, "ok").otherwise("schema_mismatch")

@@ -257,3 +257,43 @@ def test_long_log_is_read_in_pieces(spark):
     assert {x[0]: tuple(x)[1:] for x in lifecycle.fold_transitions(df, "k", ["t"], chunk=16).collect()} == want
     sizes = [x.n for x in lifecycle.chunk_maps(df, "k", ["t"], chunk=16).collect()]
     assert sum(sizes) == len(log) and max(sizes) <= 16
+
+
+def test_composed_forms_and_fences(spark):
+    """NFKC, ligatures and full-width digits; fences without an end; entities with many digits."""
+    from screenloom.functions import dates, markup, text
+    from screenloom.functions.markup import ENTITY, decode_entity
+
+    row = spark.range(1).select(
+        text.words(F.lit("Ｊava ﬁnance")).alias("words"),
+        dates.parse_date(F.lit("２０２０-06")).alias("date"),
+        text.holds_text(F.lit("ﬁnance"), F.lit("finance")).alias("holds"),
+        text.strip_fences(F.lit('```json\n{"a": 1}')).alias("open"),
+        text.strip_fences(F.lit('```\n{"a": 1}\n```')).alias("closed"),
+        text.strip_fences(F.lit("no ``` fence")).alias("none"),
+        markup.decode_entities(F.lit("&#x00000041;&amp;lt;&#xD800;&#9999999999;")).alias("entities"),
+    ).first()
+    assert row.words == ["java", "finance"] and (row.date.year, row.date.month) == (2020, 6) and row.holds
+    assert (row.open, row.closed, row.none) == ('{"a": 1}', '{"a": 1}', "no ``` fence")
+    assert row.entities == "A&lt;&#xD800;&#9999999999;" and ENTITY.sub(decode_entity, "&#0;") == "\0"
+
+
+def test_unknown_keys_in_nested_objects(spark):
+    from pyspark.sql import types as T
+
+    from screenloom.sources.replies import parse_reply
+
+    schema = T.StructType().add("name", "string").add("at", T.StructType().add("city", "string")).add("skills", T.ArrayType(T.StructType().add("name", "string")))
+    said = ['{"name": "x", "at": {"city": "y"}, "skills": [{"name": "z"}]}', '{"name": "x", "at": {"city": "y", "zip": 1}}', '{"skills": [{"name": "z"}, {"nom": "z"}]}', '{"skills": []}', "{"]
+    got = parse_reply(spark.createDataFrame([(s,) for s in said], "text string"), "text", schema).collect()
+    assert [r.outcome for r in got] == ["ok", "schema_mismatch", "schema_mismatch", "ok", "invalid_json"]
+
+
+def test_short_quotes_are_found_inside_words(spark):
+    from screenloom.operators.evidence import contained
+
+    texts = {1: "We ported the finance stack to C++ and SQL", 2: "Nothing of note", 3: "a sql server", 4: None}
+    quotes = {1: "nanc", 2: "sql", 3: "to c", 4: "o", 5: "the finance stack to", 6: "ported the finance stack to C++ and", 7: "absent", 8: " ", 9: "e finance st"}
+    got = contained(spark.createDataFrame(list(quotes.items()), "q long, quote string"), spark.createDataFrame(list(texts.items()), "t long, body string"), "q", "quote", "t", "body")
+    want = {(q, t) for q, a in quotes.items() for t, b in texts.items() if b and a.strip() and a.strip().lower() in b.lower()}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
