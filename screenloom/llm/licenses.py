@@ -7,8 +7,12 @@ diagonals, on which a passage goes on after a word was added or dropped, are mer
 only if the words themselves are equal: next to its hash a gram carries its words, where the hash
 may be a template's (a small table of hash bits tells; all grams are joined all the same).
 
-A phrase template is found only whole, that is, with every gram on one diagonal. A passage template
-is found where at least `least_cover` of its grams are on merged diagonals.
+A phrase template is found only whole, that is, with every gram on one diagonal. For a passage the
+matches are verified as a span: places in a row on a diagonal make a segment; segments follow one
+another if text and template both go on, with at most the template's slack between their diagonals;
+where the template starts again, so does the span. A span counts if it holds at least `least_cover` of
+the template's grams and isn't longer than the template but for its slack. The slack is a fifth of the
+template's words, and at most `slack` from one diagonal to the next, so short templates have none.
 
 Words are runs of digits, of letters a-z after lower-casing A-Z, and of any characters beyond ASCII.
 Defined results: null and empty texts have no words and no labels; repeated rows and null ids are
@@ -44,22 +48,37 @@ PHRASES = (
     Template("apache", "apache license", whole=True),
     Template("gpl", "general public license", whole=True),
 )
+# Sentences of public licenses and the notices that refer to them.
 PASSAGES = (
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    Template("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     Template("mit", "released under the mit license"),
     Template("apache", "licensed under the apache license version 2 0"),
+    Template("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    Template("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
     Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    Template("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
     Template("gpl", "licensed under the gnu general public license version 3"),
     Template("lgpl", "licensed under the gnu lesser general public license"),
+    Template("lgpl", "modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    Template("agpl", "under the terms of the gnu affero general public license as published by the free software foundation"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    Template("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
     Template("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    Template("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain"),
+    Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     Template("cc-by", "licensed under cc by 4 0"),
     Template("cc-by-nc", "licensed under cc by nc 4 0"),
     Template("cc-by-sa", "licensed under cc by sa 4 0"),
     Template("cc-by", "licensed under a creative commons attribution 4 0 international license"),
+    Template("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
     Template("all-rights-reserved", "all rights reserved"),
 )
-K, SLACK, LEAST_COVER, MAX_GRAMS = 2, 3, 0.8, 100_000
+K, SLACK, SLACK_PART, LEAST_COVER, MAX_GRAMS = 2, 3, 5, 0.8, 100_000
 #: A text's row that tells its words, among its grams.
 COUNT_ROW = -1
 IS_WORD = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -141,27 +160,28 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     table = spark.createDataFrame([*sought, (COUNT_ROW, "", -1, 0)], "gram long, t_words string, template int, place int")
     grams = rolling_grams(docs, id_col, text_col, k, [g[0] for g in sought])
     votes = grams.join(F.broadcast(table), "gram").filter(F.col("words") == F.col("t_words"))
-    votes = votes.withColumn("diagonal", F.col("pos") - F.col("place")).repartition("doc")
-    votes = votes.groupBy("doc", "template", "diagonal").agg(F.max("id").alias("id"), F.collect_set("place").alias("places"))
-    facts = F.array(*(F.struct(F.lit(t.label).alias("label"), F.lit(t.whole).alias("whole"), F.lit(size[i]).alias("grams")) for i, t in enumerate(templates)))
-    votes = votes.withColumn("_t", F.get(facts, F.col("template")))
-    # a phrase keeps to its diagonal; a passage goes on at the next diagonals within the slack
-    along = Window.partitionBy("doc", "template").orderBy("diagonal")
-    starts = F.col("_t.whole") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > slack, F.lit(True))
-    votes = votes.withColumn("_run", F.sum(F.when(starts, 1).otherwise(0)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = votes.groupBy("doc", "template", "_run").agg(
-        F.max("id").alias("id"),
-        F.first("_t").alias("_t"),
-        F.min("diagonal").alias("diagonal"),
-        F.min(F.col("diagonal") + F.array_min("places")).alias("first_word"),
-        F.max(F.col("diagonal") + F.array_max("places") + k).alias("end_word"),
-        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
-    )
-    runs = runs.withColumn("cover", F.size("places") / F.col("_t.grams"))
-    place = F.struct("first_word", "end_word", "template", F.col("_t.label").alias("label"), F.col("_t.whole").alias("whole"), "cover")
-    found = (F.col("template") >= 0) & (F.col("cover") >= F.when(F.col("_t.whole"), 1.0).otherwise(least_cover))
+    votes = votes.withColumn("diagonal", F.col("pos") - F.col("place")).repartition("doc").dropDuplicates(["doc", "template", "diagonal", "place"])
+    facts = F.array(*(F.struct(F.lit(t.label).alias("label"), F.lit(t.whole).alias("whole"), F.lit(size[i]).alias("grams"), F.lit(0 if t.whole else (size[i] + k - 1) // SLACK_PART).alias("extra")) for i, t in enumerate(templates)))
+    votes = votes.withColumn("t", F.get(facts, F.col("template"))).withColumn("slack", F.least(F.lit(slack), F.col("t.extra")))
+    along = Window.partitionBy("doc", "template").orderBy("diagonal", "place")
+    goes_on = (F.col("diagonal") == F.lag("diagonal").over(along)) & (F.col("place") == F.lag("place").over(along) + 1)
+    votes = votes.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("segment", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    segments = votes.groupBy("doc", "template", "segment").agg(F.max("id").alias("id"), F.first("t").alias("t"), F.first("slack").alias("slack"), F.min("diagonal").alias("diagonal"), F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
+    segments = segments.withColumn("start", F.col("diagonal") + F.col("place")).withColumn("end", F.col("start") + F.col("n"))
+    # a segment inside a longer one is a repeated gram of the template; then the rest are chained
+    in_text = Window.partitionBy("doc", "template").orderBy("start", F.desc("end"), "diagonal")
+    inside = F.col("end") <= F.max("end").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
+    segments = segments.withColumn("_inside", F.coalesce(inside, F.lit(False))).filter("NOT _inside OR t.whole")
+    before = lambda c: F.lag(c).over(in_text)
+    follows = (F.col("place") >= before("place") + before("n")) & (F.col("start") >= before("end")) & (F.abs(F.col("diagonal") - before("diagonal")) <= F.col("slack")) & ~F.col("t.whole")
+    segments = segments.withColumn("_new", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).withColumn("span", F.sum("_new").over(in_text.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = segments.groupBy("doc", "template", "span").agg(F.max("id").alias("id"), F.first("t").alias("t"), F.min("diagonal").alias("diagonal"), F.min("start").alias("first_word"), (F.max("end") + k - 1).alias("end_word"), F.sum("n").alias("n"))
+    spans = spans.withColumn("cover", F.col("n") / F.col("t.grams"))
+    place = F.struct("first_word", "end_word", "template", F.col("t.label").alias("label"), F.col("t.whole").alias("whole"), "cover")
+    fits = F.col("end_word") - F.col("first_word") <= F.col("t.grams") + k - 1 + F.col("t.extra")
+    found = (F.col("template") >= 0) & fits & (F.col("cover") >= F.when(F.col("t.whole"), 1.0).otherwise(least_cover))
     counts = F.col("template") == -1
-    out = runs.groupBy("doc").agg(
+    out = spans.groupBy("doc").agg(
         F.max("id").alias("id"),
         F.max(F.when(counts, F.col("diagonal"))).alias("n_words"),
         F.array_sort(F.collect_list(F.when(found, place))).alias("places"),
