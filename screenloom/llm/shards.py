@@ -10,7 +10,7 @@ them front to back and can go on from any slot.
 
 A shard is written under a name of its attempt and renamed when it is whole, so retries and
 speculative attempts can't leave half a shard. A rerun with the same key, over the same files, gives
-the same bytes; shards that are there in full size are kept with `resume`.
+the same bytes; with `resume`, shards that are there are read along, and written only if they differ.
 
 Ids are stored as unsigned 16-bit numbers if the vocabulary allows, else 32-bit; the last sequence
 of each input task is filled up with the padding id. Defined results: null and empty texts consist
@@ -39,6 +39,8 @@ from .tokens import END, encoder
 
 LENGTH, SHARD_SIZE, KEY = 2048, 4096, "training-order"
 ROUNDS = 6
+#: Shards that a task writes, one after the other.
+SHARDS_A_TASK = 8
 #: Texts, and characters of each, by which the codec ranks ids.
 SAMPLE_TEXTS, SAMPLE_CHARS = 400, 4000
 
@@ -166,7 +168,7 @@ def write_shards(
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in made.schema.fields[2:])
     dealt = made.mapInArrow(slots, f"slot long, shard int, {fields}")
     shards = max(1, -(-total // shard_size))
-    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    dealt = dealt.repartitionById(-(-shards // SHARDS_A_TASK), F.floor(F.col("shard") / SHARDS_A_TASK).cast("int")).sortWithinPartitions("slot")
     sent = spark.sparkContext.broadcast(codec)
     target = (out_dir or work_path(spark, "shards")).rstrip("/")
 
@@ -175,9 +177,11 @@ def write_shards(
         store.create_dir(root, recursive=True)
         unpack, kind = sent.value.unpack, sent.value.kind
         stride = length * np.dtype(kind).itemsize
-        out, name, whole = None, "", ""
+        out, had, name, whole = None, None, "", ""
 
         def close() -> None:
+            if had is not None:
+                had.close()
             if out is not None:
                 out.close()
                 store.move(name, whole)
@@ -191,10 +195,20 @@ def write_shards(
                     shard, whole = of, f"{root}/shard-{of:08d}.bin"
                     due = min(shard_size, total - of * shard_size) * stride
                     name = f"{whole}.{uuid.uuid4().hex}"
-                    out = None if resume and store.get_file_info(whole).size == due else store.open_output_stream(name)
+                    out, had = None, store.open_input_file(whole) if resume and store.get_file_info(whole).size == due else None
+                    if had is None:
+                        out = store.open_output_stream(name)
+                ids = unpack(data.as_py())
+                bytes_of = np.concatenate((ids, np.full(length - len(ids), END, kind))).tobytes()
+                if had is not None and had.read(stride) != bytes_of:  # a shard of other texts: what was equal so far is copied
+                    out = store.open_output_stream(name)
+                    had.seek(0)
+                    for _ in range(slot % shard_size):
+                        out.write(had.read(stride))
+                    had.close()
+                    had = None
                 if out is not None:
-                    ids = unpack(data.as_py())
-                    out.write(np.concatenate((ids, np.full(length - len(ids), END, kind))).tobytes())
+                    out.write(bytes_of)
                 paths.append(whole)
             slot = batch.column(0).to_numpy()
             offset = (slot % shard_size) * stride
