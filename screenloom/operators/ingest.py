@@ -26,8 +26,8 @@ def collapsed(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
 
 
 def insert_new(stored: DataFrame, incoming: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
-    """What an idempotent insert answers: for each content of incoming, in order of ordinal, whether
-    it is created or was stored already."""
+    """What an idempotent insert answers: for each content of incoming, by its first ordinal, whether
+    it is created or was stored already. in_order() gives a caller the answers in the order asked."""
     new = collapsed(incoming, keys, ordinal)
     have = stored.select(*keys).distinct()
     made = new.join(have, keys, "left_anti").withColumn("created", F.lit(True))
@@ -35,6 +35,11 @@ def insert_new(stored: DataFrame, incoming: DataFrame, keys: list[str], ordinal:
     return made.unionByName(known)
 
 
+def in_order(answers: DataFrame, asked: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
+    """The answers by content, for each row that asked, in its order."""
+    return asked.select(*keys, ordinal).join(answers.drop(ordinal), keys).orderBy(ordinal)
+
+
 def duplicates_of(rows: DataFrame, keys: list[str], key: str) -> DataFrame:
     """Rows whose keys another row has too, with how many others."""
     n = rows.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("others")).filter("others > 0")

@@ -297,3 +297,10 @@ def test_short_quotes_are_found_inside_words(spark):
     got = contained(spark.createDataFrame(list(quotes.items()), "q long, quote string"), spark.createDataFrame(list(texts.items()), "t long, body string"), "q", "quote", "t", "body")
     want = {(q, t) for q, a in quotes.items() for t, b in texts.items() if b and a.strip() and a.strip().lower() in b.lower()}
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_answers_come_in_the_order_asked(spark):
+    asked = spark.createDataFrame([(k, f"s{k % 3}") for k in range(9)], "ordinal long, sha string")
+    answers = ingest.insert_new(spark.createDataFrame([("s1",)], "sha string"), asked, ["sha"], "ordinal")
+    got = [(r.ordinal, r.sha, r.created) for r in ingest.in_order(answers, asked, ["sha"], "ordinal").collect()]
+    assert got == [(k, f"s{k % 3}", k % 3 != 1) for k in range(9)]
