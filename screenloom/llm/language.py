@@ -18,6 +18,7 @@ the input other than the id, the text and the label are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -28,11 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_batches
+from .common import fresh, in_batches
 
 #: Labelled text for a language: so many different texts, of each so many characters (the bound of
 #: the sample; an automaton has at most two states a character).
 SAMPLE_TEXTS, SAMPLE_CHARS = 60, 600
+#: As many texts again, over this, tell how many bits a character texts of the languages need; a text
+#: is foreign beyond FOREIGN times the most of these, not counting FREE phrases (short texts).
+CALIBRATE, FOREIGN, FREE = 3, 2.5, 8
 #: Symbols that have a code of their own; rarer ones share the last one.
 SYMBOLS = 250
 PIECE = 2048
@@ -98,6 +102,7 @@ class Model:
     width: int
     codes: np.ndarray
     bit: int
+    bound: float = math.inf
 
 
 def build_model(texts: dict[str, list[np.ndarray]]) -> Model | None:
@@ -159,30 +164,33 @@ def count_phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def judge(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text."""
-    langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+def judge(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and score of each text, and the bits a character that it needs beyond FREE phrases
+    (without limit, if it has no letter)."""
+    langs, scores, needs = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.full(len(texts), math.inf)
     if model is None:
-        return langs, scores
+        return langs, scores, needs
     todo, size = [], 0
     for k, text in enumerate([*texts, None]):
         if k == len(texts) or size > BATCH_CHARS:
             if todo:
                 counts = count_phrases(model, [c for _, c in todo])
-                bits = counts * model.bits / np.array([[len(c)] for _, c in todo])
+                lengths = np.array([[len(c)] for _, c in todo])
+                bits = counts * model.bits / lengths
                 best = bits.argmin(axis=1)
                 share = 2.0 ** -(bits - bits.min(axis=1, keepdims=True))
+                beyond = ((counts - FREE) * model.bits / lengths).min(axis=1)
                 for row, (i, _) in enumerate(todo):
-                    langs[i], scores[i] = model.langs[best[row]], share[row, best[row]] / share[row].sum()
+                    langs[i], scores[i], needs[i] = model.langs[best[row]], share[row, best[row]] / share[row].sum(), beyond[row]
             todo, size = [], 0
         plain = folded(text or "")
         if len(plain):
             todo.append((k, model.codes[plain]))
             size += len(plain)
-    return langs, scores
+    return langs, scores, needs
 
 
-def labelled_sample(docs: DataFrame, text_col: str, lang_col: str, texts: int, chars: int) -> dict[str, list[np.ndarray]]:
+def labelled_sample(docs: DataFrame, text_col: str, lang_col: str, texts: int, chars: int) -> dict[str, list[str]]:
     """Labelled text by language: about `texts` different texts of each, chosen by their hash, and
     of each the `chars` characters from a place that the hash picks. What reaches the driver is
     bounded by that for each language."""
@@ -195,28 +203,35 @@ def labelled_sample(docs: DataFrame, text_col: str, lang_col: str, texts: int, c
     place = (F.pmod("h", F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1).cast("int")
     chosen = known.filter(F.pmod("h", F.lit(1 << 40)) < F.element_at(part, F.col("lang")) * float(1 << 40))
     rows = chosen.groupBy("lang", "h").agg(F.min(F.substring("text", place, F.lit(chars))).alias("text")).collect()
-    out: dict[str, list[np.ndarray]] = {}
+    out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"])):
-        if len(out.setdefault(r["lang"], [])) < texts and len(plain := folded(r["text"])):
-            out[r["lang"]].append(plain)
+        if len(out.setdefault(r["lang"], [])) < texts and len(folded(r["text"])):
+            out[r["lang"]].append(r["text"])
     return out
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> Model | None:
-    return build_model(labelled_sample(docs, text_col, lang_col, texts, chars))
+    sample = labelled_sample(docs, text_col, lang_col, texts + texts // CALIBRATE, chars)
+    model = build_model({lang: [folded(t) for t in some[:texts]] for lang, some in sample.items()})
+    if model is not None:
+        needs = judge(model, [t for some in sample.values() for t in some[texts:]])[2]
+        model.bound = FOREIGN * max(needs, default=math.inf) if (needs > 0).any() else math.inf
+    return model
 
 
-def with_language(docs: DataFrame, model: Model | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """The rows of docs with a language and a score."""
+def with_language(docs: DataFrame, model: Model | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", foreign_out: str = "foreign") -> DataFrame:
+    """The rows of docs with a language, a score and whether they are foreign to all languages."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = judge(sent.value, batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], [*batch.schema.names, lang_out, score_out])
+            langs, scores, needs = judge(sent.value, batch.column(at).to_pylist())
+            foreign = needs > (math.inf if sent.value is None else sent.value.bound)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores), pa.array(foreign)], [*batch.schema.names, lang_out, score_out, foreign_out])
 
-    return in_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())]))
+    added = [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType()), T.StructField(foreign_out, T.BooleanType())]
+    return in_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def identify(docs: DataFrame, teaches: Column, text_col: str = "text", lang_col: str = "lang", **bounds) -> DataFrame:
@@ -225,8 +240,11 @@ def identify(docs: DataFrame, teaches: Column, text_col: str = "text", lang_col:
 
 
 def keep_known(docs: DataFrame, teaches: Column, text_col: str = "text", lang_col: str = "lang", **bounds) -> DataFrame:
-    """The rows of docs, with their columns, whose language can be told; all where no label teaches any."""
+    """The rows of docs, with their columns, that are in a language of the labelled ones: those have a
+    letter and don't need far more bits a character than labelled texts; all where no label teaches any."""
     model = fit(docs.filter(teaches), text_col, lang_col, **bounds)
     if model is None:
         return docs
-    return with_language(docs, model, text_col, "_lang", "_score").filter(F.col("_lang") != UNDETERMINED).select(*docs.columns)
+    lang, score, foreign = fresh(docs, "_lang", "_score", "_foreign")
+    told = with_language(docs, model, text_col, lang, score, foreign)
+    return told.filter((F.col(lang) != UNDETERMINED) & ~F.col(foreign)).select(*docs.columns)

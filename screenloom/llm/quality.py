@@ -21,13 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, in_batches, materialise
+from .common import SPACES, few, fresh, in_batches, materialise
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
-#: So many bad hosts are sent to every task (some 100 bytes each); more are joined by a shuffle.
-BROADCAST_HOSTS = 50_000
 RULES = ("few_words", "repeated_words", "symbols", "dup_lines")
 
 
@@ -118,7 +116,7 @@ def host_rates(rows: DataFrame, bounds: Bounds = USUAL) -> DataFrame:
     hosts' rates spread beyond chance. One row for each host; only sums reach the driver.
     """
     fails = failures(bounds)
-    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *(F.sum(fails[r].cast("long")).alias(f"f_{r}") for r in RULES))
+    hosts = materialise(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *(F.sum(fails[r].cast("long")).alias(f"f_{r}") for r in RULES)), "hosts")
     sums = [F.sum("n").alias("n"), F.count(F.lit(1)).alias("h")]
     sums += [F.sum(f"f_{r}").alias(f"f_{r}") for r in RULES]
     sums += [F.sum(F.col(f"f_{r}") * F.col(f"f_{r}") / F.col("n")).alias(f"q_{r}") for r in RULES]
@@ -156,22 +154,26 @@ def quality_rules(
 def bad_hosts(rows: DataFrame, bad_host_rate: float, bounds: Bounds = USUAL) -> DataFrame:
     """The hosts that any rule's shrunk rate condemns; sent to every task only if they are few."""
     bad = host_rates(rows, bounds).filter(any_of([F.col(f"r_{r}") > bad_host_rate for r in RULES])).select(F.col("host").alias("_of_host"), F.lit(True).alias("_bad_host"))
-    return F.broadcast(bad) if len(bad.take(BROADCAST_HOSTS + 1)) <= BROADCAST_HOSTS else bad
+    return few(materialise(bad, "bad-hosts"))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", bad_host_rate: float = 0.5) -> DataFrame:
-    """The rows of docs that the rules keep, with their columns. Texts aren't shuffled for it: the
-    counts are taken again next to the text, and bad hosts are joined to them."""
-    bad = bad_hosts(measured(docs, id_col, host_col, text_col), bad_host_rate)
+    """The rows of docs that the rules keep, with their columns. Texts are measured once and written
+    with their counts; bad hosts are then joined to them, so that texts aren't shuffled."""
     at = docs.columns.index(text_col)
+    (name,) = fresh(docs, "_counts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = np.array([measure(t.as_py()) for t in batch.column(at)], np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays([pa.array(counts[:, k]) for k in range(len(COUNTS))], list(COUNTS))], [*batch.schema.names, "_counts"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("_counts", T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
-    marked = in_batches(docs).mapInArrow(run, schema)
-    usual, tight = (any_of(list(failures(b, "_counts.").values())) for b in (USUAL, TIGHT))
-    joined = marked.filter(~usual).withColumn("_tight", tight).join(bad, F.col(host_col).eqNullSafe(F.col("_of_host")), "left")
-    return joined.filter(~(F.col("_tight") & F.coalesce("_bad_host", F.lit(False)))).select(*docs.columns)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays([pa.array(counts[:, k]) for k in range(len(COUNTS))], list(COUNTS))], [*batch.schema.names, name])
+
+    text = docs.schema[text_col].dataType
+    rows = docs if text == T.StringType() else docs.withColumn(text_col, F.col(text_col).cast("string"))
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
+    marked = materialise(in_batches(rows).mapInArrow(run, schema), "measured")
+    bad = bad_hosts(marked.select(F.col(host_col).alias("host"), f"{name}.*"), bad_host_rate)
+    usual, tight = (any_of(list(failures(b, "counts.").values())) for b in (USUAL, TIGHT))
+    kept = marked.select(F.struct(*docs.columns).alias("row"), F.col(host_col).alias("host"), F.col(name).alias("counts")).filter(~usual)
+    joined = kept.join(bad, F.col("host").eqNullSafe(F.col("_of_host")), "left")
+    return joined.filter(~(tight & F.coalesce("_bad_host", F.lit(False)))).select("row.*")

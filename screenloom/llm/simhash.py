@@ -29,16 +29,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, few, in_batches, materialise
+from .common import LOWER_ASCII, Work, few, in_batches, materialise
 from .graph import components
 from .hashing import Stretches, gram_hashes, parts, runs_of
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: For the groups of keep_one(): the similarity of shingles from which texts are near duplicates.
 CHECK_SHINGLE, SIMILARITY = 5, 0.8
-#: How many texts tell which shingles are common, in so many buckets (handed on in blocks); and the
-#: turns in which texts that meet are compared with one of them. They decide on cost only.
-SAMPLE, BUCKETS, BLOCK, STARS = 20_000, 1 << 20, 1 << 14, 2
+#: How many characters of texts tell which shingles are common, from how often on; and beyond how many
+#: pairs for each shingle of a text those that meet are first compared with one of them. They decide on
+#: cost only.
+SAMPLE_CHARS, COMMON, PAIRS = 30_000_000, 3, 16
+#: See signature() and shares().
+LIGHT, SKETCH, SHARED = 0.7, 64, 10
+#: Texts in a block, of which two meet at a time to be compared.
+BLOCK_TEXTS = 64
+#: What goes with a text where it meets others.
+FACTS = ("h", "n", "own", "place", "root")
 IS_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 #: The bits of the three thirds.
 THIRDS = tuple(range(0, 21)), tuple(range(21, 42)), tuple(range(42, 64))
@@ -115,9 +122,9 @@ def apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, work: Work) -> DataFrame:
     """Distinct fingerprints (fp) to links (a, b) that join up all of their components."""
-    met = materialise(met_at_variants(fps), "met")
+    met = work.table(met_at_variants(fps), "variants")
     pairs = met.filter("n = 2").select("a", "b").distinct().filter(apart("a", "b") <= RADIUS)
     # who met in a crowd: the balls around the crowded variants lead back to the fingerprints
     # (dealt out anew before each explosion, since crowds lie in a few of the written files)
@@ -125,7 +132,7 @@ def links(fps: DataFrame) -> DataFrame:
     whose = [F.when(F.col("variant").bitwiseAND(F.lit(out)) == F.lit(out), longs(each)).otherwise(longs([])) for out, each in zip(OUT, BALLS, strict=True)]
     back = crowds.select(F.explode(F.transform(F.concat(*whose), lambda m: m.bitwiseXOR(F.col("variant")))).alias("rest")).distinct()
     rests = fps.select("fp", F.explode(F.array(*(F.col("fp").bitwiseOR(F.lit(out)) for out in OUT))).alias("rest"))
-    dense = materialise(rests.join(back, "rest", "left_semi").select("fp").distinct(), "dense")
+    dense = work.table(rests.join(back, "rest", "left_semi").select("fp").distinct(), "dense")
     full = dense.repartition("fp").select("fp", around("fp", ball(tuple(range(64)), RADIUS // 2)).alias("variant"))
     # at most 2,081 fingerprints can meet at a variant of 64 bits, so the lists are bounded
     stars = full.groupBy("variant").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
@@ -136,40 +143,17 @@ def links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) for every row of docs."""
     rows = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = materialise(rows.select("fp").distinct(), "nodes")
-    roots = components(links(nodes)).withColumnRenamed("node", "fp")
-    roots = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    # least ids by fingerprint first, then by component, so that many copies are one row
-    least = rows.groupBy("fp").agg(F.min(id_col).alias("_least")).join(roots, "fp")
-    by_root = least.groupBy("root").agg(F.min("_least").alias("component_id"))
-    found = roots.join(by_root, "root").select("fp", "component_id")
+    with Work(docs.sparkSession) as work:
+        nodes = work.table(rows.select("fp").distinct(), "nodes")
+        roots = components(links(nodes, work), work=work).withColumnRenamed("node", "fp")
+        roots = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+        # least ids by fingerprint first, then by component, so that many copies are one row
+        least = rows.groupBy("fp").agg(F.min(id_col).alias("_least")).join(roots, "fp")
+        by_root = least.groupBy("root").agg(F.min("_least").alias("component_id"))
+        found = materialise(roots.join(by_root, "root").select("fp", "component_id"), "components")
     return rows.join(found, "fp").select(id_col, "fp", "component_id")
 
 
-def with_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, fp): h is the text's hash."""
-    rows = docs.select(F.col(id_col), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps)], [id_col, "h", "fp"])
-
-    kind = rows.schema[id_col].dataType.simpleString()
-    return in_batches(rows).mapInArrow(run, f"`{id_col}` {kind}, h long, fp long")
-
-
-def text_links(rows: DataFrame) -> DataFrame:
-    """(a, b): links between texts (h) of equal or linked fingerprints. The texts of a fingerprint
-    are linked to one of them, and linked fingerprints by those ones."""
-    own = rows.select("h", "fp").distinct()
-    least = materialise(own.groupBy("fp").agg(F.min("h").alias("center")), "centers")
-    same = own.join(least, "fp").select(F.col("h").alias("a"), F.col("center").alias("b")).filter("a <> b")
-    ends = [least.select(F.col("fp").alias(e), F.col("center").alias(f"c{e}")) for e in ("a", "b")]
-    linked = links(least.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    return same.union(linked).filter("a <> b").distinct()
-
-
 def sets_of(texts: list[str | None], shingle: int) -> list[np.ndarray]:
     """The distinct hashes of each text's word shingles, in order; a shorter text is one shingle."""
     out: list[np.ndarray] = []
@@ -184,66 +168,101 @@ def sets_of(texts: list[str | None], shingle: int) -> list[np.ndarray]:
     return out
 
 
-def shingle_sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(h, shingles): the distinct hashes of each text's word shingles."""
-    rows = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+def text_key(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets_of(batch.column(1).to_pylist(), shingle), pa.list_(pa.int64()))], ["h", "shingles"])
-
-    return in_batches(rows).mapInArrow(run, "h long, shingles array<long>")
 
-
-def commonness(docs: DataFrame, n_texts: int, text_col: str) -> np.ndarray:
-    """How often shingles of each of BUCKETS hash buckets occur, by a sample of about SAMPLE texts."""
-    rows = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    share = min(1.0, SAMPLE / max(n_texts, 1))
+def common_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
+    """The shingles, in order, that occur COMMON times or more in a sample of texts of about
+    SAMPLE_CHARS characters in all, which bounds what reaches the driver."""
+    rows = docs.select(text_key(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    share = min(1.0, SAMPLE_CHARS / max(chars, 1))
     rows = rows.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).dropDuplicates(["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(BUCKETS, np.int32)
         for batch in batches:
-            for found in sets_of(batch.column(1).to_pylist(), CHECK_SHINGLE):
-                np.add.at(n, found & (BUCKETS - 1), 1)
-        k = np.arange(0, BUCKETS, BLOCK)
-        if n.any():
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array([n[i : i + BLOCK].tobytes() for i in k.tolist()], pa.binary())], ["k", "n"])
-
-    def add(table: pa.Table) -> pa.Table:
-        n = sum(np.frombuffer(x.as_py(), np.int32) for x in table.column("n"))
-        return pa.table({"k": table.column("k")[:1], "n": pa.array([n.tobytes()], pa.binary())})
-
-    out = np.zeros(BUCKETS, np.int32)
-    for r in in_batches(rows).mapInArrow(run, "k long, n binary").groupBy("k").applyInArrow(add, "k long, n binary").collect():
-        out[r["k"] : r["k"] + BLOCK] = np.frombuffer(r["n"], np.int32)
-    return out
-
-
-def prefixes(docs: DataFrame, common: np.ndarray, text_col: str) -> DataFrame:
-    """(h, n, place, shingle): the first shingles of every text, rarest first, so many that texts of
-    SIMILARITY or more have one of them in common; n is the size of the set. The order is the same for
-    all texts, so that it decides what is compared, and not what is found."""
-    rows = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+            kinds, n = np.unique(np.concatenate(sets_of(batch.column(0).to_pylist(), CHECK_SHINGLE)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n.astype(np.int64))], ["shingle", "n"])
+
+    counts = in_batches(rows.select("text")).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = counts.filter(F.col("n") >= COMMON).select("shingle").toArrow()
+    return np.sort(found.column(0).to_numpy())
+
+
+def signature(found: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Shingles of a text's set by which it meets every text of SIMILARITY or more, their places among
+    the set's, rarest first, and how many of the set aren't common, as a negative number if that is a
+    small part.
+
+    Let two such texts have the sets A and B of shingles that aren't common. If these are alike to
+    LIGHT or more, they have shares() or more of the SKETCH least hashes of A and of B in both. If they
+    are less alike, A and B still differ by at most a fifth of the texts' union, so each is a small part
+    of its text; then the rarest shingles of the whole text, as many as can differ and one more, are
+    sure to hold one of the other's."""
+    n = len(found)
+    at = np.searchsorted(common, found)
+    rare = np.ones(n, bool) if not len(common) else common[np.minimum(at, len(common) - 1)] != found
+    own = found[rare]  # in order of their hashes
+    if len(own) > (1 - SIMILARITY) / (1 - LIGHT) / SIMILARITY * n:
+        return own[:SKETCH], np.arange(min(SKETCH, len(own))), len(own)
+    order = np.lexsort((found, ~rare))
+    most = max(n - math.ceil(SIMILARITY * n - 1e-6) + 1, min(SKETCH, len(own)))
+    return found[order[:most]], np.arange(most), -len(own)
+
+
+def shares(a: Column, b: Column) -> Column:
+    """How many shingles of their signatures two texts of SIMILARITY or more have in both, given the
+    numbers that go with the signatures: LIGHT of both sets, where the sketches are all of them; else
+    SHARED, but for a chance of 2e-20, about that of two hashes that collide."""
+    both = F.least(F.lit(SHARED), F.ceil(LIGHT * F.greatest(F.abs(a), F.abs(b)) - 1e-6))
+    return F.when((a < 0) & (b < 0), 1).otherwise(F.greatest(both, F.lit(1)))
+
+
+def measured(docs: DataFrame, common: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, h2, fp, n, own, firsts, places), one row for each row of docs: two hashes of its text, the
+    fingerprint, the number of distinct shingles, and the signature (null where the task has had the
+    text) with its number."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, tuple[int, int, int]] = {}
         for batch in batches:
-            n, firsts = [], []
-            for found in sets_of(batch.column(1).to_pylist(), CHECK_SHINGLE):
-                n.append(len(found))
-                order = np.lexsort((found, sent.value[found & (BUCKETS - 1)]))
-                firsts.append(found[order[: len(found) - math.ceil(SIMILARITY * len(found) - 1e-6) + 1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["h", "n", "firsts"])
-
-    found = in_batches(rows).mapInArrow(run, "h long, n int, firsts array<long>").dropDuplicates(["h"])
-    return found.select("h", "n", F.posexplode("firsts").alias("place", "shingle"))
-
-
-def grouped(nodes: DataFrame, sure: DataFrame) -> DataFrame:
-    """nodes with `root`, by the links that are sure."""
-    roots = components(sure).withColumnRenamed("node", "h")
-    return nodes.drop("root").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+            keys, firsts, places = batch.column(1).to_pylist(), [None] * batch.num_rows, [None] * batch.num_rows
+            new = [k for k, h in enumerate(keys) if h not in seen and not seen.update({h: (0, 0, 0)})]
+            texts = batch.column(3).take(pa.array(new, pa.int64())).to_pylist()
+            for k, text, found in zip(new, texts, sets_of(texts, CHECK_SHINGLE), strict=True):
+                firsts[k], places[k], own = signature(found, sent.value)
+                seen[keys[k]] = fingerprint(text), len(found), own
+            fps = np.array([seen[h][0] for h in keys], np.uint64).view(np.int64)
+            n, own = ([seen[h][c] for h in keys] for c in (1, 2))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps), pa.array(n, pa.int32()), pa.array(own, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], ["id", "h", "h2", "fp", "n", "own", "firsts", "places"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return in_batches(rows).mapInArrow(run, f"id {kind}, h long, h2 long, fp long, n int, own int, firsts array<long>, places array<int>")
+
+
+def can_be_alike(e: str, f: str) -> Column:
+    """Whether two texts that meet at a shingle may be similar by its places. What comes before the
+    first shingle that they share, in the order of all, is in one of them only; of texts that meet by
+    their rarest shingles, similar ones pass at that one."""
+    n, place = (lambda x: F.col(f"n_{x}")), (lambda x: F.col(f"place_{x}"))
+    left = F.least(n(e) - place(e), n(f) - place(f))
+    light = (F.col(f"own_{e}") >= 0) | (F.col(f"own_{f}") >= 0)
+    return light | (left >= SIMILARITY / (1 + SIMILARITY) * (n(e) + n(f)) - 1e-6)
+
+
+def text_links(rows: DataFrame, work: Work) -> DataFrame:
+    """(a, b): links between texts (h) of equal or linked fingerprints. The texts of a fingerprint
+    are linked to one of them, and linked fingerprints by those ones."""
+    own = rows.select("h", "fp").distinct()
+    least = work.table(own.groupBy("fp").agg(F.min("h").alias("center")), "centers")
+    same = own.join(least, "fp").select(F.col("h").alias("a"), F.col("center").alias("b")).filter("a <> b")
+    ends = [least.select(F.col("fp").alias(e), F.col("center").alias(f"c{e}")) for e in ("a", "b")]
+    linked = links(least.select("fp"), work).join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    return same.union(linked).filter("a <> b").distinct()
 
 
 def meeting(firsts: DataFrame) -> DataFrame:
@@ -252,63 +271,132 @@ def meeting(firsts: DataFrame) -> DataFrame:
     return firsts.join(shared, "shingle", "left_semi")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs of texts whose shingles have a Jaccard similarity of SIMILARITY or more."""
-    ends = [sets.select(F.col("h").alias(e), F.col("shingles").alias(f"s{e}")) for e in ("a", "b")]
-    met = pairs.join(ends[0], "a").join(ends[1], "b").withColumn("_both", F.size(F.array_intersect("sa", "sb")))
-    return met.filter(F.col("_both") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("_both"))).select("a", "b")
+def met_in_blocks(pairs: DataFrame, work: Work) -> DataFrame:
+    """pairs (a, b, shingle) with the blocks in which their texts meet: the texts of a shingle's pairs
+    are dealt at random into blocks of about BLOCK_TEXTS, and `left` and `right` are those of a pair."""
+    pairs = work.table(pairs, "candidates")
+    ends = pairs.select("shingle", F.col("a").alias("h")).union(pairs.select("shingle", F.col("b").alias("h"))).distinct()
+    sizes = ends.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).cast("int").alias("blocks"))
+    of = lambda h: F.pmod(F.xxhash64(F.lit(2), h), F.col("blocks")).cast("int")
+    rows = pairs.join(sizes, "shingle").select("shingle", F.least(of("a"), of("b")).alias("left"), F.greatest(of("a"), of("b")).alias("right"), "a", "b")
+    return work.table(rows, "pairs", instead_of=pairs)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, work: Work) -> DataFrame:
+    """The pairs (a, b) of those given, as (a, b, shingle), of texts whose shingles have a Jaccard
+    similarity of SIMILARITY or more. A text is sent once to each two blocks in which it has pairs."""
+    met = met_in_blocks(pairs, work)
+    place = ["shingle", "left", "right"]
+    ends = met.select(*place, F.col("a").alias("h")).union(met.select(*place, F.col("b").alias("h"))).distinct()
+    ends = few(work.table(ends.join(rows.groupBy("h").agg(F.min("id").alias("id")), "h"), "ends"))
+    texts = docs.select(F.col(id_col).alias("_id"), text_key(text_col).alias("_h"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(ends, (F.col("_h") == ends["h"]) & F.col("_id").eqNullSafe(ends["id"]))
+    none = F.lit(None)
+    sent = texts.select(*place, F.col("h").alias("a"), none.cast("long").alias("b"), "text").union(met.select(*place, "a", "b", none.cast("string")))
+    sent = sent.repartition(*place).sortWithinPartitions(*place, F.col("b").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        at = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            a, b = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            is_text = [k for k, other in enumerate(b) if other is None]
+            sets = iter(sets_of(batch.column(5).take(pa.array(is_text, pa.int64())).to_pylist(), CHECK_SHINGLE))
+            found = []
+            for key, one, other in zip(keys, a, b, strict=True):
+                if key != at:
+                    held, at = {}, key
+                if other is None:
+                    held[one] = next(sets)
+                else:
+                    x, y = held[one], held[other]
+                    both = len(x) + len(y) - len(np.union1d(x, y))
+                    if both >= SIMILARITY * (len(x) + len(y) - both):
+                        found.append((one, other))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], ["a", "b"])
+
+    return in_batches(sent).mapInArrow(run, "a long, b long")
 
 
 def alike_in_size(a: Column, b: Column) -> Column:
     return F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-6
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, sure: DataFrame, text_col: str) -> DataFrame:
+def grouped(met: DataFrame, links: DataFrame, work: Work) -> DataFrame:
+    """The rows of met that meet others, with the groups that the links make as `root`."""
+    roots = components(links, work=work).withColumnRenamed("node", "h")
+    return meeting(met.drop("root").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")))
+
+
+def crowds(met: DataFrame, work: Work) -> DataFrame:
+    """For each shingle: the pairs of its texts that aren't in one group, and its largest group."""
+    groups = met.groupBy("shingle", "root").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    pairs = (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2
+    return work.table(groups.groupBy("shingle").agg(F.sum("n").alias("rows"), pairs.alias("pairs"), F.max(F.struct("n", "root")).getField("root").alias("large")), "crowds")
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, sure: DataFrame, id_col: str, text_col: str, work: Work) -> DataFrame:
     """(a, b): links that, with those that are sure, join up all pairs of texts of SIMILARITY or more.
 
-    Texts meet at the rarest shingles of each (prefixes()). Those that meet at a shingle are first
-    compared with one of them, for STARS turns; then every pair that meets and isn't yet in one group
-    is compared, unless the places of the shingles it meets at say that it can't be similar enough. So
-    a large group of copies makes a row a text and shingle, and only what stays apart makes pairs."""
-    nodes = grouped(nodes, sure)
-    firsts = prefixes(docs, commonness(docs, nodes.count(), text_col), text_col)
-    met = materialise(meeting(materialise(firsts, "prefixes").join(nodes, "h")), "met")
-    wanted = few(met.select("h").distinct())
-    texts = docs.withColumn("_h", F.xxhash64(text_col)).join(wanted.withColumnRenamed("h", "_h"), "_h", "left_semi")
-    sets = materialise(shingle_sets(texts, text_col, CHECK_SHINGLE).dropDuplicates(["h"]), "shingles")
-    links = sure
-    for turn in range(STARS):
-        center = F.min(F.struct(F.xxhash64("h", F.lit(turn)), F.col("h"), "root", "n")).alias("c")
-        stars = met.join(met.groupBy("shingle").agg(center), "shingle").filter((F.col("root") != F.col("c.root")) & alike_in_size(F.col("n"), F.col("c.n")))
-        pairs = stars.select(F.least("h", "c.h").alias("a"), F.greatest("h", "c.h").alias("b")).distinct()
-        links = materialise(links.union(verified(materialise(pairs, "pairs"), sets)), "links")
-        nodes = grouped(nodes, links)
-        met = materialise(meeting(met.drop("root").join(nodes, "h")), "met")
-    sides = [met.select("shingle", *(F.col(c).alias(f"{c}_{e}") for c in ("h", "n", "place", "root"))) for e in ("a", "b")]
-    both = sides[0].join(sides[1], "shingle").filter((F.col("h_a") < F.col("h_b")) & (F.col("root_a") != F.col("root_b")) & alike_in_size(F.col("n_a"), F.col("n_b")))
-    least = F.least(F.col("n_a") - F.max("place_a"), F.col("n_b") - F.max("place_b")) - 1
-    can = both.groupBy(F.col("h_a").alias("a"), F.col("h_b").alias("b"), "n_a", "n_b").agg((F.count(F.lit(1)) + least).alias("most"))
-    pairs = can.filter(F.col("most") >= SIMILARITY / (1 + SIMILARITY) * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b")
-    return links.union(verified(materialise(pairs, "pairs"), sets))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", views: int = 0) -> DataFrame:
+    Texts meet at the shingles of their signatures. While these make many pairs, and at least half of
+    them go by it, the texts at a shingle are compared with one of them, so that a large group of copies
+    is one group at a row a text and shingle. Then every pair that meets often enough and isn't in one group is compared."""
+    size = (F.shiftleft(F.col("n").cast("long"), 32) + F.col("own") + F.lit(1 << 31)).alias("size")  # both in one number, for the shuffle
+    own = F.col("size").bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)
+    each = F.explode(F.arrays_zip("firsts", "places")).alias("e")
+    firsts = rows.filter("firsts IS NOT NULL").select("h", size, each).select("h", "size", F.col("e.firsts").alias("shingle"), F.when(own < 0, F.col("e.places")).otherwise(0).alias("place"))
+    met = meeting(firsts.repartition("shingle").withColumn("root", F.col("h"))).dropDuplicates(["shingle", "h"])
+    met = work.table(met.select("shingle", "h", "place", F.shiftright("size", 32).cast("int").alias("n"), own.cast("int").alias("own"), "root"), "met")
+    links, turn, before = sure, 0, math.inf
+    while True:
+        shingles = crowds(met, work)
+        n = shingles.agg(F.sum("rows").alias("rows"), F.sum("pairs").alias("pairs")).first()
+        if not n["rows"] or n["pairs"] <= PAIRS * n["rows"] or n["pairs"] > before / 2:
+            break
+        center = F.min(F.struct(F.xxhash64("h", F.lit(turn)), F.col("h"), "root", "n", "own", "place")).alias("c")
+        centers = met.groupBy("shingle").agg(center).select("shingle", *(F.col(f"c.{c}").alias(f"{c}_b") for c in FACTS))
+        stars = met.select("shingle", *(F.col(c).alias(f"{c}_a") for c in FACTS)).join(centers, "shingle")
+        stars = stars.filter((F.col("root_a") != F.col("root_b")) & alike_in_size(F.col("n_a"), F.col("n_b")) & can_be_alike("a", "b"))
+        pairs = stars.groupBy(F.col("h_a").alias("a"), F.col("h_b").alias("b")).agg(F.min("shingle").alias("shingle"))
+        links = work.table(links.union(verified(pairs, docs, rows, id_col, text_col, work)), "links", instead_of=links)
+        met = work.table(grouped(met, links, work), "met", instead_of=met)
+        turn, before = turn + 1, n["pairs"]
+    # the texts of a shingle's largest group don't meet each other here, but all others
+    sides = [met.select("shingle", *(F.col(c).alias(f"{c}_{e}") for c in FACTS)) for e in ("a", "b")]
+    outside = sides[0].join(shingles.select("shingle", "large"), "shingle").filter(F.col("root_a") != F.col("large"))
+    once = (F.col("root_b") == F.col("large")) | (F.col("h_a") < F.col("h_b"))
+    both = outside.join(sides[1], "shingle").filter(once & (F.col("root_a") != F.col("root_b")) & alike_in_size(F.col("n_a"), F.col("n_b")) & can_be_alike("a", "b"))
+    turned = lambda c, e, f: F.when(F.col("h_a") < F.col("h_b"), F.col(f"{c}_{e}")).otherwise(F.col(f"{c}_{f}")).alias(f"{c}_{e}")
+    both = both.select("shingle", *(turned(c, *ends) for c in ("h", "own") for ends in ("ab", "ba")))
+    often = both.groupBy(F.col("h_a").alias("a"), F.col("h_b").alias("b"), "own_a", "own_b").agg(F.count(F.lit(1)).alias("times"), F.min("shingle").alias("shingle"))
+    pairs = often.filter(F.col("times") >= shares(F.col("own_a"), F.col("own_b"))).select("a", "b", "shingle")
+    return work.table(links.union(verified(pairs, docs, rows, id_col, text_col, work)), "links", instead_of=links)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs of each group, with its columns: that of the smallest id. Rows that repeat
     an id with another text are documents of their own; rows without an id come last.
 
     Groups are those of near_duplicates(), joined by all pairs of texts whose five-word shingles have
-    a Jaccard similarity of SIMILARITY or more. All of these are found by similar_links(), so the
-    fingerprints of other views that `views` once asked for add nothing, and it is ignored."""
-    rows = materialise(with_fingerprints(docs, id_col, text_col), "fingerprints")
-    sure = text_links(rows)
-    roots = components(similar_links(docs, rows.select("h").distinct(), materialise(sure, "sure"), text_col)).withColumnRenamed("node", "h")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "h"))
-    least = rows.groupBy("h").agg(first.alias("_first")).join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
-    stay = least.groupBy("root").agg(F.min("_first").alias("_first")).select(F.col("_first.id").alias("_id"), F.col("_first.h").alias("_sh"))
-    kept = docs.withColumn("_h", F.xxhash64(text_col))
-    kept = kept.join(stay, (F.col("_h") == F.col("_sh")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    same = Window.partitionBy(id_col, "_h").orderBy("_h")
-    return kept.withColumn("_n", F.row_number().over(same)).filter("_n = 1").select(*docs.columns)
+    a Jaccard similarity of SIMILARITY or more, which similar_links() finds. Texts are told apart by two
+    64-bit hashes: of different texts that collide in the first, one takes part in groups, and the
+    others stay as documents of their own."""
+    with Work(docs.sparkSession) as work:
+        rows = work.table(measured(docs, common_shingles(docs, text_col), id_col, text_col), "texts")
+        sure = work.table(text_links(rows, work), "sure")
+        roots = components(similar_links(docs, rows, sure, id_col, text_col, work), work=work).withColumnRenamed("node", "h")
+        first = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first")
+        texts = rows.groupBy("h", "h2").agg(first).groupBy("h").agg(F.array_sort(F.collect_list(F.struct("h2", "first"))).alias("all"))
+        texts = texts.join(roots, "h", "left").select(F.coalesce("root", "h").alias("root"), "h", F.posexplode("all").alias("k", "own"))
+        least = F.min(F.struct("own.first", "h", "own.h2")).alias("stay")
+        stay = texts.groupBy("root", F.when(F.col("k") > 0, F.col("own.h2"))).agg(least)
+        stay = materialise(stay.select(F.col("stay.first.id").alias("id"), F.col("stay.h").alias("h"), F.col("stay.h2").alias("h2")), "stay")
+    text = F.col(text_col).cast("string")
+    kept = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("h2"))
+    kept = kept.join(stay, (kept["h"] == stay["h"]) & (kept["h2"] == stay["h2"]) & kept["id"].eqNullSafe(stay["id"]), "left_semi")
+    same = Window.partitionBy("h", "h2", "id").orderBy("h")
+    return kept.withColumn("n", F.row_number().over(same)).filter("n = 1").select("row.*")
 
 
 def fingerprint_text(fp: str = "fp") -> Column:
