@@ -44,6 +44,21 @@ def above(hashed: Column, level: int) -> Column:
     return F.shiftright(hashed, BITS * (LEVELS - level))
 
 
+def running(rows: DataFrame, order: list[str], sums: list[str]) -> DataFrame:
+    """rows with before_<c>, the sum of c over the rows that come earlier in the order (which must be
+    a total one), and all_<c>, the sum over all. Rows are sorted in ranges, and what is looked at as
+    a whole is one row a range."""
+    dealt = materialise(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "mix-ranges")
+    parts = dealt.groupBy("_part").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
+    earlier, every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    offsets = parts.select("_part", *(F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in sums), *(F.sum(f"_{c}").over(every).alias(f"all_{c}") for c in sums))
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(offsets), "_part")
+    for c in sums:
+        out = out.withColumn(f"before_{c}", F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"_{c}"))
+    return out.drop("_part", *(f"_{c}" for c in sums))
+
+
 def targets(sizes: DataFrame, share_percent: int = 150, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 2) -> DataFrame:
     """_key, source_size, target from (_key, source_size), one row a source.
 
@@ -51,18 +66,15 @@ def targets(sizes: DataFrame, share_percent: int = 150, weights: tuple[int, ...]
     those before have taken to their limit, reaches a source's limit, that source is full; the level
     at the first one that isn't full holds for all that follow.
     """
-    by_code_point = Window.orderBy(F.expr("_key = 'null'"), "_key")
-    filling = Window.orderBy(F.col("_limit") / F.col("_w"), "_key").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    place = (F.row_number().over(by_code_point) - 1) % len(weights) + 1
-    rows = sizes.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), place.cast("int")).cast("long"))
-    rows = rows.withColumn("_limit", F.col("source_size") * max_epochs)
-    left = F.sum("source_size").over(every) * share_percent / 100.0 - F.coalesce(F.sum("_limit").over(filling), F.lit(0))
-    rows = rows.withColumn("_left", left).withColumn("_open", F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(filling), F.lit(0)))
-    rows = rows.withColumn("_full", F.col("_limit") * F.col("_open") <= F.col("_left") * F.col("_w"))
-    level = F.max(F.when(~F.col("_full"), F.struct("_open", "_left"))).over(every)
-    target = F.when(F.col("_full"), F.col("_limit").cast("double")).otherwise(F.col("_w") * level.getField("_left") / level.getField("_open"))
-    return rows.select("_key", "source_size", target.alias("target"))
+    placed = running(sizes.withColumn("last", F.col("_key") == "null").withColumn("one", F.lit(1).cast("long")), ["last", "_key"], ["one"])
+    rows = placed.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("before_one") % len(weights) + 1).cast("int")).cast("long"))
+    rows = rows.withColumn("cap", F.col("source_size") * max_epochs).withColumn("fills_at", F.col("cap") / F.col("w"))
+    rows = running(rows.select("_key", "source_size", "w", "cap", "fills_at"), ["fills_at", "_key"], ["source_size", "w", "cap"])
+    rows = rows.withColumn("left", F.col("all_source_size") * share_percent / 100.0 - F.col("before_cap")).withColumn("open", F.col("all_w") - F.col("before_w"))
+    rows = materialise(rows.withColumn("full", F.col("cap") * F.col("open") <= F.col("left") * F.col("w")), "mix-levels")
+    level = rows.filter(~F.col("full")).agg(F.max(F.struct("open", "left")).alias("at")).first()["at"]  # two numbers
+    by_weight = F.col("w") * F.lit(level["left"]) / F.lit(level["open"]) if level else F.lit(0.0)
+    return rows.select("_key", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(by_weight).alias("target"))
 
 
 def thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -84,7 +96,9 @@ def thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         state = ends.select(*kept[:-1], (F.col("_rest") - F.col("_end._before")).alias("_rest"), F.col("_end._bucket").alias("_at"), F.col("_end._n").alias("_n"))
         state = materialise(state, "mix-level")
     whole = (2 * F.col("_rest") >= F.col("_n")) & (F.col("_rest") > 0)  # the last hash value, if that comes nearer
-    return state.select("_key", "source_size", "target", "epochs", (F.col("_at") + F.when(whole, 1).otherwise(0)).alias("below"))
+    whole_epochs = F.col("target") == F.col("epochs") * F.col("source_size")
+    below = F.when(whole_epochs, 0).otherwise(F.col("_at") + F.when(whole, 1).otherwise(0)).cast("long")
+    return materialise(state.select("_key", "source_size", "target", "epochs", below.alias("below")), "mix-thresholds")
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", share_percent: int = 150, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -109,8 +123,6 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs as often as the mix takes them, with their columns."""
     _, limits = plan_mix(docs, id_col, source_col, text_col, **how)
-    limits = few(limits.select(F.col("_key").alias("_mix_key"), "epochs", "below").select("_mix_key", F.struct("epochs", "below").alias("_mix")))
-    found = docs.withColumn("_mix_of", source_key(source_col)).join(limits, F.col("_mix_of") == F.col("_mix_key"))
-    copies = F.col("_mix.epochs") + F.when(hash_of(id_col, text_col) < F.col("_mix.below"), 1).otherwise(0)
-    found = found.withColumn("_mix_times", copies.cast("int")).filter("_mix_times > 0")
-    return found.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), source_key(source_col).alias("_key"), hash_of(id_col, text_col).alias("_hash"))
+    found = rows.join(limits.select("_key", "epochs", "below"), "_key").withColumn("times", times(F.col("_hash")).cast("int")).filter("times > 0")
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
