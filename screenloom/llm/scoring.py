@@ -1,46 +1,45 @@
 """Language-model scores of texts by a weighted backoff automaton.
 
-Words are counted over all training documents. The n-gram model is an interpolated one with an
-absolute discount; its lowest order is the smoothed unigram (c + 0.1) / (N + 0.1 (V + 1)). N-grams
-are states; a state has an arc for each word that was seen after it, which carries the smoothed
-probability, and a failure arc to the state of its shorter history, which carries the mass that the
-seen words leave over. A text is read once from left to right: the state goes along arcs, falls
-back along failure arcs where there is none, and log-probabilities add up.
-
-Rare words are most of a vocabulary, which grows with the corpus, so they stay in Spark: the
-automaton has arcs only for words and n-grams that make up at least a given share of all tokens, so
-that it has at most 1 / share of them per order at any corpus size and can be sent to every task. A
-rarer word leads to the root; its unigram term is joined to it from the table of all counts. Mass
-that n-grams below the share would have goes to the failure arcs, so the model sums to one. Counting
-an order passes over n-grams whose shorter parts are already below the share, as they must be too.
+States are the histories that training texts hold: the start of a text, a word, or up to ORDER - 1 of
+them. A state h has an arc for each word w seen after it, with the smoothed probability
+(c(hw) + PRIOR * p(w | shorter h)) / (c(h) + PRIOR), and a failure arc with the weight
+PRIOR / (c(h) + PRIOR) to the state of its shorter history; the root has the smoothed unigrams
+(c + 0.1) / (N + 0.1 (V + 1)). All n-grams that training texts hold are arcs, at any size of the corpus,
+and the model sums to one. A text is read from left to right: the state goes along arcs and falls back
+along failure arcs where there is none, and log-probabilities add up. As the state is the last words,
+all texts of a chunk are read at once.
+
+No task holds the automaton, which grows with the corpus. Texts are cut into chunks of about CHUNK
+tokens and written as places in the chunk's own list of words. Each chunk asks for the counts of its
+distinct words and n-grams, and says how often its training texts hold each: sorted keys, dealt by range
+into buckets, squeezed. A bucket adds up what all chunks say and replies to each with the sums in the
+order of its keys, so that replies are about a byte a key. Chunks and their replies then meet. A frequent
+word is a row a chunk there and not a row a token.
 
 Defined results: null and empty texts consist of the end token; without training documents every
-probability is one; repeated rows and null ids are documents like others; an empty table gives no
-rows; columns other than the id and the text are ignored.
+probability is one; where `teaches` is null a text doesn't teach; repeated rows and null ids are
+documents like others; an empty table gives no rows; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_ASCII, in_batches, materialise
-from .hashing import Stretches, parts, runs_of
+from .hashing import BASE, Stretches, mixed, parts, runs_of
 
-ORDER, DISCOUNT, ADDED = 3, 0.75, 0.1
-#: The least share of all tokens that a word, and an n-gram, of the automaton makes up.
-WORD_SHARE, GRAM_SHARE = 2.5e-7, 5e-7
-#: Tokens that are counted before counts are handed on.
-FLUSH = 3_000_000
+ORDER, PRIOR, ADDED = 2, 50.0, 0.1
+#: Tokens of a chunk (a longer text is one by itself), and characters of the input for each bucket.
+CHUNK, BUCKET_CHARS, MOST_BUCKETS = 3_000_000, 24_000_000, 1 << 16
 IS_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
-END = 0x5EED0E4D
+END, START = 0x5EED0E4D, np.uint64(0x57A27)
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,210 +49,181 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = runs_of(~IS_SPACE[data.raw])
     begins = np.cumsum([0, *(len(p) + 1 for p in raw[:-1])])
     of = np.searchsorted(begins, starts, side="right") - 1
-    keys = np.full(len(starts) + len(raw), END, np.int64)
-    keys[np.arange(len(starts)) + of] = data.hashes(starts, ends).view(np.int64)
+    keys = np.full(len(starts) + len(raw), END, np.uint64)
+    keys[np.arange(len(starts)) + of] = data.hashes(starts, ends)
     return keys, np.repeat(np.arange(len(raw)), np.bincount(of, minlength=len(raw)) + 1)
 
 
-def place_in(known: np.ndarray, sought: np.ndarray) -> np.ndarray:
-    """Index of each sought key in the sorted known keys, or -1."""
-    if not len(known):
-        return np.full(len(sought), -1)
-    kinds, back = np.unique(sought, return_inverse=True)
-    at = np.searchsorted(known, kinds)
-    at[at == len(known)] = 0
-    return np.where(known[at] == kinds, at, -1)[back]
-
-
-@dataclass
-class Automaton:
-    """codes[k] has the sorted codes of the (k+2)-grams: index of the shorter one, then the word."""
-
-    total: int
-    kinds: int
-    texts: int
-    words: np.ndarray
-    word_counts: np.ndarray
-    codes: list[np.ndarray] = field(default_factory=list)
-    counts: list[np.ndarray] = field(default_factory=list)
-    discount: float = DISCOUNT
-
-    @property
-    def width(self) -> int:
-        """Words and, last, the start of a text."""
-        return len(self.words) + 1
-
-    def levels(self, keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word ids, and the codes of the n-grams one order up that may be frequent (or -1), and
-        which of them begin a text."""
-        ids = place_in(self.words, keys)
-        first = np.concatenate(([True], of[1:] != of[:-1])) if len(of) else np.zeros(0, bool)
-        before = np.concatenate(([0], ids[:-1])) if len(ids) else ids
-        before = np.where(first, self.width - 1, before)
-        code, ends_at = np.where((before >= 0) & (ids >= 0), before * self.width + ids, -1), ids
-        for known in self.codes:
-            ends_at = place_in(known, code)
-            before = np.where(first, -1, np.concatenate(([-1], ends_at[:-1])))
-            code = np.where((before >= 0) & (ends_at >= 0), before * self.width + ids, -1)
-        return ids, code, first
-
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        return (counts + ADDED) / (self.total + ADDED * (self.kinds + 1))
-
-    @cached_property
-    def machine(self) -> tuple[dict[int, int], list[float], list[int], list[float], list[int], list[float], list[float]]:
-        """arcs (state * width + word to an arc), weights and targets of arcs, weights and targets
-        of failure arcs, what failing down to the root weighs in all, and the root's weights."""
-        width = self.width
-        sizes = [width, *(len(c) for c in self.codes[:-1])]
-        base = np.concatenate(([1], 1 + np.cumsum(sizes)))
-        fail_to, fail_weight = np.zeros(base[-1], np.int64), np.zeros(base[-1])
-        lower = np.append(self.unigram(self.word_counts), 0.0)  # probability of the last word of each gram one order down
-        context = np.append(self.word_counts, self.texts).astype(float)
-        shorter = None
-        keys, weights, targets = [], [], []
-        for k, (codes, counts) in enumerate(zip(self.codes, self.counts, strict=True)):
-            prefix, word = codes // width, codes % width
-            suffix = word if k == 0 else place_in(self.codes[k - 1], shorter[prefix] * width + word)
-            kept = np.bincount(prefix, counts - self.discount, len(context))
-            rest = 1 - kept / np.maximum(context, 1)
-            p = (counts - self.discount) / context[prefix] + rest[prefix] * lower[suffix]
-            fail_weight[base[k] : base[k] + len(rest)] = np.log10(rest)
-            if k:
-                fail_to[base[k] : base[k] + len(rest)] = base[k - 1] + shorter
-            keys.append((base[k] + prefix) * width + word)
-            weights.append(np.log10(p))
-            targets.append(base[k + 1] + np.arange(len(codes)) if k + 2 <= len(self.codes) else base[k] + suffix)
-            lower, context, shorter = p, counts.astype(float), suffix
-        down = fail_weight.copy()
-        for k in range(1, len(self.codes)):
-            level = slice(base[k], base[k] + sizes[k])
-            down[level] += down[fail_to[level]]
-        if not keys:
-            return {}, [], [], fail_weight.tolist(), fail_to.tolist(), down.tolist(), np.log10(lower[:-1]).tolist()
-        arcs = dict(zip(np.concatenate(keys).tolist(), range(sum(map(len, keys))), strict=True))
-        return arcs, np.concatenate(weights).tolist(), np.concatenate(targets).tolist(), fail_weight.tolist(), fail_to.tolist(), down.tolist(), np.log10(self.unigram(self.word_counts)).tolist()
-
-    def read(self, ids: list[int]) -> float:
-        """Log-probability of a text but for the unigram terms of words that the automaton lacks (-1)."""
-        arcs, weights, targets, fail_weight, fail_to, down, root = self.machine
-        width, state, total = self.width, self.width, 0.0  # the start's state is the last of the first level
-        for w in ids:
-            if w < 0:
-                total += down[state]
-                state = 0
-                continue
-            while state:
-                arc = arcs.get(state * width + w)
-                if arc is not None:
-                    total += weights[arc]
-                    state = targets[arc]
-                    break
-                total += fail_weight[state]
-                state = fail_to[state]
-            else:
-                total += root[w]
-                state = w + 1
-        return total
-
-
-def counted(docs: DataFrame, text_col: str, codes_of) -> DataFrame:
-    """(code, n): how often the codes that codes_of gives for texts occur; -1 doesn't count."""
-    rows = docs.select(F.col(text_col).cast("string").alias("text"))
+def squeezed(values: np.ndarray) -> bytes:
+    """Bytes of unsigned numbers, plane by plane, compressed."""
+    width = values.dtype.itemsize
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, width).T.tobytes())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def flush() -> pa.RecordBatch:
-            kinds, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n.astype(np.int64))], ["code", "n"])
+def spread(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind)[:, 0] if planes.size else np.zeros(0, kind)
 
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in parts(texts):
-                codes = codes_of(*tokens(texts[lo:hi]))
-                held.append(codes)
-                if sum(map(len, held)) > FLUSH:
-                    yield flush()
-        if held:
-            yield flush()
 
-    return in_batches(rows).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def of_sorted(keys: np.ndarray) -> bytes:
+    return squeezed(np.diff(keys, prepend=np.uint64(0)))
 
 
-def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> tuple[Automaton, DataFrame]:
-    """The automaton, and the counts of all words as (key, c)."""
-    counts = materialise(counted(docs, text_col, lambda keys, of: keys).select(F.col("code").alias("key"), F.col("n").alias("c")), "unigrams")
-    whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("kinds"), F.coalesce(F.max(F.when(F.col("key") == END, F.col("c"))), F.lit(0)).alias("texts")).first()
-    total = whole["total"]
-    # at most 1 / share rows each, by the pigeonhole principle
-    frequent = counts.filter(F.col("c") >= max(word_share * total, 1)).toPandas().sort_values("key")
-    model = Automaton(total, whole["kinds"], whole["texts"], frequent["key"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64))
-    for _ in range(2, order + 1):
-        sent = docs.sparkSession.sparkContext.broadcast(model)
+def sorted_of(data: bytes) -> np.ndarray:
+    return np.cumsum(spread(data, "<u8"), dtype=np.uint64)
 
-        def codes_of(keys: np.ndarray, of: np.ndarray, sent=sent) -> np.ndarray:
-            code = sent.value.levels(keys, of)[1]
-            return code[code >= 0]
 
-        kept = counted(docs, text_col, codes_of).filter(F.col("n") >= max(gram_share * total, 2)).toPandas().sort_values("code")
-        model = Automaton(model.total, model.kinds, model.texts, model.words, model.word_counts, [*model.codes, kept["code"].to_numpy(np.int64)], [*model.counts, kept["n"].to_numpy(np.int64)])
-    return model, counts
+def small(counts: np.ndarray) -> bytes:
+    return squeezed(counts.astype("<u4" if counts.max(initial=0) < 1 << 32 else "<u8")) + bytes([4 if counts.max(initial=0) < 1 << 32 else 8])
 
 
-def lm_scores(docs: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(id, teaches, n_tokens, n_known, train_tokens, base_score, score) for every row of docs,
-    learned from those of them that `teaches` allows."""
-    model, counts = train(docs.filter(teaches), text_col, **how)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("id"), teaches.alias("teaches"), F.col(text_col).cast("string").alias("text"))
+def counts_of(data: bytes) -> np.ndarray:
+    return spread(data[:-1], f"<u{data[-1]}").astype(np.int64)
+
+
+def gram_keys(words: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each order from 1 the key of the n-gram that ends at each token; zero where the text
+    isn't so long. The start of a text counts as a word before it, from order 2 on."""
+    before = np.where(first, START, np.concatenate((words[:1], words[:-1])))
+    out = [words, mixed(before * BASE + words)] if order > 1 else [words]
+    seen = first
+    for _ in range(3, order + 1):
+        last = out[-1]
+        grams = mixed(np.concatenate((last[:1], last[:-1])) * BASE + words)
+        out.append(np.where(seen, np.uint64(0), grams))
+        seen = seen | np.concatenate(([True], seen[:-1]))
+    return out
+
+
+def chunks(docs: DataFrame, teaches: Column, id_col: str, text_col: str, order: int, buckets: int) -> DataFrame:
+    """A row for each chunk, with its texts: the distinct words, the place of each token in them, ids,
+    teaches and numbers of tokens; and rows (chunk, bucket) with what it asks for: for each order the
+    distinct keys, and how often its training texts hold each."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(teaches, F.lit(False)).alias("teaches"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    names = ["chunk", "bucket", "words", "places", "ids", "teaches", "lengths", "keys", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, automaton = TaskContext.get().partitionId() << 40, sent.value
-        unigrams = np.log10(automaton.unigram(automaton.word_counts)) if len(automaton.words) else np.zeros(1)
+        chunk = TaskContext.get().partitionId() << 32
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]] = []
+        edges = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64)
+
+        def flush() -> pa.RecordBatch:
+            nonlocal chunk
+            words = np.concatenate([h[0] for h in held])
+            lengths = np.concatenate([h[1] for h in held])
+            ids, learns = (pa.concat_arrays([h[c] for h in held]) for c in (2, 3))
+            first = np.zeros(len(words), bool)
+            first[np.cumsum(lengths) - lengths] = True
+            weights = np.repeat(learns.to_numpy(zero_copy_only=False), lengths)
+            asked, said = [], []
+            for k, keys in enumerate(gram_keys(words, first, order)):
+                kinds, place = np.unique(keys, return_inverse=True)
+                n = np.bincount(place, weights, len(kinds)).astype(np.int64)
+                if not k:
+                    vocabulary, places = kinds, place
+                cuts = [0, *np.searchsorted(kinds, edges).tolist(), len(kinds)]
+                asked.append([of_sorted(kinds[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+                said.append([small(n[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+            none = [None] * buckets
+            columns = [
+                pa.array([chunk] * (buckets + 1)),
+                pa.array([-1, *range(buckets)], pa.int32()),
+                pa.array([of_sorted(vocabulary), *none], pa.binary()),
+                pa.array([squeezed(places.astype("<u4")), *none], pa.binary()),
+                pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * (buckets + 1), pa.int32()), ids),
+                pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * (buckets + 1), pa.int32()), learns),
+                pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * (buckets + 1), pa.int32()), pa.array(lengths.astype(np.int64))),
+                pa.array([[], *zip(*asked, strict=True)], pa.list_(pa.binary())),
+                pa.array([[], *zip(*said, strict=True)], pa.list_(pa.binary())),
+            ]
+            held.clear()
+            chunk += 1
+            return pa.RecordBatch.from_arrays(columns, names)
+
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for lo, hi in parts(texts):
-                part = batch.slice(lo, hi - lo)
-                keys, of = tokens(texts[lo:hi])
-                ids, n = place_in(automaton.words, keys), part.num_rows
-                edges = np.searchsorted(of, np.arange(n + 1))
-                scores = [automaton.read(ids[a:b].tolist()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                known = ids >= 0
-                base = np.bincount(of[known], unigrams[ids[known]], n).astype(float)
-                # rare words by text, with how often they occur there
-                order = np.lexsort((keys[~known], of[~known]))
-                rare, owner = keys[~known][order], of[~known][order]
-                new = np.flatnonzero(np.concatenate(([True], (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1])))) if len(rare) else np.zeros(0, np.int64)
-                times, m = np.diff(np.append(new, len(rare))), len(new)
-                facts = pa.StructArray.from_arrays([part.column(0), part.column(1), pa.array(np.diff(edges)), pa.array(np.bincount(of[known], minlength=n)), pa.array(base), pa.array(np.array(scores, float))], ["id", "teaches", "n_tokens", "n_known", "base", "score"])
-                at = np.concatenate((np.arange(n), np.full(m, -1)))
-                serial = np.arange(n) + doc
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate((serial, serial[owner[new]]))),
-                        pa.array(np.concatenate((serial * -0x61C8864680B583EB, rare[new]))),
-                        pa.array(np.concatenate((np.zeros(n, np.int64), times))),
-                        facts.take(pa.array(at, mask=at < 0)),
-                    ],
-                    ["doc", "key", "times", "facts"],
-                )
-                doc += n
-
-    found = in_batches(rows).mapInArrow(run, f"doc long, key long, times long, facts struct<id: {kind}, teaches: boolean, n_tokens: long, n_known: long, base: double, score: double>")
-    rare = counts.filter(F.col("c") < max(how.get("word_share", WORD_SHARE) * model.total, 1))
-    joined = found.join(rare, "key", "left")
-    c = F.coalesce("c", F.lit(0))
-    unseen = F.col("times") * F.log10((c + F.lit(ADDED)) / F.lit(model.total + ADDED * (model.kinds + 1)))
-    sums = joined.groupBy("doc").agg(F.max("facts").alias("f"), F.sum(unseen).alias("rare"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
-    return sums.select(
-        F.col("f.id").alias(id_col),
-        F.col("f.teaches").alias("teaches"),
-        F.col("f.n_tokens").alias("n_tokens"),
-        (F.col("f.n_known") + F.col("rare_known")).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("f.base") + F.col("rare")).alias("base_score"),
-        (F.col("f.score") + F.col("rare")).alias("score"),
-    )
+                words, of = tokens(texts[lo:hi])
+                held.append((words, np.bincount(of, minlength=hi - lo), batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo)))
+                if sum(len(h[0]) for h in held) > CHUNK:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return in_batches(rows).mapInArrow(run, f"chunk long, bucket int, words binary, places binary, ids array<{kind}>, teaches array<boolean>, lengths array<long>, keys array<binary>, counts array<binary>")
+
+
+def replies(asked: DataFrame) -> DataFrame:
+    """(chunk, bucket, sums, total, kinds): for each order the sums of all chunks in the order of the
+    chunk's keys; and the bucket's training tokens and their kinds, with one of its chunks."""
+
+    def add(table: pa.Table) -> pa.Table:
+        sums: list[list[bytes]] = [[] for _ in range(table.num_rows)]
+        total = kinds = 0
+        for k in range(len(table.column("keys")[0].as_py())):
+            keys = [sorted_of(x[k].as_py()) for x in table.column("keys")]
+            n = np.concatenate([counts_of(x[k].as_py()) for x in table.column("counts")])
+            _, place = np.unique(np.concatenate(keys), return_inverse=True)
+            all_of = np.bincount(place, n).astype(np.int64)
+            if not k:
+                total, kinds = int(all_of.sum()), int((all_of > 0).sum())
+            cuts = np.cumsum([0, *map(len, keys)])
+            for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                sums[i].append(small(all_of[place[a:b]]))
+        rest = [0] * (table.num_rows - 1)
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "sums": pa.array(sums, pa.list_(pa.binary())), "total": pa.array([total, *rest], pa.int64()), "kinds": pa.array([kinds, *rest], pa.int64())})
+
+    return asked.groupBy("bucket").applyInArrow(add, "chunk long, bucket int, sums array<binary>, total long, kinds long")
+
+
+def log_probabilities(counts: list[np.ndarray], first: np.ndarray, total: int, kinds: int, texts: int, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token: log10 of its smoothed unigram, and of its probability after its history. counts
+    has, for each order, that of the n-gram which ends at the token."""
+    p = (counts[0] + ADDED) / (total + ADDED * (kinds + 1))
+    base = np.log10(p)
+    for k in range(1, len(counts)):
+        history = np.concatenate(([0], counts[k - 1][:-1]))
+        if k == 1:
+            history = np.where(first, texts, history)
+        else:  # the start of a text has no longer history
+            history = np.where(first, 0, history)
+        p = np.where(history > 0, (counts[k] + prior * p) / (history + prior), p)
+    return base, np.log10(p)
+
+
+def lm_scores(docs: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, prior: float = PRIOR) -> DataFrame:
+    """(id, teaches, n_tokens, n_known, train_tokens, base_score, score) for every row of docs,
+    learned from those of them that `teaches` allows."""
+    chars = docs.agg(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, 1 + chars // BUCKET_CHARS)
+    kind = docs.schema[id_col].dataType.simpleString()
+    made = materialise(chunks(docs, teaches, id_col, text_col, order, buckets), "chunks")
+    asked = made.filter("bucket >= 0").select("chunk", "bucket", "keys", "counts")
+    texts = made.filter("bucket < 0").select("chunk", "words", "places", "ids", "teaches", "lengths")
+    replied = materialise(replies(asked), "replies")
+    whole = replied.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds")).first()
+    learned = texts.agg(F.sum(F.aggregate("teaches", F.lit(0).cast("long"), lambda n, t: n + t.cast("long")))).first()[0] or 0
+    total, kinds = whole["total"], whole["kinds"]
+    names = [id_col, "teaches", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def read(texts: pa.Table, replied: pa.Table) -> pa.Table:
+        lengths = texts.column("lengths").combine_chunks().values.to_numpy()
+        words, places = sorted_of(texts.column("words")[0].as_py()), spread(texts.column("places")[0].as_py(), "<u4")
+        first = np.zeros(len(places), bool)
+        first[np.cumsum(lengths) - lengths] = True
+        in_order = np.argsort(replied.column("bucket").to_numpy())
+        sums = [replied.column("sums")[int(i)] for i in in_order]
+        counts = []
+        for k, keys in enumerate(gram_keys(words[places], first, order)):
+            of = places if not k else np.unique(keys, return_inverse=True)[1]
+            found = np.concatenate([counts_of(s[k].as_py()) for s in sums])[of]
+            counts.append(found if k < 2 else np.where(keys == 0, 0, found))
+        base, score = log_probabilities(counts, first, total, kinds, learned, prior) if total else (np.zeros(len(places)),) * 2
+        starts = np.cumsum(lengths) - lengths
+        add = lambda x: pa.array(np.add.reduceat(x, starts))
+        columns = [texts.column("ids").combine_chunks().values, texts.column("teaches").combine_chunks().values, pa.array(lengths), add((counts[0] > 0).astype(np.int64)), pa.array(np.full(len(lengths), total)), add(base), add(score)]
+        return pa.table(columns, names)
+
+    both = texts.groupBy("chunk").cogroup(replied.select("chunk", "bucket", "sums").groupBy("chunk"))
+    return both.applyInArrow(read, f"`{id_col}` {kind}, teaches boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -44,6 +44,7 @@ def test_quality(staged):
 
 
 def test_language(staged):
+    """Every text here with a letter is in a language that labels teach."""
     before, after = staged[1]
     kept = {r.doc_id for r in after.collect()}
     assert kept == {r.doc_id for r in before.collect() if re.search(r"[^\W\d_]", r.text)}
