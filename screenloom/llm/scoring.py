@@ -37,7 +37,7 @@ from .hashing import BASE, Stretches, mixed, parts, runs_of
 
 ORDER, PRIOR, ADDED = 2, 50.0, 0.1
 #: Tokens of a chunk (a longer text is one by itself), and characters of the input for each bucket.
-CHUNK, BUCKET_CHARS, MOST_BUCKETS = 3_000_000, 24_000_000, 1 << 16
+CHUNK, BUCKET_CHARS, MOST_BUCKETS = 2_200_000, 24_000_000, 1 << 16
 IS_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 END, START = 0x5EED0E4D, np.uint64(0x57A27)
 
