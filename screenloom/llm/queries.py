@@ -12,10 +12,13 @@ from .mixing import mix_report
 from .neighbours import nearest
 from .packing import pack
 from .quality import quality_rules
+from .resampling import resample
 from .scoring import lm_scores
+from .secrets import find_secrets, listed
 from .shards import write_shards
 from .simhash import fingerprint_text, near_duplicates
 from .urls import ALLOW, BLOCK, Rule, judge_urls
+from .whitening import whiten
 
 
 def op6_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +90,30 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(load(spark, sf_dir, "documents")).drop("times")
 
 
+def op11_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(load(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document counts as a file of its own repository, and its source as the owner."""
+    found = find_secrets(load(spark, sf_dir, "documents"), owner_col="source", repository_col="doc_id")
+    count = lambda holds: F.size(F.filter("spans", holds)).cast("long")
+    of_kind = lambda kind: count(lambda s: s["kind"] == kind).alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *map(of_kind, ("assign", "access", "hex")),
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed("spans").alias("spans"),
+        count(lambda s: s["live"] & ~s["copied"]).alias("n_live"),
+        count(lambda s: s["copied"]).alias("n_copied"),
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -98,6 +125,9 @@ QUERIES = {
     "op8_pack_sequences": op8_pack_sequences,
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_score": op10_lm_score,
+    "op11_whitened": op11_whitened,
+    "op12_importance_resample": op12_importance_resample,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 _OP9 = r"""
@@ -153,7 +183,39 @@ FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) A
 WHERE rank <= 20
 """
 
+_ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = ((_ASSIGN, "regexp_extract(v, '" + _ASSIGN + "', 2)"), ("AKIA[A-Z0-9]{16,}", "v"), ("[0-9a-f]{24,}", "v"), ("[A-Za-z0-9_+=-]{20,}", "v"))
+
+_OP13 = f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS x FROM documents),
+runs AS ({" UNION ALL ".join(f"SELECT r, {k} AS kind, regexp_extract_all(x, '{p}') AS m, string_split_regex(x, '{p}') AS g FROM texts WHERE regexp_matches(x, '{p}')" for k, (p, _) in enumerate(_KINDS))}),
+each AS (SELECT r, kind, m[k] AS v, k, length(g[k]) + length(m[k]) AS step FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM runs)),
+placed AS (SELECT *, sum(step) OVER (PARTITION BY r, kind ORDER BY k) AS e FROM each),
+valued AS (SELECT *, CASE kind {" ".join(f"WHEN {k} THEN {v}" for k, (_, v) in enumerate(_KINDS))} END AS secret FROM placed),
+mixed AS (
+  SELECT *, e - length(v) AS s, regexp_matches(secret, '[0-9]') AND regexp_matches(secret, '[A-Za-z]') AND len(list_distinct(string_split(secret, ''))) >= 10 AS live FROM valued
+), held AS (
+  SELECT * FROM mixed WHERE kind IN (1, 2) OR kind = 0 AND length(secret) >= 6
+  OR kind = 3 AND live AND length(v) <= 200 AND len(regexp_extract_all(v, '[0-9]')) >= 3 AND len(regexp_extract_all(v, '[a-z]')) >= 3 AND len(regexp_extract_all(v, '[A-Z]')) >= 3
+), spans AS (
+  SELECT * FROM held h WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM held b WHERE b.r = h.r AND b.kind < 3 AND b.s < h.e AND b.e > h.s)
+), owned AS (
+  SELECT secret, count(DISTINCT coalesce('=' || source, 'null')) AS owners, count(DISTINCT [coalesce('=' || source, 'null'), coalesce('=' || doc_id, 'null')]) AS repositories
+  FROM spans JOIN texts USING (r) GROUP BY secret
+), judged AS (
+  SELECT *, owners > 2 OR owners > 1 AND repositories > 20 AS copied, ['assign', 'access', 'hex', 'key'][kind + 1] || ':' || s::BIGINT || ':' || e::BIGINT AS told FROM spans JOIN owned USING (secret)
+), listed AS (
+  SELECT r, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS c, count(*) FILTER (kind = 2) AS h, string_agg(told, ',' ORDER BY s, kind) FILTER (kind < 3) AS base,
+    string_agg(told, ',' ORDER BY s, kind) AS told, count(*) FILTER (live AND NOT copied) AS n_live, count(*) FILTER (copied) AS n_copied
+  FROM judged WHERE kind < 3 OR NOT copied GROUP BY r
+)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(told, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM texts LEFT JOIN listed USING (r)
+"""
+
 ORACLE_SQL = {
+    "op13_secret_scan": _OP13,
     "op7_nearest_neighbours": _OP7,
     "op9_quality_rules": _OP9,
 }
