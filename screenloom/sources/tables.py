@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -16,6 +21,20 @@ LIST_COLUMNS = ("id", "role_id", "job_id", "original_filename", "candidate_name"
 STATUS_COLUMNS = ("id", "status", "candidate_name", "eliminated", "match_score", "fit_category", "error_code", "error_message", "attempts", "updated_at")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the cluster's shared folder (spark.checkpoint.dir); a session on one machine that
+    names none, as in tests, gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="screenloom-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def schema_of(name: str) -> T.StructType:
     return T._parse_datatype_string(SCHEMAS[name])
 
