@@ -82,3 +82,20 @@ def segments(resolved: DataFrame, keys: list[str]) -> DataFrame:
 def covers(merged: Column, start: Column, now: Column) -> Column:
     """Whether one of the merged segments (structs of start, end) reaches from start through now."""
     return F.exists(merged, lambda s: (s["start"] <= start) & (s["end"] >= now))
+
+
+def reasons(resolved: DataFrame, keys: list[str], now: int, order: list[str], title: str, employer: str, said_start: str) -> DataFrame:
+    """keys and reason: why the experience of those for whom it can't be told is unknown, in words, from
+    resolve() with the columns that name an entry. Fixed values: the sentences, which readers see.
+
+    Open entries that nothing covers are to blame, in order; where there are none, no dates could be used."""
+    known = experience(resolved, keys, now).filter("months IS NULL").select(*keys)
+    merged = merge_intervals(resolved.filter("kind = 'interval'").select(*keys, F.col("from_month").alias("start"), F.col("to_month").alias("end")), keys)
+    since = merged.groupBy(*keys).agg(F.min(F.when(F.col("end") >= now, F.col("start"))).alias("_since"))
+    quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    named = F.coalesce(F.concat(quoted(title), F.lit(" at "), quoted(employer)), quoted(title), quoted(employer), F.lit("an unnamed role"))
+    sentence = F.concat(named, F.lit(" (started "), F.col(said_start), F.lit(") has no end date, and a later role starts after it, so its end is unknown"))
+    blames = resolved.filter("kind = 'open'").join(known, keys, "left_semi").join(since, keys, "left").filter("_since IS NULL OR _since > from_month")
+    lists = blames.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, sentence.alias("_said")))).alias("_all"))
+    told = F.array_join(F.transform("_all", lambda x: x["_said"]), "; ")
+    return known.join(lists, keys, "left").select(*keys, F.coalesce(told, F.lit("no usable employment dates")).alias("reason"))

@@ -61,18 +61,29 @@ def replaced(roles: DataFrame, newer: DataFrame, columns: list[str], role: str =
     return out.withColumn("version", F.col("version") + F.when(hit, 1).otherwise(0)).drop("_new")
 
 
-def judged(ratings: DataFrame, reconciled: DataFrame, criteria: DataFrame, reports: DataFrame, roles: DataFrame, candidate: str = "candidate", role: str = "role_id", criterion: str = "criterion_id") -> DataFrame:
-    """candidate, role, role_version, problem, score, eliminated, tier.
-
-    Ratings that don't fit the role's criteria, or lie outside 0..10, are a problem and give no score.
-    Others are scored; elimination decides the tier and leaves the score as it is."""
+def judged(
+    ratings: DataFrame, reconciled: DataFrame, criteria: DataFrame, reports: DataFrame, roles: DataFrame, candidate: str = "candidate", role: str = "role_id", criterion: str = "criterion_id"
+) -> DataFrame:
+    """candidate, role, role_version, problem, score, eliminated, eliminated_by, tier, for each row of
+    `reconciled`. `reports` has eliminated and eliminated_by for each candidate that has a profile.
+
+    What is wrong comes in this order: the role (no_criteria, weights_not_100), how the ratings fit it
+    (duplicate_ratings, missing_ratings), the ratings themselves (null, or outside 0..10), and the lack of
+    a report. It gives no score and no tier. Others are scored; elimination decides the tier and leaves
+    the score as it is."""
     rows = ratings.join(criteria, [role, criterion])
-    good = F.min(F.col("rating").between(0, RATING_MAX) & F.col("weight").isNotNull())
-    scores = rows.groupBy(candidate, role).agg(F.sum(F.col("rating") * F.col("weight")).cast("long").alias("_raw"), F.sum("weight").cast("long").alias("_weights"), good.alias("_good"))
-    out = reconciled.join(scores, [candidate, role], "left").join(reports, candidate, "left").join(roles.select(role, F.col("version").alias("role_version")), role)
-    unfit = F.when(F.col("verdict") != "ok", F.concat(F.col("verdict"), F.lit("_ratings")))
-    problem = unfit.when(~F.coalesce("_good", F.lit(False)), "rating_out_of_range").when(F.col("_weights") != WEIGHT_SUM, "weights_not_100")
+    good = F.min(F.coalesce(F.col("rating").between(0, RATING_MAX), F.lit(False)))
+    scores = rows.groupBy(candidate, role).agg(F.sum(F.col("rating") * F.col("weight")).cast("long").alias("_raw"), good.alias("_good"))
+    sums = weight_sums(roles, criteria, role).select(role, F.col("n").alias("_n"), F.col("weight_sum").alias("_weights"))
+    versions = roles.select(role, F.col("version").alias("role_version")).join(sums, role)
+    out = reconciled.join(scores, [candidate, role], "left").join(reports, candidate, "left").join(versions, role)
+    problem = (
+        F.when(F.col("_n") == 0, "no_criteria")
+        .when(~F.col("_weights").eqNullSafe(WEIGHT_SUM), "weights_not_100")
+        .when(F.col("verdict") != "ok", F.concat(F.col("verdict"), F.lit("_ratings")))
+        .when(~F.coalesce("_good", F.lit(False)), "invalid_rating")
+        .when(F.col("eliminated").isNull(), "no_report")
+    )
     out = out.withColumn("problem", problem).withColumn("score", F.when(F.col("problem").isNull(), F.col("_raw") / F.lit(10.0)))
-    eliminated = F.coalesce("eliminated", F.lit(False))
-    verdict = F.when(F.col("problem").isNull(), tier(F.col("score"), eliminated))
-    return out.select(candidate, role, "role_version", "problem", "score", eliminated.alias("eliminated"), verdict.alias("tier"))
+    verdict = F.when(F.col("problem").isNull(), tier(F.col("score"), F.col("eliminated")))
+    return out.select(candidate, role, "role_version", "problem", "score", "eliminated", "eliminated_by", verdict.alias("tier"))

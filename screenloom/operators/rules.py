@@ -15,6 +15,7 @@ from screenloom.functions.text import composed_names, equals_exact, holds_words
 PASS, FAIL, INDETERMINATE = "pass", "fail", "indeterminate"
 #: The ladder of education, lowest first.
 EDUCATION = ("none", "high_school", "associate", "bachelors", "masters", "doctorate")
+MATCH_MODES = ("exact", "normalized")
 
 
 def passes(c: Column) -> Column:
@@ -84,6 +85,37 @@ def readable_rules(rules: Column) -> Column:
     return composed_names(composed_names(rules, "skill"), "name")
 
 
+def malformed(rule: Column) -> Column:
+    """What is wrong with the value of a rule of a known type, as the name of the field; null if nothing."""
+    blank = lambda c: F.coalesce(F.length(F.trim(c)) == 0, F.lit(True))
+    unlike = lambda c, *values: ~F.coalesce(c.isin(*values), F.lit(False))
+    years = ~F.coalesce(rule["years"].between(0, 60) & (rule["years"] == F.floor(rule["years"])), F.lit(False))
+    codes = F.coalesce(F.forall(rule["countryCodes"], lambda c: F.coalesce(c.rlike("^[A-Z]{2}$"), F.lit(False))) & (F.size(rule["countryCodes"]) > 0), F.lit(False))
+    mode = F.when(unlike(rule["matchMode"], *MATCH_MODES), "matchMode")
+    checks = (
+        F.when(years, "years"),
+        F.coalesce(F.when(blank(rule["skill"]), "skill"), mode, F.when(rule["mustBeDemonstrated"].isNull(), "mustBeDemonstrated")),
+        F.when(unlike(rule["level"], *EDUCATION), "level"),
+        F.coalesce(F.when(blank(rule["name"]), "name"), mode),
+        F.when(~codes, "countryCodes"),
+    )
+    out = F.lit(None).cast("string")
+    for name, check in zip(RULES, checks, strict=True):
+        out = F.when(rule["type"] == name, check).otherwise(out)
+    return out
+
+
+def checked_rules(rules: Column) -> Column:
+    """The rules; one of an unknown type or with a malformed value stops the query."""
+
+    def wrong(r: Column) -> Column:
+        unknown = F.when(~F.coalesce(r["type"].isin(*RULES), F.lit(False)), F.concat(F.lit("unknown rule type: "), F.coalesce(r["type"], F.lit("null"))))
+        return F.coalesce(unknown, F.concat(F.lit("malformed value of rule "), F.coalesce(r["label"], F.lit("null")), F.lit(": "), malformed(r)))
+
+    first = F.get(F.filter(F.transform(rules, wrong), lambda w: w.isNotNull()), F.lit(0))
+    return F.when(first.isNull(), rules).otherwise(F.raise_error(first).cast("void"))
+
+
 def outcome(profile: Column, rule: Column, now: Column) -> Column:
     """`profile` as readable() makes it, and a rule of readable_rules()."""
     out = F.raise_error(F.concat(F.lit("unknown rule type: "), F.coalesce(rule["type"], F.lit("null")))).cast("string")
@@ -153,15 +185,24 @@ def eliminates(result: Column, on_missing: Column) -> Column:
     return (result == FAIL) | ((result == INDETERMINATE) & (on_missing == "eliminate"))
 
 
-def report(profile: Column, rules: Column, now: Column) -> Column:
-    """struct<eliminated, eliminatedBy, failures, indeterminate, results> for rules in role order."""
-    results = F.transform(rules, lambda r: F.struct(r["id"].alias("id"), r["label"].alias("label"), outcome(profile, r, now).alias("outcome"), r["on_missing"].alias("on_missing")))
+def report(profile: Column, rules: Column, now: Column, details: bool = False, why_no_years: Column | None = None) -> Column:
+    """struct<eliminated, eliminatedBy, failures, indeterminate, hasIndeterminate, results> for rules in
+    role order. With `details` each result says why, in words."""
+
+    def result(r: Column) -> Column:
+        found = outcome(profile, r, now)
+        why = [detail(profile, r, now, why_no_years).alias("detail")] if details else []
+        return F.struct(r["id"].alias("id"), r["label"].alias("label"), r["type"].alias("type"), r["on_missing"].alias("on_missing"), found.alias("outcome"), *why)
+
+    results = F.transform(F.transform(rules, result), lambda r: r.withField("eliminates", F.coalesce(eliminates(r["outcome"], r["on_missing"]), F.lit(False))))
     out = lambda which: F.transform(F.filter(results, lambda r: which(r)), lambda r: r["label"])
-    fatal = out(lambda r: eliminates(r["outcome"], r["on_missing"]))
+    fatal = out(lambda r: r["eliminates"])
+    unknown = out(lambda r: r["outcome"] == INDETERMINATE)
     return F.struct(
         (F.size(fatal) > 0).alias("eliminated"),
         F.get(fatal, F.lit(0)).alias("eliminatedBy"),
         out(lambda r: r["outcome"] == FAIL).alias("failures"),
-        out(lambda r: r["outcome"] == INDETERMINATE).alias("indeterminate"),
+        unknown.alias("indeterminate"),
+        (F.size(unknown) > 0).alias("hasIndeterminate"),
         results.alias("results"),
     )

@@ -15,19 +15,20 @@ RATING_MAX, WEIGHT_SUM = 10, 100
 def weighted_score(ratings: DataFrame, criteria: DataFrame, keys: list[str], criterion: str = "criterion_id", check: bool = True) -> DataFrame:
     """keys, score_raw, score, weight_sum, n: whole numbers until the one division at the end.
 
-    With `check`, weights that don't add up to 100 and ratings outside 0..10 stop the query."""
+    With `check`, weights that don't add up to 100 and ratings that are null or outside 0..10 stop the query."""
     rows = ratings.join(criteria, criterion)
     out = rows.groupBy(*keys).agg(
         F.sum(F.col("rating") * F.col("weight")).cast("long").alias("score_raw"),
         F.sum("weight").cast("long").alias("weight_sum"),
         F.count(F.lit(1)).alias("n"),
+        F.count("rating").alias("_rated"),
         F.min("rating").alias("_lo"),
         F.max("rating").alias("_hi"),
     )
     if check:
-        good = (F.col("weight_sum") == WEIGHT_SUM) & (F.col("_lo") >= 0) & (F.col("_hi") <= RATING_MAX)
+        good = (F.col("weight_sum") == WEIGHT_SUM) & (F.col("_rated") == F.col("n")) & (F.col("_lo") >= 0) & (F.col("_hi") <= RATING_MAX)
         out = out.withColumn("score_raw", F.when(good, F.col("score_raw")).otherwise(F.raise_error(F.lit("weights must add up to 100 and ratings lie in 0..10")).cast("long")))
-    return out.withColumn("score", F.col("score_raw") / F.lit(10.0)).drop("_lo", "_hi")
+    return out.withColumn("score", F.col("score_raw") / F.lit(10.0)).drop("_rated", "_lo", "_hi")
 
 
 def tier(score: Column, eliminated: Column, check: bool = True) -> Column:
@@ -43,13 +44,14 @@ def tier(score: Column, eliminated: Column, check: bool = True) -> Column:
     )
 
 
-def reconcile(ratings: DataFrame, criteria: DataFrame, keys: list[str], criterion: str = "criterion_id", scope: list[str] | None = None) -> DataFrame:
+def reconcile(ratings: DataFrame, criteria: DataFrame, keys: list[str], criterion: str = "criterion_id", scope: list[str] | None = None, everyone: DataFrame | None = None) -> DataFrame:
     """keys, verdict, duplicates, missing, unknown: how a set of ratings fits the criteria.
 
     A criterion rated twice is the first thing to be wrong, then one not rated; ratings of unknown
     criteria are dropped and only reported. criteria has one row a criterion; ratings are counted
     before they meet it. With `scope` (such as a role) both have these columns, and ratings are held
-    against the criteria of their own scope; they are part of the result."""
+    against the criteria of their own scope; they are part of the result. `everyone` has a row for each
+    set that there should be (keys and scope): one without any rating lacks all criteria."""
     scope = scope or []
     own, keys = [*scope, criterion], [*keys, *scope]
     known = criteria.select(*own, F.lit(True).alias("_known"))
@@ -60,6 +62,9 @@ def reconcile(ratings: DataFrame, criteria: DataFrame, keys: list[str], criterio
         F.collect_set(F.when(F.col("_known"), F.col(criterion))).alias("_rated"),
         F.sort_array(F.collect_list(F.when(F.col("_known").isNull(), F.col(criterion)))).alias("unknown"),
     )
+    if everyone is not None:
+        nothing = F.array().cast(got.schema["duplicates"].dataType)
+        got = everyone.select(*keys).join(got, keys, "left").select(*keys, *(F.coalesce(c, nothing).alias(c) for c in ("duplicates", "_rated", "unknown")))
     out = got.join(every, scope, "left") if scope else got.crossJoin(F.broadcast(every))
     out = out.withColumn("missing", F.sort_array(F.coalesce(F.array_except("_every", "_rated"), F.array().cast(every.schema["_every"].dataType))))
     verdict = F.when(F.size("duplicates") > 0, "duplicate").when(F.size("missing") > 0, "missing").otherwise("ok")

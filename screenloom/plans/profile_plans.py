@@ -147,6 +147,39 @@ def elimination_report(spark: SparkSession, d: str) -> DataFrame:
     return got.select("person", F.col("r.eliminated"), F.col("r.eliminatedBy").alias("eliminated_by"), F.array_join("r.failures", ",").alias("failures"), F.array_join("r.indeterminate", ",").alias("indeterminate"))
 
 
+_RESULT = {"min_years": "min_years_experience", "skill": "required_skill", "education": "required_education_level", "certification": "required_certification", "location": "location_allowlist"}
+
+
+@query(sql(" UNION ALL ".join(f"SELECT person, {r[0]} AS rule, '{_LABELS[k]}' AS label, '{_RESULT[k]}' AS type, '{r[3]}' AS on_missing, {k} AS outcome, {_FATAL[k]} AS eliminates, ({' OR '.join(f'{o} = {chr(39)}indeterminate{chr(39)}' for o in VERDICTS)}) AS has_indeterminate FROM ({_OUT})" for k, r in zip(VERDICTS, ROLE, strict=True)), "people"))
+def elimination_results(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule of every report, with its type, what it came to, and whether that eliminates."""
+    rows = _judged(spark, d)
+    rows = rows.select("person", rules.report(F.col("profile"), rules.checked_rules(F.col("rules")), F.lit(NOW)).alias("r"))
+    each = rows.select("person", F.col("r.hasIndeterminate").alias("has_indeterminate"), F.explode("r.results").alias("x"))
+    return each.select("person", F.col("x.id").alias("rule"), "x.label", "x.type", "x.on_missing", "x.outcome", "x.eliminates", "has_indeterminate")
+
+
+_NAMED = "CASE WHEN entry % 3 = 0 THEN NULL ELSE 'role ' || entry END"
+_FIRM = "CASE WHEN entry % 2 = 0 THEN NULL ELSE 'firm ' || (entry % 50) END"
+
+
+@query(
+    sql(
+        f"""SELECT person, coalesce(string_agg(CASE WHEN title IS NOT NULL AND firm IS NOT NULL THEN '"' || title || '" at "' || firm || '"' ELSE coalesce('"' || title || '"', '"' || firm || '"', 'an unnamed role') END
+            || ' (started ' || printf('%04d-%02d', start // 12, start % 12 + 1) || ') has no end date, and a later role starts after it, so its end is unknown', '; ' ORDER BY start, entry) FILTER (kind = 'open' AND (since IS NULL OR start < since)), 'no usable employment dates') AS reason
+          FROM (SELECT *, {_NAMED} AS title, {_FIRM} AS firm FROM resolved) LEFT JOIN (SELECT person, min(CASE WHEN "end" >= {NOW} THEN start END) AS since FROM merged GROUP BY person) USING (person)
+          WHERE person IN (SELECT person FROM ({TOTALS}) WHERE months IS NULL) GROUP BY person""",
+        "merged",
+    )
+)
+def experience_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Why nobody knows the years of those whose years aren't known."""
+    rows = _resolved(spark, d)
+    entry = F.col("entry").cast("string")
+    named = rows.withColumn("title", F.when(F.col("entry") % 3 != 0, F.concat(F.lit("role "), entry))).withColumn("firm", F.when(F.col("entry") % 2 != 0, F.concat(F.lit("firm "), (F.col("entry") % 50).cast("string"))))
+    return experience.reasons(named.withColumn("said", dates.iso_month(F.col("start"))), ["person"], NOW, ["start", "entry"], "title", "firm", "said")
+
+
 # profile fields
 
 RAW_EMAIL = "CASE c_custkey % 5 WHEN 0 THEN upper(replace(c_name, '#', '.')) || '@Example.COM' WHEN 1 THEN 'see attached' WHEN 2 THEN '  ' WHEN 3 THEN 'a@b' ELSE ' x.' || c_custkey || '@mail.example.org ' END"

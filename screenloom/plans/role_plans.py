@@ -9,7 +9,7 @@ from screenloom.functions import text
 from screenloom.operators import lifecycle, ranking, roles, rules, scoring
 from screenloom.plans import derived as D
 from screenloom.plans.derived import NOW, sql
-from screenloom.plans.profile_plans import _judged
+from screenloom.plans.profile_plans import _FATAL, _LABELS, _OUT, _judged
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,10 +28,11 @@ def query(oracle: str | None = None):
 #: 25 roles; each but every eighth has 3 to 5 criteria, those of every sixth add up to 99.
 R_CRITERIA = """SELECT r AS role_id, r * 10 + p AS criterion_id, p AS position, 'c' || p AS label, CASE WHEN p = 1 THEN 100 - (n - 1) * 15 - CASE WHEN r % 6 = 5 THEN 1 ELSE 0 END ELSE 15 END AS weight
   FROM (SELECT n_nationkey AS r, 3 + n_nationkey % 3 AS n, unnest(range(1, 4 + n_nationkey % 3)) AS p FROM nation WHERE n_nationkey % 8 <> 7)"""
-R_RATINGS = """SELECT id AS candidate, o_custkey % 25 AS role_id, CASE WHEN id % 7 = 0 AND p = 1 THEN 999 ELSE (o_custkey % 25) * 10 + p END AS criterion_id, (id * 7 + p * 3) % 11 AS rating
+R_RATINGS = """SELECT id AS candidate, o_custkey % 25 AS role_id, CASE WHEN id % 7 = 0 AND p = 1 THEN 999 ELSE (o_custkey % 25) * 10 + p END AS criterion_id,
+    CASE WHEN id % 13 = 0 AND p = 2 THEN NULL WHEN id % 31 = 0 AND p = 1 THEN 11 ELSE (id * 7 + p * 3) % 11 END AS rating
   FROM (SELECT o_orderkey AS id, o_custkey, unnest(CASE WHEN o_orderkey % 11 = 0 THEN [1, 2, 2, 3, 4, 5] ELSE [1, 2, 3, 4, 5] END) AS p FROM orders)
-  WHERE p <= 3 + (o_custkey % 25) % 3 AND NOT (id % 5 = 0 AND p = 3)"""
-R_VERDICTS = f"""WITH crit AS ({R_CRITERIA}), rat AS ({R_RATINGS}), who AS (SELECT DISTINCT candidate, role_id FROM rat),
+  WHERE id % 17 <> 0 AND p <= 3 + (o_custkey % 25) % 3 AND NOT (id % 5 = 0 AND p = 3)"""
+R_VERDICTS = f"""WITH crit AS ({R_CRITERIA}), rat AS ({R_RATINGS}), who AS (SELECT o_orderkey AS candidate, o_custkey % 25 AS role_id, o_custkey AS person FROM orders),
   dup AS (SELECT DISTINCT candidate FROM (SELECT candidate, criterion_id FROM rat GROUP BY ALL HAVING count(*) > 1)),
   gone AS (SELECT candidate, string_agg(criterion_id, ',' ORDER BY criterion_id) AS missing FROM (SELECT w.candidate, c.criterion_id FROM who w JOIN crit c USING (role_id) WHERE NOT EXISTS (SELECT 1 FROM rat t WHERE t.candidate = w.candidate AND t.criterion_id = c.criterion_id)) GROUP BY candidate),
   odd AS (SELECT candidate, string_agg(DISTINCT criterion_id, ',' ORDER BY criterion_id) AS unknown FROM rat t WHERE NOT EXISTS (SELECT 1 FROM crit c WHERE c.role_id = t.role_id AND c.criterion_id = t.criterion_id) GROUP BY candidate),
@@ -52,13 +53,18 @@ def _criteria(spark: SparkSession, d: str) -> DataFrame:
 def _ratings(spark: SparkSession, d: str) -> DataFrame:
     o = D.load(spark, d, "orders").select(F.col("o_orderkey").alias("candidate"), (F.col("o_custkey") % 25).alias("role_id"))
     places = F.when(F.col("candidate") % 11 == 0, F.array(*map(F.lit, (1, 2, 2, 3, 4, 5)))).otherwise(F.array(*map(F.lit, (1, 2, 3, 4, 5))))
-    rows = o.select("candidate", "role_id", F.explode(places).alias("p")).filter((F.col("p") <= F.col("role_id") % 3 + 3) & ~((F.col("candidate") % 5 == 0) & (F.col("p") == 3)))
+    rows = o.select("candidate", "role_id", F.explode(places).alias("p")).filter((F.col("p") <= F.col("role_id") % 3 + 3) & ~((F.col("candidate") % 5 == 0) & (F.col("p") == 3)) & (F.col("candidate") % 17 != 0))
     known = F.when((F.col("candidate") % 7 == 0) & (F.col("p") == 1), 999).otherwise(F.col("role_id") * 10 + F.col("p"))
-    return rows.select("candidate", "role_id", known.alias("criterion_id"), ((F.col("candidate") * 7 + F.col("p") * 3) % 11).alias("rating"))
+    rating = F.when((F.col("candidate") % 13 == 0) & (F.col("p") == 2), F.lit(None)).when((F.col("candidate") % 31 == 0) & (F.col("p") == 1), 11).otherwise((F.col("candidate") * 7 + F.col("p") * 3) % 11)
+    return rows.select("candidate", "role_id", known.alias("criterion_id"), rating.alias("rating"))
+
+
+def _everyone(spark: SparkSession, d: str) -> DataFrame:
+    return D.load(spark, d, "orders").select(F.col("o_orderkey").alias("candidate"), (F.col("o_custkey") % 25).alias("role_id"), F.col("o_custkey").alias("person"))
 
 
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.reconcile(_ratings(spark, d), _criteria(spark, d), ["candidate"], scope=["role_id"])
+    return scoring.reconcile(_ratings(spark, d), _criteria(spark, d), ["candidate"], scope=["role_id"], everyone=_everyone(spark, d))
 
 
 @query(R_VERDICTS + " SELECT * FROM verdicts")
@@ -67,17 +73,24 @@ def reconcile_by_role(spark: SparkSession, d: str) -> DataFrame:
     return _verdicts(spark, d).select("candidate", "role_id", "verdict", said("missing"), said("unknown"))
 
 
+_REPORTS = sql(f"SELECT person, {' OR '.join(_FATAL.values())} AS eliminated, CASE {' '.join(f'WHEN {c} THEN {chr(39)}{_LABELS[k]}{chr(39)}' for k, c in _FATAL.items())} END AS eliminated_by FROM ({_OUT})", "people")
+
+
 @query(
     R_VERDICTS
-    + """, raw AS (SELECT candidate, sum(rating * weight) AS raw, sum(weight) AS weights FROM rat JOIN crit USING (role_id, criterion_id) GROUP BY candidate),
-  told AS (SELECT v.*, n_nationkey % 4 + 1 AS role_version, candidate % 9 = 0 AS eliminated, CASE WHEN verdict <> 'ok' THEN verdict || '_ratings' WHEN weights IS NULL THEN 'rating_out_of_range' WHEN weights <> 100 THEN 'weights_not_100' END AS problem, raw FROM verdicts v LEFT JOIN raw USING (candidate) JOIN nation ON n_nationkey = role_id)
-  SELECT candidate, role_id, role_version, problem, CASE WHEN problem IS NULL THEN raw / 10e0 END AS score, eliminated, CASE WHEN problem IS NULL THEN CASE WHEN eliminated THEN 'unmatched' WHEN raw >= 850 THEN 'strong_match' WHEN raw >= 650 THEN 'potential_match' ELSE 'unmatched' END END AS tier FROM told"""
+    + f""", sums AS (SELECT n_nationkey AS role_id, n_nationkey % 4 + 1 AS role_version, count(weight) AS n, sum(weight) AS weights FROM nation LEFT JOIN crit ON role_id = n_nationkey GROUP BY ALL),
+  raw AS (SELECT candidate, sum(rating * weight) AS raw, bool_and(coalesce(rating BETWEEN 0 AND 10, false)) AS good FROM rat JOIN crit USING (role_id, criterion_id) GROUP BY candidate),
+  told AS (SELECT v.candidate, role_id, role_version, r.eliminated, r.eliminated_by, raw, CASE WHEN n = 0 THEN 'no_criteria' WHEN weights <> 100 THEN 'weights_not_100' WHEN verdict <> 'ok' THEN verdict || '_ratings' WHEN NOT coalesce(good, false) THEN 'invalid_rating' WHEN r.person IS NULL THEN 'no_report' END AS problem
+    FROM verdicts v JOIN sums USING (role_id) JOIN (SELECT candidate, person FROM who) USING (candidate) LEFT JOIN raw USING (candidate) LEFT JOIN (SELECT * FROM ({_REPORTS}) WHERE person % 29 <> 0) r USING (person))
+  SELECT candidate, role_id, role_version, problem, CASE WHEN problem IS NULL THEN raw / 10e0 END AS score, eliminated, eliminated_by, CASE WHEN problem IS NULL THEN CASE WHEN eliminated THEN 'unmatched' WHEN raw >= 850 THEN 'strong_match' WHEN raw >= 650 THEN 'potential_match' ELSE 'unmatched' END END AS tier FROM told"""
 )
 def judged_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Ratings reconciled with the role's criteria, scored, ruled on and tiered, with the role's version."""
-    ratings = _ratings(spark, d)
-    reports = ratings.select("candidate").distinct().withColumn("eliminated", F.col("candidate") % 9 == 0)
-    return roles.judged(ratings, _verdicts(spark, d), _criteria(spark, d), reports, _roles(spark, d))
+    """All candidates, rated or not: their ratings held against the role's criteria and scored, their
+    profiles against its rules, and tiered, with the role's version. Some have no profile yet."""
+    report = rules.report(F.col("profile"), F.col("rules"), F.lit(NOW)).alias("r")
+    people = _judged(spark, d).filter("person % 29 <> 0").select("person", report).select("person", F.col("r.eliminated"), F.col("r.eliminatedBy").alias("eliminated_by"))
+    reports = _everyone(spark, d).select("candidate", "person").join(people, "person").drop("person")
+    return roles.judged(_ratings(spark, d), _verdicts(spark, d), _criteria(spark, d), reports, _roles(spark, d))
 
 
 @query(f"SELECT n_nationkey AS role_id, coalesce(n, 0)::BIGINT AS n, coalesce(w, 0)::BIGINT AS weight_sum FROM nation LEFT JOIN (SELECT role_id, count(*) AS n, sum(weight) AS w FROM ({R_CRITERIA}) GROUP BY role_id) ON role_id = n_nationkey")

@@ -124,6 +124,8 @@ def test_golden_score_and_bounds(spark):
     assert checked.filter("not agrees").count() == 0
     with pytest.raises(Exception, match="100"):
         scoring.weighted_score(ratings.filter("criterion_id < 6"), criteria, ["id"]).collect()
+    with pytest.raises(Exception, match="ratings"):  # no rating isn't a rating of 0
+        scoring.weighted_score(ratings.withColumn("rating", F.when(F.col("criterion_id") != 2, F.col("rating"))), criteria, ["id"]).collect()
     changed = scoring.clean_matrices(scoring.matrix(ratings, criteria, ["id"]), {"label": lambda c: F.when(c == "c3", "x").otherwise(c)})
     assert changed.count() == 200 and scoring.clean_matrices(changed, {"label": lambda c: F.when(c == "c3", "x").otherwise(c)}).count() == 0
 
@@ -304,3 +306,61 @@ def test_answers_come_in_the_order_asked(spark):
     answers = ingest.insert_new(spark.createDataFrame([("s1",)], "sha string"), asked, ["sha"], "ordinal")
     got = [(r.ordinal, r.sha, r.created) for r in ingest.in_order(answers, asked, ["sha"], "ordinal").collect()]
     assert got == [(k, f"s{k % 3}", k % 3 != 1) for k in range(9)]
+
+
+def test_candidates_without_ratings_lack_all_criteria(spark):
+    criteria = spark.createDataFrame(CRITERIA, "criterion_id int, position int, label string, weight int")
+    ratings = spark.createDataFrame([(1, c, 5) for c in range(1, 7)], "id int, criterion_id int, rating int")
+    got = scoring.reconcile(ratings, criteria, ["id"], everyone=spark.createDataFrame([(1,), (2,)], "id int")).collect()
+    assert {r.id: (r.verdict, r.missing) for r in got} == {1: ("ok", []), 2: ("missing", [1, 2, 3, 4, 5, 6])}
+
+
+def test_judging_names_what_is_wrong(spark):
+    from screenloom.operators import roles
+
+    own = spark.createDataFrame([(r, 3) for r in range(4)], "role_id int, version int")
+    criteria = spark.createDataFrame([(0, 1, 60), (0, 2, 40), (1, 1, 60), (1, 2, 30), (3, 1, 100)], "role_id int, criterion_id int, weight int")
+    rows = [(1, 0, 1, 10), (1, 0, 2, None), (2, 0, 1, 10), (3, 1, 1, 5), (3, 1, 2, 5), (5, 3, 1, 9), (6, 3, 1, 9), (7, 0, 1, 5), (7, 0, 1, 5), (7, 0, 2, 5), (8, 3, 1, 11), (9, 3, 1, 9)]
+    ratings = spark.createDataFrame(rows, "candidate int, role_id int, criterion_id int, rating int")
+    everyone = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 2), (5, 3), (6, 3), (7, 0), (8, 3), (9, 3), (10, 0)], "candidate int, role_id int")
+    reports = everyone.filter("candidate <> 9").select("candidate", (F.col("candidate") == 6).alias("eliminated"), F.when(F.col("candidate") == 6, "region").alias("eliminated_by"))
+    found = scoring.reconcile(ratings, criteria, ["candidate"], scope=["role_id"], everyone=everyone)
+    got = {r.candidate: (r.problem, r.score, r.tier) for r in roles.judged(ratings, found, criteria, reports, own).collect()}
+    assert got == {
+        1: ("invalid_rating", None, None), 2: ("missing_ratings", None, None), 3: ("weights_not_100", None, None), 4: ("no_criteria", None, None), 5: (None, 90.0, "strong_match"), 6: (None, 90.0, "unmatched"),
+        7: ("duplicate_ratings", None, None), 8: ("invalid_rating", None, None), 9: ("no_report", None, None), 10: ("missing_ratings", None, None),
+    }
+
+
+def test_malformed_rules_stop_the_query(spark):
+    from screenloom.plans.profile_plans import ROLE, RULE
+
+    def wrong(**changed):
+        names = [c.split()[0] for c in RULE.split(", ")]
+        rows = [tuple(changed[n] if r[2] == changed["type"] and n in changed else v for n, v in zip(names, r, strict=True)) for r in ROLE]
+        df = spark.createDataFrame(rows, RULE)
+        return df.select(rules.malformed(F.struct(*df.columns)).alias("m")).filter("m IS NOT NULL").collect()
+
+    assert wrong(type="none") == []
+    cases = [("min_years_experience", "years", (None, -1.0, 61.0, 2.5)), ("required_skill", "skill", (None, " ")), ("required_skill", "matchMode", (None, "fuzzy")), ("required_skill", "mustBeDemonstrated", (None,)), ("required_education_level", "level", (None, "phd")), ("required_certification", "name", ("",)), ("location_allowlist", "countryCodes", (None, [], ["gb"], ["GB", None]))]
+    for kind, field, values in cases:
+        for v in values:
+            assert [r.m for r in wrong(type=kind, **{field: v})] == [field]
+    df = spark.createDataFrame([(*ROLE[0][:4], 99.0, *ROLE[0][5:])], RULE)
+    with pytest.raises(Exception, match="malformed value of rule five years: years"):
+        df.agg(F.collect_list(F.struct(*df.columns)).alias("rules")).select(F.size(rules.checked_rules(F.col("rules")))).collect()
+
+
+def test_reports_with_details(spark):
+    from screenloom.plans.derived import NOW
+    from screenloom.plans.profile_plans import _judged
+
+    rows = _judged(spark, "/root/testdata/sf0.001").limit(40)
+    got = rows.select(rules.report(F.col("profile"), F.col("rules"), F.lit(NOW), details=True, why_no_years=F.lit("no usable employment dates")).alias("r"), "profile").collect()
+    for row in got:
+        assert row.r.eliminatedBy == next((x.label for x in row.r.results if x.eliminates), None) and row.r.hasIndeterminate == any(x.outcome == "indeterminate" for x in row.r.results)
+        assert [x.label for x in row.r.results if x.outcome == "fail"] == row.r.failures and all(x.detail for x in row.r.results)
+        skill = row.r.results[1]
+        assert skill.type == "required_skill" and ("demonstrated in the CV" in skill.detail) == (skill.outcome == "pass")
+        if row.profile.computedYearsExperience is None:
+            assert "no usable employment dates" in row.r.results[0].detail
