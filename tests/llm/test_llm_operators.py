@@ -575,6 +575,43 @@ def test_error_bounds_hold():
     assert (np.abs(near - x @ y.T) <= bound).all()
 
 
+def test_mix_of_repeated_rows(spark):
+    """A source that is copies of few rows comes within one of them of its target."""
+    rows = [(1, "w " * 100, None, "a", 0, None, None)] * 40 + [(i, "v " * 50, None, "b", 0, None, None) for i in range(100, 300)] + [(2, "u " * 30, None, "c", 0, None, None)] * 90 + [(3, "t " * 7, None, "c", 0, None, None)] * 50
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(words(r[1]))
+    want, got = slow_targets(sizes), mixing.mix_report(df).collect()
+    assert len(got) == len(rows)
+    taken, mixed = Counter(), Counter()
+    for r in got:
+        taken[{1: "a", 2: "c", 3: "c"}.get(r.doc_id, "b")] += r.taken
+        assert r.taken <= 2 * r.size
+    for r in mixing.mix(df).collect():
+        mixed[r.source] += len(words(r.text))
+    assert taken == mixed
+    assert all(abs(taken[s] - want[s]) <= {"a": 100, "b": 50, "c": 30}[s] for s in "abc")
+    assert Counter(map(tuple, mixing.mix_report(df.repartition(3)).collect())) == Counter(map(tuple, got))
+
+
+def left_behind(spark, query, docs):
+    """The tables in the shared folder after a query has been planned and run."""
+    import os
+
+    from screenloom.llm.common import work_path
+
+    folder = os.path.dirname(work_path(spark, "x")).removeprefix("file:")
+    before = set(os.listdir(folder))
+    query(docs).collect()
+    return sorted(name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before)
+
+
+def test_mix_leaves_what_its_result_reads(spark, docs):
+    assert left_behind(spark, mixing.mix, docs) == ["mix-thresholds"]
+    assert left_behind(spark, mixing.mix_report, docs) == ["mix-rows", "mix-thresholds"]
+
+
 # packing
 
 
