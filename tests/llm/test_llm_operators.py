@@ -714,7 +714,7 @@ def test_scores_match_a_plain_model(spark, docs, order, monkeypatch):
 def test_scores_of_odd_rows(docs, empty):
     teaches = crc_of_id() % 10 != 0
     words_of = lambda t: [*(t or "").encode().translate(LOW).split(), None]
-    p, counts, n, v = plain_model([words_of(r[1]) for r in odd_rows() if zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 10], 2)
+    p, counts, n, v = plain_model([words_of(r[1]) for r in odd_rows() if zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 10], scoring.ORDER)
     want = defaultdict(set)
     for r in odd_rows():
         w = words_of(r[1])
