@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,22 +11,35 @@ from .text import INLINE_SPACE, fold_space, trimmed
 
 #: The five named entities of XML.
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
-ENTITY = re.compile(r"&(?:(amp|lt|gt|quot|apos)|#([0-9]+)|#[xX]([0-9A-Fa-f]+));")
 
 
-def decode_entity(found: re.Match) -> str:
-    if found[1]:
-        return ENTITIES[found[1]]
-    digits, base = (found[2], 10) if found[2] else (found[3], 16)
-    digits = digits.lstrip("0") or "0"
-    point = int(digits, base) if len(digits) < 8 else -1
-    return chr(point) if 0 <= point <= 0x10FFFF and not 0xD800 <= point <= 0xDFFF else found[0]
+def entity(name: str) -> str | None:
+    """The character that stands between & and ; as a name, or as a number after # (after #x in base
+    16). None if there is no such character."""
+    if not name.startswith("#"):
+        return ENTITIES.get(name)
+    base, digits = (16, name[2:]) if name[1:2] == "x" else (10, name[1:])
+    if not digits or digits.lower().strip("0123456789abcdef"[:base]):
+        return None
+    point = int(digits, base) if len(digits.lstrip("0")) < 8 else -1
+    return chr(point) if 0 <= point <= 0x10FFFF and not 0xD800 <= point <= 0xDFFF else None
+
+
+def decoded(text: str) -> str:
+    """A text with its entities as characters; what isn't an entity stays."""
+    before, *parts = text.split("&")
+    out = [before]
+    for part in parts:
+        name, end, rest = part.partition(";")
+        character = entity(name) if end else None
+        out.append("&" + part if character is None else character + rest)
+    return "".join(out)
 
 
 @F.pandas_udf(T.StringType())
 def decode_entities(texts: pd.Series) -> pd.Series:
     """Named and numeric entities, in one pass: what a pass gives isn't decoded again."""
-    return texts.map(lambda t: ENTITY.sub(decode_entity, t), na_action="ignore")
+    return texts.map(decoded, na_action="ignore")
 
 
 def lines(html: Column) -> Column:

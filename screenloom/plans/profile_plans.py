@@ -223,13 +223,99 @@ def normalize_years(spark: SparkSession, d: str) -> DataFrame:
     return _raw(spark, d).select("person", profile.stated_years(F.col("years")).alias("years"))
 
 
-_LOG = lambda name, before, after: f"CASE WHEN {before} IS NOT NULL AND {after} IS NULL THEN '{name}:dropped' WHEN {before} IS DISTINCT FROM {after} THEN '{name}:rewritten' END"
+#: Texts of profiles by a number: some are blank, some absent.
+_SAY = lambda k, m, word: f"CASE ({k}) % {m} WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE ' {word}  ' || ({k}) || ' ' END"
+_LISTS = {
+    "workHistory": {"employer": _SAY("k", 5, "firm"), "title": _SAY("k", 7, "role"), "startDate": _SAY("k", 11, "from"), "endDate": _SAY("k", 4, "to"), "summary": _SAY("k", 3, "did")},
+    "education": {"institution": _SAY("k", 3, "school"), "degree": _SAY("k", 4, "degree"), "field": _SAY("k", 5, "field"), "level": "CASE k % 3 WHEN 0 THEN 'masters' WHEN 1 THEN ' ' END", "endDate": _SAY("k", 6, "until")},
+    "certifications": {"name": "CASE k % 6 WHEN 0 THEN '   ' ELSE ' cert  ' || k % 9 END", "issuer": _SAY("k", 4, "issuer"), "issuedDate": _SAY("k", 5, "on"), "expiryDate": _SAY("k", 7, "till")},
+    "skills": {"name": "CASE k % 7 WHEN 0 THEN '' WHEN 1 THEN 'SQL' WHEN 2 THEN ' sql' WHEN 3 THEN 'Node  JS' WHEN 4 THEN 'node js ' ELSE 'Go' END", "evidenceType": "CASE k % 3 WHEN 0 THEN 'demonstrated' ELSE 'listed' END", "evidenceQuote": _SAY("k", 4, "quote")},
+}
+_TOP = {
+    "email": RAW_EMAIL, "phone": RAW_PHONE, "linkedinUrl": "CASE c_custkey % 4 WHEN 0 THEN 'https://www.linkedin.com/in/x' WHEN 1 THEN 'example.org/linkedin' WHEN 2 THEN ' ' END", "fullName": _SAY("c_custkey", 6, "Person"),
+    "locationCity": "CASE c_custkey % 3 WHEN 0 THEN ' Leeds ' WHEN 1 THEN ' ' END", "locationRegion": "CASE c_custkey % 5 WHEN 0 THEN 'North' END", "locationCountryCode": RAW_COUNTRY,
+}
+_STATED = "CASE WHEN c_custkey % 3 = 0 THEN c_custkey / 7e0 WHEN c_custkey % 3 = 1 THEN -1e0 * c_custkey END"
+
+
+def wire_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles as they come in: customers, with their orders as entries of the four lists."""
+    each = D.load(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("k"))
+    people = D.load(spark, d, "customer").select("c_custkey", "c_name")
+    for n, (name, fields) in enumerate(_LISTS.items()):
+        entry = F.struct(*(F.expr(v).alias(f) for f, v in fields.items()))
+        own = each.filter(F.col("k") % 4 == n).withColumn("k", F.floor(F.col("k") / 4)).select("c_custkey", "k", entry.alias("e"))
+        people = people.join(own.groupBy("c_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "e"))), lambda x: x["e"]).alias(name)), "c_custkey", "left")
+    top = [F.expr(v).alias(f) for f, v in _TOP.items()]
+    return people.select(F.col("c_custkey").alias("person"), F.struct(*top, F.expr(_STATED.replace("e0", "D")).alias("statedYearsExperience"), *_LISTS).cast(profile.wire_schema()).alias("wire"))
+
+
+_TIDY = lambda c: f"nullif(trim(regexp_replace({c}, '\\s+', ' ', 'g')), '')"
+
+
+def _entry_changes(n: int, name: str, fields: dict[str, str]) -> str:
+    """The log of a list, a row for each change: entries are rows with their place."""
+    named = "name" in fields
+    blank = f"{_TIDY('name')} IS NULL" if named else "false"
+    rows = [f"SELECT person, {n} AS sec, i, -1 AS f, '{name}[' || i || ']' AS field, 'dropped_entry' AS action, 'blank_name' AS reason FROM {name} WHERE {blank}"] if named else []
+    for k, f in enumerate(fields):
+        path = f"'{name}[' || i || '].{f}'"
+        if f == "evidenceQuote":
+            rows.append(f"SELECT person, {n}, i, {k}, {path}, 'nulled_invalid', 'quote_without_demonstration' FROM {name} WHERE NOT ({blank}) AND evidenceType <> 'demonstrated' AND {f} IS NOT NULL")
+            rows.append(f"SELECT person, {n}, i, {k + 1}, '{name}[' || i || ']', 'deduplicated', NULL FROM (SELECT *, row_number() OVER (PARTITION BY person, lower({_TIDY('name')}) ORDER BY i) AS c FROM {name} WHERE NOT ({blank})) WHERE c > 1")
+        elif f not in profile.CLOSED and f != "name":
+            rows.append(f"SELECT person, {n}, i, {k}, {path}, 'nulled_empty', NULL FROM {name} WHERE NOT ({blank}) AND {f} IS NOT NULL AND {_TIDY(f)} IS NULL")
+    return " UNION ALL ".join(rows)
+
+
+_TOP_LOG = " UNION ALL ".join(
+    f"SELECT person, 0, 0, {k}, '{f}', CASE WHEN {_TIDY(f)} IS NULL THEN 'nulled_empty' ELSE 'nulled_invalid' END, CASE WHEN {_TIDY(f)} IS NOT NULL THEN '{why}' END FROM top WHERE {f} IS NOT NULL AND ({_TIDY(f)} IS NULL OR NOT ({good}))"
+    for k, (f, why, good) in enumerate((("email", "not_an_address", "email LIKE '%@%.%'"), ("phone", "too_few_digits", "length(regexp_replace(phone, '[^0-9]', '', 'g')) >= 7"), ("linkedinUrl", "not_a_linkedin_url", "linkedinUrl LIKE '%linkedin.com/%'"), ("fullName", "", "true")))
+)
+_WIRED = (
+    "WITH top AS (SELECT c_custkey AS person, " + ", ".join(f"{v} AS {f}" for f, v in _TOP.items()) + f", {_STATED} AS years FROM customer), "
+    + ", ".join(
+        f"{name} AS (SELECT person, row_number() OVER (PARTITION BY person ORDER BY k) - 1 AS i, " + ", ".join(f"{v} AS {f}" for f, v in fields.items()) + f" FROM (SELECT o_custkey AS person, o_orderkey // 4 AS k FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 4 = {n}))"
+        for n, (name, fields) in enumerate(_LISTS.items())
+    )
+    + ", log(person, sec, i, f, field, action, reason) AS (" + " UNION ALL ".join(_entry_changes(n + 2, name, fields) for n, (name, fields) in enumerate(_LISTS.items()))
+    + f" UNION ALL {_TOP_LOG} UNION ALL SELECT person, 1, 0, 0, 'location.countryCode', 'nulled_invalid', 'not_iso_alpha_2' FROM top WHERE {_TIDY('locationCountryCode')} IS NOT NULL AND NOT regexp_full_match(trim(locationCountryCode), '[A-Za-z]{{2}}')"
+    + " UNION ALL SELECT person, 1, 0, 1, 'statedYearsExperience', 'nulled_invalid', 'implausible' FROM top WHERE years IS NOT NULL AND NOT years BETWEEN 0 AND 80)"
+)
 
 
-@query(f"SELECT person, array_to_string(list_filter([{_LOG('email', 'e0', EMAIL)}, {_LOG('phone', 'p0', PHONE)}, {_LOG('country', 'c0', COUNTRY)}], lambda x: x IS NOT NULL), ',') AS changes FROM {FIELDS}")
+@query(_WIRED + " SELECT person, row_number() OVER (PARTITION BY person ORDER BY sec, i, f) - 1 AS at, field, action, reason FROM log")
 def profile_changes(spark: SparkSession, d: str) -> DataFrame:
-    c = {n: (F.col(n), f(F.col(n))) for n, f in (("email", profile.email), ("phone", profile.phone), ("country", profile.country))}
-    return _raw(spark, d).select("person", F.array_join(profile.changes(c), ",").alias("changes"))
+    """Everything that is taken from the profiles when they are made regular, with paths, in order."""
+    rows = wire_profiles(spark, d).select("person", profile.normalised(F.col("wire")).alias("n"))
+    each = rows.select("person", F.posexplode("n.changes").alias("at", "c"))
+    return each.select("person", F.col("at").cast("long").alias("at"), "c.field", "c.action", "c.reason")
+
+
+_FIRST = f"SELECT person, arg_min(n, i) AS n, arg_min(t, CASE WHEN t = 'demonstrated' THEN i ELSE 1000000 + i END) AS t, arg_min(q, CASE WHEN t = 'demonstrated' THEN i ELSE 1000000 + i END) AS q, min(i) AS i FROM (SELECT person, i, {_TIDY('name')} AS n, evidenceType AS t, CASE WHEN evidenceType = 'demonstrated' THEN coalesce({_TIDY('evidenceQuote')}, '') ELSE '' END AS q FROM skills WHERE {_TIDY('name')} IS NOT NULL) GROUP BY person, lower(n)"
+
+
+@query(
+    _WIRED
+    + f""", s AS (SELECT person, string_agg(n || ':' || t || ':' || q, ',' ORDER BY i) AS skills FROM ({_FIRST}) GROUP BY person),
+    c AS (SELECT person, string_agg({_TIDY('name')} || ':' || coalesce({_TIDY('issuer')}, '') || ':' || coalesce({_TIDY('expiryDate')}, ''), ',' ORDER BY i) AS certs FROM certifications GROUP BY person),
+    w AS (SELECT person, count(*) AS n_work, count({_TIDY('title')}) AS n_titles FROM workHistory GROUP BY person), e AS (SELECT person, count(*) AS n_education, string_agg(coalesce(level, '-'), ',' ORDER BY i) AS levels FROM education GROUP BY person)
+    SELECT person, CASE WHEN email LIKE '%@%.%' THEN lower(trim(email)) END AS email, CASE WHEN coalesce(locationCity, locationRegion, locationCountryCode) IS NULL THEN 'nowhere' ELSE coalesce({_TIDY('locationCity')}, '') || '/' || coalesce(locationRegion, '') || '/' || coalesce(CASE WHEN regexp_full_match(trim(locationCountryCode), '[A-Za-z]{{2}}') THEN upper(trim(locationCountryCode)) END, '') END AS place,
+      coalesce(n_work, -1) AS n_work, coalesce(n_titles, -1) AS n_titles, levels, CASE WHEN c.person IS NULL THEN 'none' ELSE coalesce(certs, '') END AS certs, CASE WHEN k.person IS NULL THEN 'none' ELSE coalesce(s.skills, '') END AS skills
+    FROM top LEFT JOIN s USING (person) LEFT JOIN (SELECT DISTINCT person FROM skills) k ON k.person = top.person LEFT JOIN c ON c.person = top.person LEFT JOIN w ON w.person = top.person LEFT JOIN e ON e.person = top.person"""
+)
+def profile_normalised(spark: SparkSession, d: str) -> DataFrame:
+    """The profiles as they are kept: lists that are absent are told from empty ones."""
+    p = F.col("p")
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    place = F.when(p["location"].isNull(), "nowhere").otherwise(F.concat_ws("/", blank(p["location"]["city"]), blank(p["location"]["region"]), blank(p["location"]["countryCode"])))
+    listed = lambda c, *fields: F.coalesce(F.array_join(F.transform(c, lambda e: F.concat_ws(":", *(blank(e[f]) for f in fields))), ","), F.lit("none"))
+    rows = wire_profiles(spark, d).select("person", profile.normalised(F.col("wire"))["profile"].alias("p"))
+    return rows.select(
+        "person", p["email"].alias("email"), place.alias("place"), F.coalesce(F.size(p["workHistory"]), F.lit(-1)).cast("long").alias("n_work"),
+        F.coalesce(F.size(F.filter(p["workHistory"], lambda e: e["title"].isNotNull())), F.lit(-1)).cast("long").alias("n_titles"),
+        F.array_join(F.transform(p["education"], lambda e: F.coalesce(e["level"], F.lit("-"))), ",").alias("levels"), listed(p["certifications"], "name", "issuer", "expiryDate").alias("certs"), listed(p["skills"], "name", "evidenceType", "evidenceQuote").alias("skills"),
+    )
 
 
 @query(

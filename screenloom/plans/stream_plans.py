@@ -54,10 +54,21 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("byte_size"))
 
 
-@query("SELECT doc_id, 'text/plain' AS mime FROM documents WHERE text <> ''")
+#: What is put before a text to make another type of it, by the document's number, in base 16; and the type and the reason.
+_HEADS = (
+    ("", "text/plain", "utf8"), ("255044462D312E37", "application/pdf", "pdf_signature"), ("0A0A255044462D", "application/pdf", "pdf_signature_offset"), ("504B0506", None, "empty_archive"), ("504B0708", None, "spanned_archive"),
+    ("504B0304", None, "no_end_of_central_directory"), ("FFFE", "text/plain", "utf16_bom"), ("EFBBBF", "text/plain", "utf8_bom"), ("00", None, "nul_byte"), ("C0AF", None, "invalid_utf8"),
+)
+_SAID = lambda values: "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "][doc_id % 10 + 1]"
+_BARE = "coalesce(text, '') = '' AND doc_id % 10 = 0"
+
+
+@query(f"SELECT doc_id, CASE WHEN {_BARE} THEN NULL ELSE {_SAID(h[1] for h in _HEADS)} END AS mime, CASE WHEN {_BARE} THEN 'empty' ELSE {_SAID(h[2] for h in _HEADS)} END AS reason, CASE doc_id % 10 WHEN 1 THEN 0 WHEN 2 THEN 2 END AS \"offset\" FROM documents")
 def sniff_mime(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "documents").filter("text <> ''")
-    return rows.select("doc_id", files.sniff_mime(F.col("text").cast("binary"))["mime"].alias("mime"))
+    """The type of every document's bytes, behind a few that make them something else."""
+    head = F.element_at(F.array(*(F.lit(h[0]) for h in _HEADS)), (F.col("doc_id") % 10 + 1).cast("int"))
+    content = F.unhex(F.concat(head, F.hex(F.coalesce("text", F.lit("")).cast("binary"))))
+    return load(spark, d, "documents").select("doc_id", files.sniff_mime(content).alias("f")).select("doc_id", "f.mime", "f.reason", "f.offset")
 
 
 @query()

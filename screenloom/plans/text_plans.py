@@ -44,9 +44,9 @@ def text_layer(spark: SparkSession, d: str) -> DataFrame:
     return D.load(spark, d, "documents").select("doc_id", (F.length("text") / pages).alias("per_page"), text.image_only(F.length("text"), pages).alias("image_only"))
 
 
-@query("SELECT doc_id, length(regexp_replace(text, '[^\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')) / length(text) AS ratio FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE length(regexp_replace(text, '[^\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')) / length(text) END AS ratio FROM documents")
 def control_ratio(spark: SparkSession, d: str) -> DataFrame:
-    return D.load(spark, d, "documents").filter(F.length("text") > 0).select("doc_id", text.control_ratio(F.col("text")).alias("ratio"))
+    return D.load(spark, d, "documents").select("doc_id", text.control_ratio(F.col("text")).alias("ratio"))
 
 
 _WORDS = lambda c: f"list_filter(regexp_split_to_array(lower(trim(regexp_replace({c}, '\\s+', ' ', 'g'))), '[^\\p{{L}}\\p{{N}}+#]+'), lambda x: x <> '')"
@@ -81,28 +81,66 @@ def evidence_downgrade(spark: SparkSession, d: str) -> DataFrame:
     return items.join(held, "item_id", "left").select("item_id", F.get(evidence.downgrade(F.array(skill)), F.lit(0))["evidenceType"].alias("evidence"))
 
 
-_W, _B = "|".join(text.SCORE_WORDS), "|".join(text.LEADING_WORDS)
-_S, _F = "|".join(text.SCALE_WORDS).replace(" ", r"\s+"), "|".join(text.FUNCTION_WORDS)
-_LOOSE = rf"(?i)\b({_W})\b(\s+[A-Za-z][A-Za-z’''-]*){{0,3}}\s+"
-_PUNCT = r"(\s*$|\s+[^\w\s]|\s+(" + _S + "|" + _F + r")\b|"
-FIGURE = (
-    r"CASE WHEN regexp_matches(text, '(?i)\b\d+(\.\d+)?\s*(%|percent\b|per\s+cent\b)') THEN 'percentage' "
-    r"WHEN regexp_matches(text, '\b\d+(\.\d+)?\s*/\s*(10|100)([^\w/]|$)') THEN 'out_of_scale' "
-    rf"WHEN regexp_matches(text, '(?i)\b({_W})\b(:(\s+({_B})\b){{0,2}}|(\s+({_B})\b){{1,2}})\s+\d+(\.\d+)?') THEN 'score_word' "
-    rf"WHEN regexp_matches(text, '{_LOOSE}\d+\.\d+{_PUNCT}[^\w\s])') OR regexp_matches(text, '{_LOOSE}\d+{_PUNCT}[^\w\s.]|\.([^\d]|$))') THEN 'score_word' END"
-)
 #: Sentences that do and don't give a score away, told apart by the turn.
 SAID = (
     "Strong fit, 82% match.", "Rated 8/10 overall.", "A score of 80 seems right.", "We scored 8 projects.", "I would rate them 90 overall.", "Their rating reflects 8 years.",
-    "Rating: 8", "scored 8.5 years", "matches 4 of the 6 criteria", "score roughly 8.5.",
+    "Rating: 8", "scored 8.5 years", "matches 4 of the 6 criteria", "score roughly 8.5.", "Well, I'd say\n 9 / 10", "The ratings of Priya’s team score: at 77", "some 12.5  per cent of it", "We SCORED an extraordinarily-long-named applicant 85",
 )
 
 
-@query("SELECT conv_id, turn, " + FIGURE + " AS figure FROM (SELECT conv_id, turn, text || ' ' || CASE (conv_id + turn) % 10 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SAID)) + " END AS text FROM conversations WHERE role = 'assistant')")
+_IN = lambda t, words: f"coalesce({t} IN (" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "), false)"
+_NEAR = ", ".join(f"lag({c}, {k}) OVER w AS {c}b{k}" for c in ("t", "apart", "raw") for k in range(1, 5)) + ", " + ", ".join(f"lead({c}, {k}) OVER w AS {c}a{k}" for c in ("t", "apart", "raw") for k in range(1, 4))
+
+
+def _behind(c: str, k: int) -> str:
+    return f"{c}b{k}" if k else c
+
+
+def _span(first: int, last: int) -> str:
+    """The text of the tokens from `first` before a number to `last` after it."""
+    return "ltrim(" + " || ".join([*(_behind("raw", k) for k in range(first, -1, -1)), *(f"rawa{k}" for k in range(1, last + 1))]) + ", chr(9) || chr(10) || chr(13) || ' ')"
+
+
+def _score_words() -> list[str]:
+    """Cases of a number that a score word leads to, first the direct ones and then, if the number counts nothing, the loose ones."""
+    apart = lambda n: " AND ".join(f"coalesce({_behind('apart', k)}, true)" for k in range(n + 1))
+    direct, loose = [], []
+    for n in range(text.LEADING_BETWEEN, -1, -1):
+        between = " AND ".join([apart(n), *(_IN(_behind("t", k), text.LEADING_WORDS) for k in range(1, n + 1))])
+        direct.append(f"WHEN {between} AND {_behind('t', n + 1)} = ':' AND {_IN(_behind('t', n + 2), text.SCORE_WORDS)} THEN {_span(n + 2, 0)}")
+        if n:
+            direct.append(f"WHEN {between} AND {_IN(_behind('t', n + 1), text.SCORE_WORDS)} THEN {_span(n + 1, 0)}")
+    for n in range(text.ANY_BETWEEN, -1, -1):
+        between = " AND ".join([apart(n), *(f"{_behind('t', k)} SIMILAR TO '[a-z][a-z’''-]*'" for k in range(1, n + 1))])
+        told = f"ltrim({_behind('raw', n + 1)}) || ' ... ' || ltrim(raw)" if n else _span(1, 0)
+        loose.append(f"WHEN {between} AND {_IN(_behind('t', n + 1), text.SCORE_WORDS)} THEN {told}")
+    single = [w for w in text.SCALE_WORDS if " " not in w]
+    ends = f"ta1 IS NULL OR NOT regexp_matches(ta1, '^[\\pL\\pN_]') OR coalesce(aparta1, true) AND ({_IN('ta1', text.FUNCTION_WORDS)} OR {_IN('ta1', single)} OR ta1 = 'out' AND coalesce(ta2 = 'of', false))"
+    return [f"CASE {' '.join(direct)} END", f"CASE WHEN {ends} THEN CASE {' '.join(loose)} END END"]
+
+
+#: The figures of texts (id, text), from tokens as rows that see their neighbours.
+FIGURES = f"""tokens AS (SELECT id, i, raws[i] AS raw, lower(regexp_replace(raws[i], '^\\s+', '')) AS t, regexp_matches(raws[i], '^\\s') AS apart
+  FROM (SELECT id, raws, unnest(range(1, len(raws) + 1)) AS i FROM (SELECT id, regexp_extract_all(text, '\\s*(?:[0-9]+(?:\\.[0-9]+)?|[\\pL_][\\pL\\pN_’''-]*|[^\\s])') AS raws FROM texts))),
+near AS (SELECT *, {_NEAR} FROM tokens WINDOW w AS (PARTITION BY id ORDER BY i)),
+numbers AS (SELECT * FROM near WHERE t SIMILAR TO '[0-9]+([.][0-9]+)?'),
+told AS (
+  SELECT id, i, 1 AS rank, 'percentage' AS kind, CASE WHEN ta1 IN ('%', 'percent') THEN {_span(0, 1)} WHEN ta1 = 'per' AND ta2 = 'cent' THEN {_span(0, 2)} END AS span FROM numbers
+  UNION ALL SELECT id, i, 2, 'out_of_scale', CASE WHEN ta1 = '/' AND ta2 IN ('10', '100') AND NOT (NOT coalesce(aparta3, true) AND coalesce(regexp_matches(ta3, '^[/\\pL_]'), false)) THEN {_span(0, 2)} END FROM numbers
+  UNION ALL SELECT id, i, 3, 'score_word', {_score_words()[0]} FROM numbers
+  UNION ALL SELECT id, i, 4, 'score_word', {_score_words()[1]} FROM numbers
+), figures AS (SELECT id, arg_min(kind, rank * 1000000 + i) AS figure, left(arg_min(span, rank * 1000000 + i), {text.MAX_TOLD}) AS span FROM told WHERE span IS NOT NULL GROUP BY id)"""
+
+
+@query(
+    "WITH texts AS (SELECT row_number() OVER () AS id, conv_id, turn, concat_ws(' ', text, CASE (conv_id + turn) % 14 " + " ".join(f"WHEN {i} THEN '{s.replace(chr(39), chr(39) * 2)}'" for i, s in enumerate(SAID)) + f" END) AS text FROM conversations), {FIGURES} "
+    "SELECT conv_id, turn, figure, span FROM texts LEFT JOIN figures USING (id)"
+)
 def score_figure_scan(spark: SparkSession, d: str) -> DataFrame:
-    rows = D.load(spark, d, "conversations").filter("role = 'assistant'")
-    said = F.element_at(F.array(*map(F.lit, SAID)), ((F.col("conv_id") + F.col("turn")) % 10 + 1).cast("int"))
-    return rows.select("conv_id", "turn", text.score_figure(F.concat_ws(" ", "text", said)).alias("figure"))
+    """The first score figure that each turn gives away, by kind and by words."""
+    said = F.element_at(F.array(*map(F.lit, SAID)), ((F.col("conv_id") + F.col("turn")) % 14 + 1).cast("int"))
+    found = text.score_figure(F.concat_ws(" ", "text", said)).alias("f")
+    return D.load(spark, d, "conversations").select("conv_id", "turn", found).select("conv_id", "turn", F.col("f.kind").alias("figure"), F.col("f.span").alias("span"))
 
 
 _RAW = "CASE item_id % 6 WHEN 0 THEN text || '\"}]' WHEN 1 THEN '{[ \"' || text || '\"' WHEN 2 THEN '\"' || text || '\",' WHEN 3 THEN ' }], ' WHEN 4 THEN text ELSE text || '\"' END"

@@ -13,13 +13,14 @@ import re
 import struct
 import zipfile
 import zlib
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenloom.functions.markup import ENTITY, decode_entity
+from screenloom.functions.markup import decoded
 
 #: Types that are taken, and how far a signature is looked for.
 PDF, DOCX, TXT = "application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "text/plain"
@@ -56,18 +57,18 @@ def sniff_text(data: bytes) -> tuple[str | None, str, str | None]:
     """UTF-16 by its mark, UTF-8 by a mark or by looking like text."""
     if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return TXT, "utf16_bom", "utf-16le" if data[:1] == b"\xff" else "utf-16be"
-    part = whole_characters(data[:TEXT_WINDOW]) if len(data) > TEXT_WINDOW else data
-    if not part:
-        return None, "empty", None
+    marked = data.startswith(b"\xef\xbb\xbf")
+    body = data[3:] if marked else data
+    part = whole_characters(body[:TEXT_WINDOW]) if len(body) > TEXT_WINDOW else body
     if b"\0" in part:
         return None, "nul_byte", None
     try:
-        part.decode("utf-8")
+        characters = len(part.decode("utf-8").encode("utf-16-le")) // 2  # as the limit counts them
     except UnicodeDecodeError:
         return None, "invalid_utf8", None
-    if len(CONTROL.findall(part)) / len(part) > MAX_CONTROL_RATIO:
+    if characters and len(CONTROL.findall(part)) / characters > MAX_CONTROL_RATIO:
         return None, "control_characters", None
-    return TXT, "utf8_bom" if data.startswith(b"\xef\xbb\xbf") else "utf8", "utf-8"
+    return TXT, "utf8_bom" if marked else "utf8", "utf-8"
 
 
 def open_zip(data: bytes) -> tuple[zipfile.ZipFile | None, str]:
@@ -103,35 +104,48 @@ def read_entry(archive: zipfile.ZipFile, name: str, most: int = MAX_INFLATED) ->
     return (None, "too_large") if len(data) > most else (data, "ok")
 
 
-def sniff(data: bytes | None) -> tuple[str | None, str, str | None]:
-    """(mime, reason, encoding) by the bytes alone: PDF, then ZIP, then text."""
+def sniff(data: bytes | None) -> tuple[str | None, str, str | None, int | None]:
+    """(mime, reason, encoding, offset) by the bytes alone: PDF (with the place of its signature), then
+    ZIP, then text."""
     data = data or b""
-    if b"%PDF-" in data[:PDF_WINDOW]:
-        return PDF, "pdf_signature", None
-    if data[:4] in (b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08"):
+    if not data:
+        return None, "empty", None, None
+    at = data.find(b"%PDF-", 0, PDF_WINDOW + 4)
+    if 0 <= at < PDF_WINDOW:
+        return PDF, "pdf_signature_offset" if at else "pdf_signature", None, at
+    if data[:4] == b"PK\x03\x04":
         archive, why = open_zip(data)
         if archive is None:
-            return None, why, None
+            return None, why, None, None
         types, why = read_entry(archive, CONTENT_TYPES)
         if types is None:
-            return None, why if why != "entry_missing" else "not_ooxml", None
-        return (DOCX, "docx", None) if WORD_TYPE in types else (None, "other_ooxml", None)
-    return sniff_text(data)
-
-
-TOKEN = re.compile(r"<w:t(?:\s[^>]*)?(?<!/)>(?P<text>.*?)</w:t>|(?P<tab><w:tab\b[^>]*>)|(?P<end><w:(?:br|cr)\b[^>]*>|</w:p>|<w:p\s*/>)", re.DOTALL)
+            return None, why if why != "entry_missing" else "not_ooxml", None, None
+        return (DOCX, "docx", None, None) if WORD_TYPE in types else (None, "other_ooxml", None, None)
+    if data[:4] in (b"PK\x05\x06", b"PK\x07\x08"):
+        return None, "empty_archive" if data[2:3] == b"\x05" else "spanned_archive", None, None
+    return *sniff_text(data), None
 
 
 def word_lines(xml: str) -> list[str]:
     """Lines of a word-processing document: runs of text, tabs as blanks, breaks and paragraphs."""
-    out, line = [], ""
-    for found in TOKEN.finditer(xml):
-        if found["end"]:
-            out.append(line)
-            line = ""
-        else:
-            line += " " if found["tab"] else ENTITY.sub(decode_entity, found["text"])
-    return [*out, line]
+    parts = xml.split("<")
+    ends = [k for k, part in enumerate(parts) if part.startswith("/w:t>")]
+    out, line, k = [], [], 1
+    while k < len(parts):
+        tag, closed, after = parts[k].partition(">")
+        name = (tag.rstrip("/") if tag[:1] != "/" else tag).split(None, 1)[0] if tag.strip("/ ") else ""
+        if closed and name == "w:t" and not tag.endswith("/"):
+            at = bisect_right(ends, k)
+            if at < len(ends):  # what stands in between is text, tags and all
+                line.append(decoded("<".join([after, *parts[k + 1 : ends[at]]])))
+                k = ends[at]
+        elif closed and name == "w:tab":
+            line.append(" ")
+        elif closed and (name in ("w:br", "w:cr", "/w:p") or tag.rstrip("/").strip() == "w:p" and tag.endswith("/")):
+            out.append("".join(line))
+            line = []
+        k += 1
+    return [*out, "".join(line)]
 
 
 def folded_lines(lines: list[str]) -> str:
@@ -141,7 +155,7 @@ def folded_lines(lines: list[str]) -> str:
 
 def read_text(data: bytes | None) -> tuple[str | None, str | None, str]:
     """(text, mime, reason) of a file; reason is ok, or why there is no text."""
-    mime, reason, encoding = sniff(data)
+    mime, reason, encoding, _ = sniff(data)
     if mime == PDF:
         return None, mime, "pdf_unsupported"
     if mime is None:
@@ -161,9 +175,9 @@ def strings(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-@F.pandas_udf(strings("mime", "reason", "encoding"))
+@F.pandas_udf(strings("mime", "reason", "encoding").add("offset", T.IntegerType()))
 def sniff_mime(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([sniff(c) for c in content], columns=["mime", "reason", "encoding"])
+    return pd.DataFrame([sniff(c) for c in content], columns=["mime", "reason", "encoding", "offset"]).astype({"offset": "Int32"})
 
 
 @F.pandas_udf(strings("text", "mime", "reason"))

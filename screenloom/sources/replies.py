@@ -45,3 +45,23 @@ def parse_reply(rows: DataFrame, text: str, schema: T.StructType) -> DataFrame:
 def typed_rows(json_array: Column, schema: str) -> Column:
     """A JSON array of objects as an array of structs; absent keys are null."""
     return F.from_json(json_array, f"array<struct<{schema}>>")
+
+
+def record_set(rows: DataFrame, json: str, columns: str, defaults: dict[str, object] | None = None, ordinal: str = "ordinal") -> DataFrame:
+    """Rows of a JSON array of objects, one for each, beside the other columns of rows: `columns` names them with
+    their types, `defaults` what stands where one is absent or null. Keys that aren't named are passed over; the place in the
+    array is the ordinal, from 0.
+
+    Values are read as text and cast, so that "30" is a number where one is declared, and what is no value of its
+    type stops the query instead of passing as null. Text that is no JSON array stops it, too."""
+    fields = T._parse_datatype_string(columns).fields
+    plain = ",".join(f"`{f.name}`:string" for f in fields)
+    read = F.from_json(json, f"array<struct<{plain}>>", {"mode": "FAILFAST"})
+    checked = F.when(F.col(json).isNull() | read.isNotNull(), read).otherwise(F.raise_error(F.lit(f"{json} holds no JSON array")).cast(f"array<struct<{plain}>>"))
+    each = rows.withColumn("_all", checked).select(*(c for c in rows.columns if c != json), F.posexplode("_all").alias(ordinal, "_x"))
+
+    def value(f: T.StructField) -> Column:
+        cast = F.col(f"_x.{f.name}").cast(f.dataType)
+        return (F.coalesce(cast, F.lit(defaults[f.name]).cast(f.dataType)) if f.name in (defaults or {}) else cast).alias(f.name)
+
+    return each.select(*(c for c in rows.columns if c != json), ordinal, *map(value, fields))

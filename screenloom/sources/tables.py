@@ -17,6 +17,8 @@ SCHEMAS = {
     "screening_jobs": "id string, role_id string, file_count int, created_at timestamp",
     "candidates": "id string, role_id string, job_id string, original_filename string, candidate_name string, storage_path string, content_sha256 string, mime_type string, byte_size int, status string, raw_text string, parsed_profile string, evaluation_matrix string, elimination_details string, eliminated boolean, eliminated_by string, match_score double, fit_category string, ai_justification string, scored_role_version int, error_code string, error_message string, attempts smallint, created_at timestamp, updated_at timestamp, completed_at timestamp",
 }
+#: What columns hold where a row doesn't say.
+DEFAULTS = {"roles": {"description": "", "version": 1}, "role_criteria": {"description": ""}, "role_elimination_rules": {"on_missing": "flag"}, "candidates": {"status": "pending", "eliminated": False, "attempts": 0}}
 LIST_COLUMNS = ("id", "role_id", "job_id", "original_filename", "candidate_name", "status", "eliminated", "eliminated_by", "match_score", "fit_category", "error_code", "created_at", "completed_at")
 STATUS_COLUMNS = ("id", "status", "candidate_name", "eliminated", "match_score", "fit_category", "error_code", "error_message", "attempts", "updated_at")
 

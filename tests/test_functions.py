@@ -60,7 +60,7 @@ def test_plain_text_and_replies(spark):
     ],
 )
 def test_score_figures(spark, said, kind):
-    assert values(spark, [said], text.score_figure) == [kind]
+    assert values(spark, [said], lambda c: text.score_figure(c)["kind"]) == [kind]
 
 
 def test_dates(spark):
@@ -164,8 +164,8 @@ def test_profile_fields(spark):
     assert values(spark, ["+44 20 7946 0000", "ext 12"], profile.phone) == ["+44 20 7946 0000", None]
     assert values(spark, ["https://www.LinkedIn.com/in/x", "notlinkedin.com/x"], profile.linkedin) == ["https://www.LinkedIn.com/in/x", None]
     assert values(spark, [7.25, -1.0, 81.0, float("nan")], profile.stated_years, "double") == [7.3, None, None, None]
-    (r,) = spark.range(1).select(profile.location(F.lit(" "), F.lit(None).cast("string"), F.lit("England")).alias("none"), profile.location(F.lit("Cork "), F.lit(None).cast("string"), F.lit("ie")).alias("some")).collect()
-    assert r.none is None and tuple(r.some) == ("Cork", None, "IE")
+    (r,) = spark.range(1).select(profile.location(*(F.lit(None).cast("string"),) * 3).alias("none"), profile.location(F.lit(" "), F.lit(None).cast("string"), F.lit("England")).alias("blank"), profile.location(F.lit("Cork "), F.lit(None).cast("string"), F.lit("ie")).alias("some")).collect()
+    assert r.none is None and tuple(r.blank) == (None, None, None) and tuple(r.some) == ("Cork", None, "IE")
 
 
 def test_evidence(spark):
@@ -221,7 +221,7 @@ def test_files(spark, tmp_path):
 
 
 def test_entities_and_pages(spark):
-    assert values(spark, ["&amp;lt; &#x41;&#66; &nope; &#xD800; &quot;"], markup.decode_entities) == ['&lt; AB &nope; &#xD800; "']
+    assert values(spark, ["&amp;lt; &#x41;&#66; &nope; &#xD800; &#X41; &#; &#x; &#4g; & &quot;"], markup.decode_entities) == ['&lt; AB &nope; &#xD800; &#X41; &#; &#x; &#4g; & "']
     items = [(1, 1, 2, "b", True), (1, 1, 1, "a ", False), (1, 1, 3, None, True), (1, 2, 1, "  ", True), (1, 3, 1, "c  d", False)]
     df = spark.createDataFrame(items, "doc int, page int, seq int, s string, eol boolean")
     assert markup.assemble(df, "doc", "page", "seq", "s", "eol").first().body == "a b\n\nc d"
@@ -264,7 +264,7 @@ def test_long_log_is_read_in_pieces(spark):
 def test_composed_forms_and_fences(spark):
     """NFKC, ligatures and full-width digits; fences without an end; entities with many digits."""
     from screenloom.functions import dates, markup, text
-    from screenloom.functions.markup import ENTITY, decode_entity
+    from screenloom.functions.markup import decoded
 
     row = spark.range(1).select(
         text.words(F.lit("Ｊava ﬁnance")).alias("words"),
@@ -277,7 +277,7 @@ def test_composed_forms_and_fences(spark):
     ).first()
     assert row.words == ["java", "finance"] and (row.date.year, row.date.month) == (2020, 6) and row.holds
     assert (row.open, row.closed, row.none) == ('{"a": 1}', '{"a": 1}', "no ``` fence")
-    assert row.entities == "A&lt;&#xD800;&#9999999999;" and ENTITY.sub(decode_entity, "&#0;") == "\0"
+    assert row.entities == "A&lt;&#xD800;&#9999999999;" and decoded("&#0;") == "\0"
 
 
 def test_unknown_keys_in_nested_objects(spark):
@@ -364,3 +364,34 @@ def test_reports_with_details(spark):
         assert skill.type == "required_skill" and ("demonstrated in the CV" in skill.detail) == (skill.outcome == "pass")
         if row.profile.computedYearsExperience is None:
             assert "no usable employment dates" in row.r.results[0].detail
+
+
+@pytest.mark.parametrize(
+    ("said", "span"),
+    [
+        ("We rated Priya 8.", "rated ... 8"), ("Scores 85", "Scores 85"), ("Their rating reflects 8 years, I would score them 90 overall", "score ... 90"), ("rating: of about 77, or 80%", "80%"),
+        ("a score of about 80 seems right", "score of about 80"), ("Rating:  8", "Rating:  8"), ("some 12  per  cent", "12  per  cent"), ("it is 8 / 10 or 9/10", "8 / 10"), ("on 10/10/2023", None), ("matches 4/6", None),
+        ("rated " + "extraordinarily" * 4 + " 85", "rated ... 85"), ("scoring: roughly" + " " * 50 + "8", "scoring: roughly" + " " * 24),
+    ],
+)
+def test_score_figures_are_told(spark, said, span):
+    assert values(spark, [said], lambda c: text.score_figure(c)["span"]) == [span]
+
+
+def test_prose_only(spark):
+    assert values(spark, ["shipped 12 services", None], text.prose_only) == ["shipped 12 services", None]
+    with pytest.raises(Exception, match="has rated ... 8"):
+        values(spark, ["we rated Priya 8"], text.prose_only)
+
+
+def test_sniffing_of_odd_bytes():
+    assert files.sniff(b"x" * 1020 + b"%PDF-")[1:] == ("pdf_signature_offset", None, 1020) and files.sniff(b"%PDF-1")[3] == 0 and files.sniff(b"x" * 1024 + b"%PDF-")[0] == files.TXT
+    assert [files.sniff(b)[1] for b in (b"", None, b"PK\x05\x06" + b"\0" * 18, b"PK\x07\x08PK\x03\x04")] == ["empty", "empty", "empty_archive", "spanned_archive"]
+    assert files.sniff(("é" * 97 + "\x01\x02").encode())[1] == "control_characters"  # 2 of 99 characters, but of 196 bytes
+    assert files.sniff(b"\xef\xbb\xbf" + b"a" * 8191 + "é".encode())[1] == "utf8_bom" and files.sniff(b"\xef\xbb\xbf")[1] == "utf8_bom"
+
+
+def test_lines_of_word_documents():
+    xml = '<w:p><w:r><w:t xml:space="preserve">a &amp; b</w:t><w:tab/><w:t>c<x/>d</w:t><w:t/><w:tabs><w:tab w:val="x"/></w:tabs></w:r><w:br w:type="page"/><w:t >e</w:t></w:p><w:p/><w:p /><w:p w:x="1"/><w:cr/>f<w:t>open'
+    assert files.word_lines(xml) == ["a & b c<x/>d ", "e", "", "", "", ""]
+    assert files.word_lines("") == [""] and files.word_lines("<") == [""] and files.word_lines("<w:t>a</w:t>") == ["a"]
