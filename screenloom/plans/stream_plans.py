@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +75,45 @@ def sniff_mime(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", files.sniff_mime(content).alias("f")).select("doc_id", "f.mime", "f.reason", "f.offset")
 
 
-@query()
+@F.pandas_udf("binary")
+def archived(text: pd.Series, kind: pd.Series) -> pd.Series:
+    """Archives of two entries, the first deflated; but for the first kind each has a fault of its own."""
+
+    def one(text: str | None, kind: int) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("body.txt", (text or "").encode(), zipfile.ZIP_DEFLATED)
+            z.writestr("note", b"x", zipfile.ZIP_STORED)
+            z.comment = b"c" * 300
+        data = bytearray(out.getvalue())
+        end, first = data.rfind(b"PK\x05\x06"), data.find(b"PK\x01\x02")
+        if kind == 1:
+            del data[end + 10 :]
+        elif kind == 2:
+            data[end + 8 : end + 12] = b"\xff" * 4
+        elif kind == 3:
+            data[first + 8] |= 1
+        elif kind == 4:
+            data[first + 10] = 99
+        elif kind == 5:
+            data[first] = 0
+        elif kind == 6:
+            data[first + 16] ^= 1
+        return bytes(data)
+
+    return pd.Series([one(t, k) for t, k in zip(text, kind, strict=True)])
+
+
+_FAULTS = "['ok', 'no_end_of_central_directory', 'zip64', 'encrypted', 'unsupported_method', 'truncated', 'corrupt'][doc_id % 7 + 1]"
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN doc_id % 7 IN (0, 3, 4, 6) THEN 'ok' ELSE {_FAULTS} END AS reason, CASE WHEN doc_id % 7 IN (0, 3, 4, 6) THEN 'body.txt,note' ELSE '' END AS names,
+    CASE WHEN doc_id % 7 IN (0, 3, 4, 6) THEN octet_length(encode(coalesce(text, ''))) + 1 ELSE 0 END AS size, {_FAULTS} AS read, CASE WHEN doc_id % 7 = 0 THEN md5(coalesce(text, '')) END AS body FROM documents"""
+)
 def zip_directory(spark: SparkSession, d: str) -> DataFrame:
-    """Texts aren't archives: each gives the reason why."""
-    return load(spark, d, "documents").select("doc_id", files.zip_directory(F.col("text").cast("binary"))["reason"].alias("reason"))
+    """What archives of the documents list, and what reading their first entry gives."""
+    rows = load(spark, d, "documents").select("doc_id", archived("text", (F.col("doc_id") % 7).cast("int")).alias("zip"))
+    rows = rows.select("doc_id", files.zip_directory("zip").alias("d"), files.zip_entry("zip", F.lit("body.txt")).alias("e"))
+    size = F.aggregate("d.sizes", F.lit(0).cast("long"), lambda a, n: a + n)
+    return rows.select("doc_id", "d.reason", F.array_join("d.names", ",").alias("names"), size.alias("size"), F.col("e.reason").alias("read"), F.md5("e.content").alias("body"))

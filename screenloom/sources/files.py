@@ -8,12 +8,11 @@ put together by functions.markup.assemble.
 
 from __future__ import annotations
 
-import io
 import re
 import struct
-import zipfile
 import zlib
 from bisect import bisect_right
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,37 +70,65 @@ def sniff_text(data: bytes) -> tuple[str | None, str, str | None]:
     return TXT, "utf8_bom" if marked else "utf8", "utf-8"
 
 
-def open_zip(data: bytes) -> tuple[zipfile.ZipFile | None, str]:
-    """An archive and why it can't be read: truncated, zip64 or ok."""
-    end = data.rfind(b"PK\x05\x06", max(0, len(data) - 65557))
+class Entry(NamedTuple):
+    """An archive's entry as its directory has it."""
+
+    name: str
+    flags: int
+    method: int
+    crc: int
+    packed: int
+    size: int
+    offset: int
+
+
+def zip_entries(data: bytes) -> tuple[list[Entry] | None, str]:
+    """What an archive's directory lists, and why it can't be read: no_end_of_central_directory (its record may
+    stand before a comment of up to 64 KB), zip64, spanned, truncated or ok."""
+    end = data.rfind(b"PK\x05\x06", max(0, len(data) - 22 - 0xFFFF))
     if end < 0 or len(data) < end + 22:
         return None, "no_end_of_central_directory"
-    if struct.unpack_from("<H", data, end + 10)[0] == 0xFFFF or data[max(0, end - 20) : end - 16] == b"PK\x06\x07":
+    disk, first_disk, here, n, size, at = struct.unpack_from("<4H2I", data, end + 4)
+    if 0xFFFF in (here, n) or 0xFFFFFFFF in (size, at):
         return None, "zip64"
-    try:
-        return zipfile.ZipFile(io.BytesIO(data)), "ok"
-    except (zipfile.BadZipFile, struct.error, ValueError, OSError):
-        return None, "truncated"
-
-
-def read_entry(archive: zipfile.ZipFile, name: str, most: int = MAX_INFLATED) -> tuple[bytes | None, str]:
+    if disk or first_disk or here != n:
+        return None, "spanned"
+    entries = []
+    for _ in range(n):
+        if at + 46 > end or data[at : at + 4] != b"PK\x01\x02":
+            return None, "truncated"
+        flags, method = struct.unpack_from("<2H", data, at + 8)
+        crc, packed, size, *lengths = struct.unpack_from("<3I3H", data, at + 16)
+        name = data[at + 46 : at + 46 + lengths[0]].decode("utf-8" if flags & 0x800 else "cp437", "replace")
+        entries.append(Entry(name, flags, method, crc, packed, size, *struct.unpack_from("<I", data, at + 42)))
+        at += 46 + sum(lengths)
+    return (entries, "ok") if at <= end else (None, "truncated")
+
+
+def read_entry(data: bytes, entries: list[Entry], name: str, most: int = MAX_INFLATED) -> tuple[bytes | None, str]:
     """An entry's bytes, at most so many, and why it can't be read."""
-    try:
-        info = archive.getinfo(name)
-    except KeyError:
+    found = next((e for e in entries if e.name == name), None)
+    if found is None:
         return None, "entry_missing"
-    if info.flag_bits & 1:
+    if found.flags & 1:
         return None, "encrypted"
-    if info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+    if found.method not in (0, 8):
         return None, "unsupported_method"
-    if info.file_size > most:
+    if found.size > most:
         return None, "too_large"
-    try:
-        with archive.open(info) as f:
-            data = f.read(most + 1)
-    except (zipfile.BadZipFile, zlib.error, EOFError, OSError):
+    if data[found.offset : found.offset + 4] != b"PK\x03\x04" or len(data) < found.offset + 30:
         return None, "corrupt"
-    return (None, "too_large") if len(data) > most else (data, "ok")
+    start = found.offset + 30 + sum(struct.unpack_from("<2H", data, found.offset + 26))
+    body = data[start : start + found.packed]
+    if found.method:
+        reader = zlib.decompressobj(-zlib.MAX_WBITS)
+        try:
+            body = reader.decompress(body, most + 1)
+        except zlib.error:
+            return None, "corrupt"
+    if len(body) > most:
+        return None, "too_large"
+    return (body, "ok") if len(body) == found.size and zlib.crc32(body) == found.crc else (None, "corrupt")
 
 
 def sniff(data: bytes | None) -> tuple[str | None, str, str | None, int | None]:
@@ -114,10 +141,10 @@ def sniff(data: bytes | None) -> tuple[str | None, str, str | None, int | None]:
     if 0 <= at < PDF_WINDOW:
         return PDF, "pdf_signature_offset" if at else "pdf_signature", None, at
     if data[:4] == b"PK\x03\x04":
-        archive, why = open_zip(data)
-        if archive is None:
+        entries, why = zip_entries(data)
+        if entries is None:
             return None, why, None, None
-        types, why = read_entry(archive, CONTENT_TYPES)
+        types, why = read_entry(data, entries, CONTENT_TYPES)
         if types is None:
             return None, why if why != "entry_missing" else "not_ooxml", None, None
         return (DOCX, "docx", None, None) if WORD_TYPE in types else (None, "other_ooxml", None, None)
@@ -161,7 +188,7 @@ def read_text(data: bytes | None) -> tuple[str | None, str | None, str]:
     if mime is None:
         return None, None, reason
     if mime == DOCX:
-        body, why = read_entry(open_zip(data)[0], "word/document.xml")
+        body, why = read_entry(data, zip_entries(data)[0], "word/document.xml")
         if body is None:
             return None, mime, why
         text = folded_lines(word_lines(body.decode("utf-8", "replace")))
@@ -187,12 +214,19 @@ def extract_text(content: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(strings("reason").add("names", T.ArrayType(T.StringType())).add("sizes", T.ArrayType(T.LongType())))
 def zip_directory(content: pd.Series) -> pd.DataFrame:
+    found = [zip_entries(c or b"") for c in content]
+    return pd.DataFrame([(why, [e.name for e in entries or []], [e.size for e in entries or []]) for entries, why in found], columns=["reason", "names", "sizes"])
+
+
+@F.pandas_udf(strings("reason").add("content", T.BinaryType()))
+def zip_entry(content: pd.Series, name: pd.Series) -> pd.DataFrame:
+    """The bytes of an archive's entry, or why there are none."""
     rows = []
-    for c in content:
-        archive, why = open_zip(c or b"")
-        entries = archive.infolist() if archive else []
-        rows.append((why, [e.filename for e in entries], [e.file_size for e in entries]))
-    return pd.DataFrame(rows, columns=["reason", "names", "sizes"])
+    for data, wanted in zip(content, name, strict=True):
+        entries, why = zip_entries(data or b"")
+        body, why = (None, why) if entries is None else read_entry(data, entries, wanted)
+        rows.append((why, body))
+    return pd.DataFrame(rows, columns=["reason", "content"])
 
 
 def extracted(files: DataFrame, declared: Column | None = None) -> DataFrame:
