@@ -41,7 +41,7 @@ CHECK_SHINGLE, SIMILARITY = 5, 0.8
 #: cost only.
 SAMPLE_CHARS, COMMON, PAIRS = 30_000_000, 3, 16
 #: See signature() and shares().
-LIGHT, SKETCH, SHARED = 0.7, 64, 10
+LIGHT, SKETCH, SHARED = 0.7, 16, 2
 #: Texts in a block, of which two meet at a time to be compared.
 BLOCK_TEXTS = 64
 #: What goes with a text where it meets others.
@@ -214,7 +214,9 @@ def signature(found: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.nda
 def shares(a: Column, b: Column) -> Column:
     """How many shingles of their signatures two texts of SIMILARITY or more have in both, given the
     numbers that go with the signatures: LIGHT of both sets, where the sketches are all of them; else
-    SHARED, but for a chance of 2e-20, about that of two hashes that collide."""
+    SHARED. Each of the SKETCH least hashes of both together is in both with the chance of their
+    similarity, so fewer are shared with a chance of 4e-10 at 0.8, and of 2e-7 at LIGHT, where all that
+    the texts differ in is rare and a third of the rest common."""
     both = F.least(F.lit(SHARED), F.ceil(LIGHT * F.greatest(F.abs(a), F.abs(b)) - 1e-6))
     return F.when((a < 0) & (b < 0), 1).otherwise(F.greatest(both, F.lit(1)))
 
