@@ -46,6 +46,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return written(df, work_path(df.sparkSession, name))
 
 
+#: Spark takes no more buckets than these for a table.
+MOST_BUCKETS = 100_000
+
+
+def bucketed(df: DataFrame, key: str, rows: int, name: str) -> DataFrame:
+    """As materialise(), dealt by key into about as many buckets as rows are given and as many as shuffles have
+    partitions at least: what is joined to it by the key goes to its buckets, and it is not shuffled itself."""
+    spark = df.sparkSession
+    n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows), MOST_BUCKETS)
+    path = work_path(spark, name)
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.bucketBy(n, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+    return spark.read.table(table)
+
+
 class Work:
     """Tables that a job needs only while it runs; they are deleted where the `with` block ends."""
 

@@ -13,7 +13,7 @@ tokens, written as places in the chunk's own list of words. Each chunk asks for
 words and n-grams, and says how often its training texts hold each: sorted keys, dealt by ranges into
 buckets, squeezed, a row for each bucket that has keys of the chunk, so that there are never more rows
 than keys. A bucket adds up what all chunks say and replies to each with the sums in the order of its
-keys, about a byte a key. A chunk's texts and replies then meet in one task, which makes the part of the
+keys, about a byte a key. Replies go to the buckets of files in which the chunks are; a chunk's texts and replies meet in one task, which makes the part of the
 automaton that these texts can reach and reads them by it. A frequent word is a row a chunk there and not a row a token.
 
 Defined results: null and empty texts consist of the end token; without training documents every
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, in_batches, materialise
+from .common import LOWER_ASCII, bucketed, in_batches, materialise
 from .hashing import BASE, Stretches, mixed, parts, runs_of
 
 ORDER, PRIOR, ADDED = 3, 50.0, 0.1
@@ -250,7 +250,7 @@ def lm_scores(docs: DataFrame, teaches: Column, id_col: str = "doc_id", text_col
     chars = docs.agg(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0
     buckets = 1 + chars // BUCKET_CHARS
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = materialise(chunks(docs, teaches, id_col, text_col), "chunks")
+    texts = bucketed(chunks(docs, teaches, id_col, text_col), "chunk", chars // (4 * CHUNK), "chunks")
     words = materialise(replies(asked(texts, 1, 1, buckets), 1), "word-counts")
     kinds = words.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
     learns = F.arrays_zip("teaches", "lengths")
