@@ -39,7 +39,8 @@ SAMPLE_TEXTS, SAMPLE_CHARS = 60, 600
 CALIBRATE, FOREIGN, FREE = 3, 2.5, 8
 #: Symbols that have a code of their own; rarer ones share the last one.
 SYMBOLS = 250
-PIECE = 2048
+#: Symbols of a piece, and how many earlier it begins to be read.
+PIECE, WARM = 2048, 256
 #: Characters that are parsed side by side.
 BATCH_CHARS = 4_000_000
 UNDETERMINED = "und"
@@ -134,33 +135,43 @@ def build_model(texts: dict[str, list[np.ndarray]]) -> Model | None:
     return Model(list(joined), np.array(starts, kind), np.log2([len(t) + 1 for t in joined.values()]), np.concatenate(tables).ravel(), width, codes, bit)
 
 
-def count_phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
-    """Phrases of each coded text in each language."""
-    pieces, owner = [], []
-    for k, t in enumerate(texts):
-        for i in range(0, len(t), PIECE):
-            pieces.append(t[i : i + PIECE])
-            owner.append(k)
+def count_phrases(model: Model, texts: list[np.ndarray], piece: int = PIECE) -> np.ndarray:
+    """Phrases of each coded text in each language.
+
+    Long texts are read in pieces, side by side. A piece begins WARM symbols early, from the start of the
+    automaton, and counts from its own first symbol on. By then it nearly always is in the state that the piece
+    before it ends in, and so all that follows is as if the text had been read in one go; texts in which some
+    piece isn't are read again, in one go."""
     out = np.zeros((len(texts), len(model.langs)), np.int64)
-    if not pieces:
+    lanes = [(k, i, max(i - WARM, 0)) for k, t in enumerate(texts) for i in range(0, len(t), piece)]
+    if not lanes:
         return out
-    lengths = np.array([len(p) for p in pieces])
+    lengths = np.array([min(i + piece, len(texts[k])) - lo for k, i, lo in lanes])
     order = np.argsort(-lengths, kind="stable")
     lengths = lengths[order]
-    symbols = np.zeros((lengths[0], len(pieces)), np.int32)
-    for lane, k in enumerate(order):
-        symbols[: lengths[lane], lane] = pieces[k]
-    live = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # pieces longer than t
+    symbols = np.zeros((lengths[0], len(lanes)), np.int32)
+    for lane, j in enumerate(order):
+        k, _, lo = lanes[j]
+        symbols[: lengths[lane], lane] = texts[k][lo : lo + lengths[lane]]
+    early = np.array([lanes[j][1] > 0 for j in order])
+    live = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # lanes longer than t
     langs, ends = len(model.langs), (1 << model.bit) - 1
-    state = np.repeat(model.starts[:, None], len(pieces), axis=1)
-    ended = np.ones((langs, len(pieces)), np.int32)
+    state = np.repeat(model.starts[:, None], len(lanes), axis=1)
+    edge = state.copy()
+    ended = np.repeat((~early).astype(np.int64)[None, :], langs, axis=0)
     for t in range(lengths[0]):
         n = live[t]
-        at = state[:, :n] + symbols[t, :n]
-        found = model.steps.take(at)
-        ended[:, :n] += found >> model.bit
+        found = model.steps.take(state[:, :n] + symbols[t, :n])
+        ended[:, :n] += (found >> model.bit) if t >= WARM else (found >> model.bit) * ~early[:n]
         state[:, :n] = found & ends
-    np.add.at(out, np.array(owner)[order], ended.T)
+        if t == WARM - 1:
+            edge = state.copy()
+    np.add.at(out, np.array([lanes[j][0] for j in order]), ended.T)
+    place = np.empty(len(lanes), np.int64)
+    place[order] = np.arange(len(lanes))
+    again = sorted({lanes[j][0] for j in range(1, len(lanes)) if lanes[j][1] and (edge[:, place[j]] != state[:, place[j - 1]]).any()})
+    if again:
+        out[again] = count_phrases(model, [texts[k] for k in again], max(len(texts[k]) for k in again))
     return out
 
 

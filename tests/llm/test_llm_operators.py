@@ -115,6 +115,46 @@ def test_phrases_are_greedy_longest_matches():
             assert n == count
 
 
+def slow_phrases(known, t):
+    n, i = 0, 0
+    while i < len(t):
+        k = 1
+        while i + k < len(t) and t[i : i + k + 1] in known:
+            k += 1
+        n, i = n + 1, i + k
+    return n
+
+
+@pytest.mark.parametrize("warm", [256, 1])
+def test_long_texts_are_parsed_as_in_one_go(warm, monkeypatch):
+    monkeypatch.setattr(language, "WARM", warm)  # with 1 most pieces aren't in step, and are read again
+    r = random.Random(6)
+    learned = {x: "".join(r.choice(a) for _ in range(400)) for x, a in (("u", "abcd"), ("v", "abce"))}
+    model = language.build_model({k: [language.folded(v)] for k, v in learned.items()})
+    texts = ["".join(r.choice("abcdez") for _ in range(n)) for n in (20_000, 2048, 2049, 5000, 1, 4096)] + ["ab" * 5000, "z" * 3000]
+    got = language.count_phrases(model, [model.codes[language.folded(t)] for t in texts])
+    for row, t in zip(got.tolist(), texts, strict=True):
+        assert row == [slow_phrases(learned[x] + " ", t) for x in model.langs]
+
+
+def test_predictions_of_a_whole_table(spark):
+    """Language and score of every document against a plain parse of its whole text."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    teaches = crc_of_id() % 4 != 2
+    sample = language.labelled_sample(df.filter(teaches), "text", "lang", language.SAMPLE_TEXTS + language.SAMPLE_TEXTS // language.CALIBRATE, language.SAMPLE_CHARS)
+    show = lambda t: "".join(map(chr, language.folded(t)))
+    known = {x: "".join(show(t) + " " for t in some[: language.SAMPLE_TEXTS]) for x, some in sorted(sample.items())}
+    for row in language.identify(df, teaches).collect():
+        t = show(row.text or "")
+        if not t:
+            assert row.lang_pred == "und"
+            continue
+        bits = {x: slow_phrases(k, t) * math.log2(len(k) + 1) / len(t) for x, k in known.items()}
+        least = min(bits.values())
+        assert abs(bits[row.lang_pred] - least) < 1e-9
+        assert abs(row.score - 1 / sum(2 ** (least - b) for b in bits.values())) < 1e-9
+
+
 def test_language_held_out_accuracy(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = crc_of_id() % 4 == 2
