@@ -69,9 +69,11 @@ def poll_intervals(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").select("event_id", validation.poll_interval(F.lit(5000), (F.col("event_id") * 977) % 300000).alias("interval_ms"))
 
 
-@query("SELECT * FROM (VALUES ('strong_match', '85 to 100'), ('potential_match', '65 up to but not including 85'), ('unmatched', 'below 65, or eliminated at any score')) AS t(tier, range)")
+@query(sql("SELECT tier, range, count(c.tier) AS n FROM (VALUES ('strong_match', '85 to 100'), ('potential_match', '65 up to but not including 85'), ('unmatched', 'below 65, or eliminated at any score')) AS t(tier, range) LEFT JOIN candidates c USING (tier) GROUP BY ALL", "candidates"))
 def tier_legend(spark: SparkSession, d: str) -> DataFrame:
-    return validation.tier_legend(spark)
+    """The legend, with how many candidates each tier has."""
+    counts = D.candidates(spark, d).filter("tier IS NOT NULL").groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+    return validation.tier_legend(spark).join(counts, "tier", "left").select("tier", "range", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(sql("SELECT id, role_id, coalesce(range, 'not scored') AS range FROM candidates LEFT JOIN (VALUES ('strong_match', '85 to 100'), ('potential_match', '65 up to but not including 85'), ('unmatched', 'below 65, or eliminated at any score')) AS t(tier, range) USING (tier)", "candidates"))

@@ -234,9 +234,11 @@ def byte_allocation(spark: SparkSession, d: str) -> DataFrame:
     return ranking.allocate(rows, ["l_orderkey"], "l_linenumber", "size", F.lit(60)).withColumn("sent", F.col("sent").cast("long"))
 
 
-@query("SELECT attempt, (10000 * pow(2, attempt - 1))::BIGINT AS delay_ms FROM (SELECT unnest(range(1, 6))::INT AS attempt)")
+@query(sql("SELECT id, (id // 10 % 5 + 1)::INT AS attempt, (10000 * pow(2, id // 10 % 5))::BIGINT AS delay_ms FROM candidates WHERE status = 'failed'", "candidates"))
 def backoff_schedule(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1, 6).select(F.col("id").cast("int").alias("attempt")).withColumn("delay_ms", lifecycle.backoff_ms(F.col("attempt")))
+    """When each failed candidate's next attempt is due."""
+    failed = D.candidates(spark, d).filter("status = 'failed'").select("id", (F.floor(F.col("id") / 10) % 5 + 1).cast("int").alias("attempt"))
+    return failed.withColumn("delay_ms", lifecycle.backoff_ms(F.col("attempt")))
 
 
 @query(sql("SELECT id, CASE WHEN status <> 'failed' THEN 'status_conflict' WHEN id % 2 = 0 THEN 'source_file_missing' ELSE 'requeued' END AS disposition FROM candidates", "candidates"))

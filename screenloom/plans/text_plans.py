@@ -54,8 +54,8 @@ _WORDS = lambda c: f"list_filter(regexp_split_to_array(lower(trim(regexp_replace
 
 @query(f"SELECT doc_id, len({_WORDS('text')})::BIGINT AS n_words, {_WORDS('text')}[1] AS first_word, contains(' ' || array_to_string({_WORDS('text')}, ' ') || ' ', ' apache license ') AS holds FROM documents")
 def tokenize_match(spark: SparkSession, d: str) -> DataFrame:
-    w = text.words(F.col("text"))
-    return D.load(spark, d, "documents").select("doc_id", F.size(w).cast("long").alias("n_words"), F.get(w, F.lit(0)).alias("first_word"), text.holds_words(F.col("text"), F.lit("Apache  License")).alias("holds"))
+    rows = D.load(spark, d, "documents").select("doc_id", text.words(F.col("text")).alias("w"))
+    return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.get("w", F.lit(0)).alias("first_word"), text.in_a_row(F.col("w"), text.words(F.lit("Apache  License"))).alias("holds"))
 
 
 @query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(replace(raw, chr(13) || chr(10), chr(10)), ' +(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))) AS tidy FROM (SELECT doc_id, replace(replace(text, '. ', '. ' || chr(13) || chr(10)), ', ', '  ' || chr(10) || chr(10) || chr(10)) AS raw FROM documents)")
