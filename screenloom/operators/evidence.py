@@ -24,13 +24,26 @@ def runs(tokens: Column, n: int) -> Column:
     return shifted[0] if n == 1 else F.transform(F.arrays_zip(*(c.alias(f"w{k}") for k, c in enumerate(shifted))), lambda w: F.concat_ws(" ", *(w[f"w{k}"] for k in range(n))))
 
 
-def by_words(quotes: DataFrame, texts: DataFrame, quote_id: str, text_id: str, n: int) -> DataFrame:
-    """Pairs whose text holds the quote's first n inner words in a row."""
-    probe = quotes.filter(F.col("_n") == n).select(quote_id, F.xxhash64(F.array_join(F.slice("_words", 2, n), " ")).alias("_run"))
-    units = texts.select(text_id, F.explode(runs(F.col("_words"), n)).alias("_unit")).select(text_id, F.xxhash64("_unit").alias("_run"))
+def by_words(quotes: DataFrame, texts: DataFrame, quote_id: str, text_id: str, lengths: list[int]) -> DataFrame:
+    """Pairs whose text holds the quote's first n inner words in a row, n being the quote's own: one pass
+    over the texts' words for all lengths. Runs are hashed word by word and never put together."""
+    word = lambda n: [F.get("_words", F.lit(1 + k)) for k in range(n)]
+    hashed = F.lit(None).cast("long")
+    for n in lengths:
+        hashed = F.when(F.col("_n") == n, F.xxhash64(F.lit(n), *word(n))).otherwise(hashed)
+    probe = quotes.filter("_n > 0").select(quote_id, hashed.alias("_run"))
+    units = texts.select(text_id, F.explode(F.array_distinct(F.concat(*(hashed_runs(F.col("_words"), n) for n in lengths)))).alias("_run"))
     return units.join(probe, "_run").select(quote_id, text_id).distinct()
 
 
+def hashed_runs(tokens: Column, n: int) -> Column:
+    """The hash of each run of n tokens."""
+    if n == 1:
+        return F.transform(tokens, lambda w: F.xxhash64(F.lit(n), w))
+    shifted = [F.slice(tokens, k + 1, F.greatest(F.size(tokens) - n + 1, F.lit(0))).alias(f"w{k}") for k in range(n)]
+    return F.transform(F.arrays_zip(*shifted), lambda w: F.xxhash64(F.lit(n), *(w[f"w{k}"] for k in range(n))))
+
+
 def by_letters(quotes: DataFrame, texts: DataFrame, quote_id: str, text_id: str, n: int) -> DataFrame:
     """Pairs of quotes of n words and texts of which n words in a row hold the quote."""
     short = quotes.filter((F.col("_n") == 0) & (F.size("_words") == n))
@@ -51,16 +64,17 @@ def contained(quotes: DataFrame, texts: DataFrame, quote_id: str, quote: str, te
     are is asked of the quotes first (PROBE + 2 numbers), so that texts aren't cut for nothing."""
     q = quotes.select(F.col(quote_id), match_form(F.col(quote)).alias("_quote")).filter("_quote <> ''").withColumn("_words", F.split("_quote", " "))
     q = q.withColumn("_n", F.greatest(F.least(F.lit(PROBE), F.size("_words") - 2), F.lit(0)))
-    t = texts.select(F.col(text_id), match_form(F.col(text)).alias("_text"))
-    cut = t.select(text_id, F.split("_text", " ").alias("_words"))
+    cut = texts.select(F.col(text_id), F.split(match_form(F.col(text)), " ").alias("_words"))
     kinds = {(r["_n"], min(r["w"], 3)) for r in q.select("_n", F.size("_words").alias("w")).distinct().collect()}
-    met = [by_words(q, cut, quote_id, text_id, n) for n in sorted({n for n, _ in kinds if n})]
+    lengths = sorted({n for n, _ in kinds if n})
+    met = [by_words(q, cut, quote_id, text_id, lengths)] if lengths else []
     met += [by_letters(q, cut, quote_id, text_id, w) for w in sorted({w for n, w in kinds if not n})]
-    pairs = met[0] if met else by_words(q, cut, quote_id, text_id, PROBE)
+    pairs = met[0] if met else by_words(q, cut, quote_id, text_id, [PROBE])
     for more in met[1:]:
         pairs = pairs.union(more)
-    found = pairs.join(q.select(quote_id, "_quote"), quote_id).join(t, text_id).filter(F.contains("_text", F.col("_quote")))
-    return found.select(quote_id, text_id).distinct() if len(met) > 1 else found.select(quote_id, text_id)
+    # of the texts only those that met a quote are folded again
+    found = pairs.distinct().join(texts.select(text_id, F.col(text).alias("_raw")), text_id).withColumn("_text", match_form(F.col("_raw")))
+    return found.join(q.select(quote_id, "_quote"), quote_id).filter(F.contains("_text", F.col("_quote"))).select(quote_id, text_id).distinct()
 
 
 def downgrade(skills: Column) -> Column:
