@@ -8,6 +8,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from screenloom.plans.derived import load
 from screenloom.sources import files
@@ -75,7 +76,7 @@ def sniff_mime(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", files.sniff_mime(content).alias("f")).select("doc_id", "f.mime", "f.reason", "f.offset")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def archived(text: pd.Series, kind: pd.Series) -> pd.Series:
     """Archives of two entries, the first deflated; but for the first kind each has a fault of its own."""
 
