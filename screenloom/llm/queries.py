@@ -214,7 +214,42 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(
 FROM texts LEFT JOIN listed USING (r)
 """
 
+#: crc32 a byte at a time, with a table that follows from its polynomial.
+_OP12 = r"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t
+), texts AS (
+  SELECT row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text FROM benchmark
+), words AS (
+  SELECT r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), counted AS (
+  SELECT r, f, count(*) AS n FROM (
+    SELECT r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS f FROM words
+  ) GROUP BY ALL
+), kinds AS (
+  SELECT f, flatten(list_transform(string_split(f, ''), lambda c: CASE
+    WHEN unicode(c) < 128 THEN [unicode(c)] WHEN unicode(c) < 2048 THEN [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)]
+    WHEN unicode(c) < 65536 THEN [224 + (unicode(c) >> 12), 128 + ((unicode(c) >> 6) & 63), 128 + (unicode(c) & 63)]
+    ELSE [240 + (unicode(c) >> 18), 128 + ((unicode(c) >> 12) & 63), 128 + ((unicode(c) >> 6) & 63), 128 + (unicode(c) & 63)] END)) AS bytes
+  FROM (SELECT DISTINCT f FROM counted)
+), features AS (
+  SELECT r, n, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM counted JOIN kinds USING (f), tab
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT bucket, coalesce(sum(n) FILTER (r > 0), 0) AS s, coalesce(sum(n) FILTER (r < 0), 0) AS t FROM features GROUP BY bucket), (SELECT coalesce(sum(n) FILTER (r > 0), 0) AS all_s, coalesce(sum(n) FILTER (r < 0), 0) AS all_t FROM features)
+), weights AS (
+  SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM features JOIN gains USING (bucket) GROUP BY r
+), scored AS (
+  SELECT doc_id, len(w) >= 20 AS part, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5e0) / 4294967296e0)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (r) WHERE r > 0
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN part AND place <= (SELECT 5 * count(*) // 100 FROM scored WHERE part) THEN place END AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY score DESC, doc_id) AS place FROM scored)
+"""
+
 ORACLE_SQL = {
+    "op12_importance_resample": _OP12,
     "op13_secret_scan": _OP13,
     "op7_nearest_neighbours": _OP7,
     "op9_quality_rules": _OP9,
