@@ -325,10 +325,15 @@ def alike_in_size(a: Column, b: Column) -> Column:
     return F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-6
 
 
-def grouped(met: DataFrame, links: DataFrame, work: Work) -> DataFrame:
-    """The rows of met that meet others, with the groups that the links make as `root`."""
+def grouped(rows: DataFrame, links: DataFrame, work: Work) -> DataFrame:
+    """rows (with h and others) with the groups that the links make as `root`; a text that has no link is a group
+    by itself. A text's few rows and its root meet in a window."""
     roots = components(links, work=work).withColumnRenamed("node", "h")
-    return meeting(met.drop("root").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")))
+    rows = rows.drop("root")
+    told = roots.select("h", *(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name != "h"), F.col("root").alias("_told"))
+    both = rows.withColumn("_told", F.lit(None).cast("long")).unionByName(told)
+    both = both.withColumn("root", F.coalesce(F.max("_told").over(Window.partitionBy("h")), "h"))
+    return both.filter("_told IS NULL").drop("_told")
 
 
 def crowds(met: DataFrame, work: Work) -> DataFrame:
@@ -347,9 +352,11 @@ def similar_links(docs: DataFrame, rows: DataFrame, sure: DataFrame, id_col: str
     size = (F.shiftleft(F.col("n").cast("long"), 32) + F.col("own") + F.lit(1 << 31)).alias("size")  # both in one number, for the shuffle
     own = F.col("size").bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)
     each = F.explode(F.arrays_zip("firsts", "places")).alias("e")
-    firsts = rows.filter("firsts IS NOT NULL").select("h", size, each).select("h", "size", F.col("e.firsts").alias("shingle"), F.when(own < 0, F.col("e.places")).otherwise(0).alias("place"))
-    met = meeting(firsts.repartition("shingle").withColumn("root", F.col("h"))).dropDuplicates(["shingle", "h"])
-    met = work.table(met.select("shingle", "h", "place", F.shiftright("size", 32).cast("int").alias("n"), own.cast("int").alias("own"), "root"), "met")
+    texts = work.table(grouped(rows.filter("firsts IS NOT NULL").select("h", size, "firsts", "places"), sure, work), "grouped")
+    firsts = texts.select("h", "size", "root", F.when(own >= 0, F.col("firsts")).alias("sketch"), each)
+    firsts = firsts.select("h", "size", "root", "sketch", F.col("e.firsts").alias("shingle"), F.when(own < 0, F.col("e.places")).otherwise(0).alias("place"))
+    met = meeting(firsts.repartition("shingle")).dropDuplicates(["shingle", "h"])
+    met = work.table(met.select("shingle", "h", "place", F.shiftright("size", 32).cast("int").alias("n"), own.cast("int").alias("own"), "root", "sketch"), "met")
     links, turn, before = sure, 0, math.inf
     while True:
         shingles = crowds(met, work)
@@ -365,14 +372,19 @@ def similar_links(docs: DataFrame, rows: DataFrame, sure: DataFrame, id_col: str
         met = work.table(grouped(met, links, work), "met", instead_of=met)
         turn, before = turn + 1, n["pairs"]
     # the texts of a shingle's largest group don't meet each other here, but all others
-    sides = [met.select("shingle", *(F.col(c).alias(f"{c}_{e}") for c in FACTS)) for e in ("a", "b")]
+    sides = [met.select("shingle", *(F.col(c).alias(f"{c}_{e}") for c in (*FACTS, "sketch"))) for e in ("a", "b")]
     outside = sides[0].join(shingles.select("shingle", "large"), "shingle").filter(F.col("root_a") != F.col("large"))
     once = (F.col("root_b") == F.col("large")) | (F.col("h_a") < F.col("h_b"))
-    both = outside.join(sides[1], "shingle").filter(once & (F.col("root_a") != F.col("root_b")) & alike_in_size(F.col("n_a"), F.col("n_b")) & can_be_alike("a", "b"))
+    alike = (F.col("root_a") != F.col("root_b")) & alike_in_size(F.col("n_a"), F.col("n_b")) & can_be_alike("a", "b")
+    # two sketches tell how much they share, and the pair is made at the least shingle of it
+    both_have = F.array_intersect("sketch_a", "sketch_b")
+    sketched = F.col("sketch_a").isNotNull() & F.col("sketch_b").isNotNull()
+    least = F.coalesce((F.size(both_have) >= shares(F.col("own_a"), F.col("own_b"))) & (F.array_min(both_have) == F.col("shingle")), F.lit(False))
+    both = outside.join(sides[1], "shingle").filter(once & alike & (~sketched | least))
     turned = lambda c, e, f: F.when(F.col("h_a") < F.col("h_b"), F.col(f"{c}_{e}")).otherwise(F.col(f"{c}_{f}")).alias(f"{c}_{e}")
-    both = both.select("shingle", *(turned(c, *ends) for c in ("h", "own") for ends in ("ab", "ba")))
-    often = both.groupBy(F.col("h_a").alias("a"), F.col("h_b").alias("b"), "own_a", "own_b").agg(F.count(F.lit(1)).alias("times"), F.min("shingle").alias("shingle"))
-    pairs = often.filter(F.col("times") >= shares(F.col("own_a"), F.col("own_b"))).select("a", "b", "shingle")
+    both = both.select("shingle", sketched.alias("told"), *(turned(c, *ends) for c in ("h", "own") for ends in ("ab", "ba")))
+    often = both.groupBy(F.col("h_a").alias("a"), F.col("h_b").alias("b"), "told", "own_a", "own_b").agg(F.count(F.lit(1)).alias("times"), F.min("shingle").alias("shingle"))
+    pairs = often.filter(F.col("told") | (F.col("times") >= shares(F.col("own_a"), F.col("own_b")))).select("a", "b", "shingle")
     return work.table(links.union(verified(pairs, docs, rows, id_col, text_col, work)), "links", instead_of=links)
 
 
