@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 NOTHING = "—"
 
 
+def one_decimal(c: Column) -> Column:
+    """c with one decimal; of two that are as near, the even one, as printf has it (Java takes the larger)."""
+    return F.format_string("%.1f", F.bround(c, 1))
+
+
 def score_text(c: Column) -> Column:
-    return F.when(c.isNull() | F.isnan(c), NOTHING).otherwise(F.format_string("%.1f", c))
+    return F.when(c.isNull() | F.isnan(c), NOTHING).otherwise(one_decimal(c))
 
 
 def bytes_text(c: Column) -> Column:
@@ -17,9 +22,9 @@ def bytes_text(c: Column) -> Column:
     return (
         F.when(c.isNull(), NOTHING)
         .when(c < 1024, F.concat(c.cast("string"), F.lit(" B")))
-        .when(kb < 10, F.format_string("%.1f KB", kb))
+        .when(kb < 10, F.concat(one_decimal(kb), F.lit(" KB")))
         .when(kb < 1024, F.format_string("%.0f KB", kb))
-        .otherwise(F.format_string("%.1f MB", kb / 1024))
+        .otherwise(F.concat(one_decimal(kb / 1024), F.lit(" MB")))
     )
 
 

@@ -9,7 +9,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from screenloom.functions import dates, markup, profile, text
+from screenloom.functions import dates, display, markup, profile, text
 from screenloom.operators import evidence, experience, ingest, lifecycle, ranking, rules, scoring
 from screenloom.sources import files, replies, tables
 
@@ -395,3 +395,8 @@ def test_lines_of_word_documents():
     xml = '<w:p><w:r><w:t xml:space="preserve">a &amp; b</w:t><w:tab/><w:t>c<x/>d</w:t><w:t/><w:tabs><w:tab w:val="x"/></w:tabs></w:r><w:br w:type="page"/><w:t >e</w:t></w:p><w:p/><w:p /><w:p w:x="1"/><w:cr/>f<w:t>open'
     assert files.word_lines(xml) == ["a & b c<x/>d ", "e", "", "", "", ""]
     assert files.word_lines("") == [""] and files.word_lines("<") == [""] and files.word_lines("<w:t>a</w:t>") == ["a"]
+
+
+def test_sizes_round_ties_to_the_even_digit(spark):
+    # 262144 * 1237 bytes are 309.25 MB; Java would make 309.3 of it
+    assert values(spark, [262144 * 1237, 262144 * 1239, 1024 + 256, 1024 + 768, 5], display.bytes_text, "long") == ["309.2 MB", "309.8 MB", "1.2 KB", "1.8 KB", "5 B"]
