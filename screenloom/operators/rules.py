@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from screenloom.functions.dates import is_expired
-from screenloom.functions.text import composed_names, equals_exact, holds_words
+from screenloom.functions.text import composed_names, equals_exact, holds_words, let
 
 PASS, FAIL, INDETERMINATE = "pass", "fail", "indeterminate"
 #: The ladder of education, lowest first.
@@ -187,14 +187,18 @@ def eliminates(result: Column, on_missing: Column) -> Column:
 
 def report(profile: Column, rules: Column, now: Column, details: bool = False, why_no_years: Column | None = None) -> Column:
     """struct<eliminated, eliminatedBy, failures, indeterminate, hasIndeterminate, results> for rules in
-    role order. With `details` each result says why, in words."""
+    role order. With `details` each result says why, in words. The rules are judged once, whatever is read of it."""
 
     def result(r: Column) -> Column:
         found = outcome(profile, r, now)
         why = [detail(profile, r, now, why_no_years).alias("detail")] if details else []
         return F.struct(r["id"].alias("id"), r["label"].alias("label"), r["type"].alias("type"), r["on_missing"].alias("on_missing"), found.alias("outcome"), *why)
 
-    results = F.transform(F.transform(rules, result), lambda r: r.withField("eliminates", F.coalesce(eliminates(r["outcome"], r["on_missing"]), F.lit(False))))
+    return let(F.transform(F.transform(rules, result), lambda r: r.withField("eliminates", F.coalesce(eliminates(r["outcome"], r["on_missing"]), F.lit(False)))), summed)
+
+
+def summed(results: Column) -> Column:
+    """The struct of report(), of the results of all rules."""
     out = lambda which: F.transform(F.filter(results, lambda r: which(r)), lambda r: r["label"])
     fatal = out(lambda r: r["eliminates"])
     unknown = out(lambda r: r["outcome"] == INDETERMINATE)

@@ -19,6 +19,14 @@ def load(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt over all cores, some tasks each: rows that are short but costly lie in one task's split of a file,
+    and Spark would put small shuffled partitions together again if their number weren't given."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, key)
+
+
 def criteria(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p, p, label, w) for p, label, w in CRITERIA], "criterion_id int, position int, label string, weight int")
 
@@ -77,7 +85,7 @@ def uploads(spark: SparkSession, d: str) -> DataFrame:
 
 def profiles(spark: SparkSession, d: str) -> DataFrame:
     """A profile for each customer, with gaps of every kind."""
-    c = load(spark, d, "customer")
+    c = spread(load(spark, d, "customer"), "c_custkey")
     k = F.col("c_custkey")
     pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
     skill = F.struct(pick(SKILLS, k).alias("name"), F.when(k % 2 == 0, "demonstrated").otherwise("listed").alias("evidenceType"))

@@ -400,3 +400,18 @@ def test_lines_of_word_documents():
 def test_sizes_round_ties_to_the_even_digit(spark):
     # 262144 * 1237 bytes are 309.25 MB; Java would make 309.3 of it
     assert values(spark, [262144 * 1237, 262144 * 1239, 1024 + 256, 1024 + 768, 5], display.bytes_text, "long") == ["309.2 MB", "309.8 MB", "1.2 KB", "1.8 KB", "5 B"]
+
+
+def test_rules_are_judged_once_and_on_all_cores(spark):
+    from screenloom.plans.profile_plans import _judged
+
+    rows = _judged(spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism  # one file, a few KB
+    got = rows.select(rules.report(F.col("profile"), F.col("rules"), F.lit(NOW)).alias("r")).select("r.eliminated", "r.eliminatedBy", "r.failures", "r.hasIndeterminate")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("unknown rule type") == 1
+
+
+def test_names_are_composed_beside_lists_in_ascii_and_null_ones(spark):
+    rows = spark.createDataFrame([(0, [("ﬁn",), (None,)]), (1, [("b",)]), (2, None), (3, [])], "i int, x array<struct<name:string>>")
+    got = rows.orderBy("i").select(text.composed_names(F.col("x")).alias("x")).collect()
+    assert [r["x"] if r["x"] is None else [e["name"] for e in r["x"]] for r in got] == [["fin", None], ["b"], None, []]
