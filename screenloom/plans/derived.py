@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenloom.operators.scoring import tier
+from screenloom.sources.tables import small_batches
 
 #: Weights and labels of the six criteria.
 CRITERIA = ((1, "domain", 30), (2, "depth", 20), (3, "delivery", 20), (4, "communication", 15), (5, "tooling", 10), (6, "context", 5))
 #: June 1996 as a month index: the clock of the work histories.
 NOW = 1996 * 12 + 5
 SKILLS = ("PostgreSQL administration", "Java", "C++", "Node.js", "C#")
+#: Tables whose rows hold texts of any length.
+TEXTS = ("documents", "pages", "conversations")
 LEVELS = ("none", "high_school", "associate", "bachelors", "masters", "doctorate")
 
 
 def load(spark: SparkSession, d: str, name: str) -> DataFrame:
+    if name in TEXTS:
+        small_batches(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 

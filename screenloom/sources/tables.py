@@ -23,6 +23,23 @@ LIST_COLUMNS = ("id", "role_id", "job_id", "original_filename", "candidate_name"
 STATUS_COLUMNS = ("id", "status", "candidate_name", "eliminated", "match_score", "fit_category", "error_code", "error_message", "attempts", "updated_at")
 
 
+#: Rows, and bytes, of an Arrow batch that goes to Python, where a session has no setting of its own. A batch of Spark's
+#: 10,000 texts is held several times over by each task.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: What they are in a session that doesn't say.
+UNSET = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000"}
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches bounded in rows and bytes, so that a Python worker's memory doesn't grow with
+    what its task reads."""
+    own = {e.key: e.value for e in spark.sql("SET").select("key", "value").collect() if e.key in BATCHES}
+    for key, value in BATCHES.items():
+        if own.get(key, UNSET.get(key)) == UNSET.get(key):
+            spark.conf.set(key, value)
+    return spark
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the cluster's shared folder (spark.checkpoint.dir); a session on one machine that
     names none, as in tests, gets a temporary one."""

@@ -415,3 +415,25 @@ def test_names_are_composed_beside_lists_in_ascii_and_null_ones(spark):
     rows = spark.createDataFrame([(0, [("ﬁn",), (None,)]), (1, [("b",)]), (2, None), (3, [])], "i int, x array<struct<name:string>>")
     got = rows.orderBy("i").select(text.composed_names(F.col("x")).alias("x")).collect()
     assert [r["x"] if r["x"] is None else [e["name"] for e in r["x"]] for r in got] == [["fin", None], ["b"], None, []]
+
+
+def test_batches_of_texts_are_small_unless_the_session_says(spark):
+    from screenloom.plans import derived
+
+    keys = list(tables.BATCHES)
+    for key in keys:
+        spark.conf.unset(key)
+    sizes = F.pandas_udf(lambda x: x * 0 + len(x), "long", F.PandasUDFType.SCALAR)
+    try:
+        derived.load(spark, "/root/testdata/sf0.001", "documents")
+        rows = spark.range(5000, numPartitions=1)
+        assert rows.select(sizes("id").alias("n")).agg(F.max("n")).first()[0] == 1000
+        wide = spark.range(100, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("t"))
+        lengths = F.pandas_udf(lambda t: t.str.len() * 0 + len(t), "long", F.PandasUDFType.SCALAR)
+        assert wide.select(lengths("t").alias("n")).agg(F.max("n")).first()[0] < 10
+        spark.conf.set(keys[0], "77")
+        derived.load(spark, "/root/testdata/sf0.001", "documents")
+        assert spark.conf.get(keys[0]) == "77"
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
