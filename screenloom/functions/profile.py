@@ -94,11 +94,15 @@ def entries_of(c: Column, name: str) -> Column:
     named = fields[0] == "name"
 
     def one(e: Column, i: Column) -> Column:
+        # each text is folded once, and all that is said of it reads that
+        return let(F.struct(*(blank_to_null(e[f]).alias(f) for f in fields if f not in CLOSED)), lambda t: told(e, i, t))
+
+    def told(e: Column, i: Column, folded: Column) -> Column:
         at = F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]"))
-        blank = blank_to_null(e["name"]).isNull() if named else F.lit(False)
+        blank = folded["name"].isNull() if named else F.lit(False)
         values, log = [], [change(blank, at, DROPPED, "blank_name")]
         for f in fields:
-            tidy = e[f] if f in CLOSED else blank_to_null(e[f])
+            tidy = e[f] if f in CLOSED else folded[f]
             path = F.concat(at, F.lit(f".{f}"))
             if f == "evidenceQuote":
                 shown = F.coalesce(e["evidenceType"] == "demonstrated", F.lit(False))
@@ -134,7 +138,14 @@ def normalised(wire: Column) -> Column:
     text tidied, what can't be read null, entries without a name gone, skills merged; and the log of what
     was taken away: field (such as workHistory[2].title), action and reason, in the order of WIRE.
 
-    A list that is absent stays null, and one that is empty stays empty. Blank parts of a location are not logged."""
+    A list that is absent stays null, and one that is empty stays empty. Blank parts of a location are not logged.
+    The profile is put together once, and not where each of its fields is read."""
+    keys = F.transform(composed_names(wire["skills"]), lambda e: match_form(e["name"], compose=False))
+    return let(F.struct(wire.alias("wire"), keys.alias("keys")), lambda x: walked(x["wire"], x["keys"]))
+
+
+def walked(wire: Column, keys: Column) -> Column:
+    """As normalised(), with the names of skills in match form as keys."""
     values, log = {}, []
     for name, kind in WIRE.items():
         if kind == "string" and not name.startswith("location"):
@@ -148,7 +159,6 @@ def normalised(wire: Column) -> Column:
     implausible = change(years.isNotNull() & stated_years(years).isNull(), "statedYearsExperience", INVALID, "implausible")
     log.append(F.array_compact(F.array(unread, implausible)))
     lists = [name for name, kind in WIRE.items() if not isinstance(kind, str)]
-    keys = F.transform(composed_names(wire["skills"]), lambda e: match_form(e["name"], compose=False))
     done = F.struct(*(entries_of(wire[name], name).alias(name) for name in lists), keys.alias("keys"))
 
     def built(done: Column) -> Column:

@@ -241,7 +241,7 @@ _STATED = "CASE WHEN c_custkey % 3 = 0 THEN c_custkey / 7e0 WHEN c_custkey % 3 =
 def wire_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Profiles as they come in: customers, with their orders as entries of the four lists."""
     each = D.load(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("k"))
-    people = D.load(spark, d, "customer").select("c_custkey", "c_name")
+    people = D.spread(D.load(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey")
     for n, (name, fields) in enumerate(_LISTS.items()):
         entry = F.struct(*(F.expr(v).alias(f) for f, v in fields.items()))
         own = each.filter(F.col("k") % 4 == n).withColumn("k", F.floor(F.col("k") / 4)).select("c_custkey", "k", entry.alias("e"))

@@ -437,3 +437,10 @@ def test_batches_of_texts_are_small_unless_the_session_says(spark):
     finally:
         for key in keys:
             spark.conf.unset(key)
+
+
+def test_profiles_are_walked_on_all_cores(spark):
+    from screenloom.plans.profile_plans import wire_profiles
+
+    rows = wire_profiles(spark, "/root/testdata/sf0.001")  # one file, a few KB
+    assert rows.select("person", profile.normalised(F.col("wire")).alias("n")).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
