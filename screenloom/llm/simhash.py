@@ -7,9 +7,11 @@ it. Over 64 bits that is 2,081 variants a fingerprint. So the balls are first la
 of the bits: of the three thirds, the one that differs most holds at least two of four differing
 bits, and the other two at most two. Each fingerprint emits, for each third left out, the 44 or so
 variants of the rest within one bit: 132 rows. Few fingerprints meet anybody there. Where two meet
-at a variant the pair is verified. Where more meet, all of them emit their full balls of 2,081
+at a variant the pair is verified. Where more meet, all are first compared with one of them. What is
+then in one group needs no more links; where few are outside a crowd's largest group, these are
+compared with all others there, and where many are, all of that crowd emit their full balls of 2,081
 variants, in which meeting is proof and each variant is linked to one of those that meet there; no
-pairs are made within a group. Equal fingerprints are one node throughout. All links are found.
+pairs are made within a group. Equal fingerprints are one node throughout. All components are found.
 
 Defined results: null, empty or blank text has no word and fingerprint zero, and links like any
 other; repeated rows and null ids are documents like others, and a component's id is its smallest
@@ -46,6 +48,8 @@ LIGHT, SKETCH, SHARED = 0.7, 16, 2
 BLOCK_TEXTS = 64
 #: What goes with a text where it meets others.
 FACTS = ("h", "n", "own", "place", "root")
+#: From more than so many fingerprints outside a crowd's largest group on, the crowd's full balls are laid.
+OUTSIDE = 16
 IS_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 #: The bits of the three thirds.
 THIRDS = tuple(range(0, 21)), tuple(range(21, 42)), tuple(range(42, 64))
@@ -125,19 +129,38 @@ def apart(a: str, b: str) -> Column:
 def links(fps: DataFrame, work: Work) -> DataFrame:
     """Distinct fingerprints (fp) to links (a, b) that join up all of their components."""
     met = work.table(met_at_variants(fps), "variants")
-    pairs = met.filter("n = 2").select("a", "b").distinct().filter(apart("a", "b") <= RADIUS)
+    pairs = met.filter("n = 2").select("a", "b")
     # who met in a crowd: the balls around the crowded variants lead back to the fingerprints
     # (dealt out anew before each explosion, since crowds lie in a few of the written files)
-    crowds = met.filter("n > 2").select("variant").repartition("variant")
+    crowds = met.filter("n > 2").select("variant", F.col("a").alias("center")).repartition("variant")
     whose = [F.when(F.col("variant").bitwiseAND(F.lit(out)) == F.lit(out), longs(each)).otherwise(longs([])) for out, each in zip(OUT, BALLS, strict=True)]
-    back = crowds.select(F.explode(F.transform(F.concat(*whose), lambda m: m.bitwiseXOR(F.col("variant")))).alias("rest")).distinct()
+    back = crowds.select("variant", "center", F.explode(F.transform(F.concat(*whose), lambda m: m.bitwiseXOR(F.col("variant")))).alias("rest"))
     rests = fps.select("fp", F.explode(F.array(*(F.col("fp").bitwiseOR(F.lit(out)) for out in OUT))).alias("rest"))
-    dense = work.table(rests.join(back, "rest", "left_semi").select("fp").distinct(), "dense")
+    members = work.table(rests.join(back, "rest").select("variant", "fp", "center").distinct(), "members")
+    stars = members.select(F.col("fp").alias("a"), F.col("center").alias("b")).filter("a <> b")
+    sure = work.table(pairs.union(stars).filter(apart("a", "b") <= RADIUS).distinct(), "sure_pairs")
+    return sure.union(links_across(members, components(sure, work=work), work))
+
+
+def links_across(members: DataFrame, roots: DataFrame, work: Work) -> DataFrame:
+    """Links (a, b) between fingerprints (fp) that meet at a variant (members) and aren't in one
+    group by their roots: pairs where few are outside a crowd's largest group, else by full balls."""
+    groups = roots.withColumnRenamed("node", "fp")
+    rows = work.table(members.select("variant", "fp").join(groups, "fp", "left").select("variant", "fp", F.coalesce("root", "fp").alias("root")), "crowds")
+    sizes = rows.groupBy("variant", "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("variant").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("large"))
+    split = work.table(sizes.select("variant", F.col("large.root").alias("large"), (F.col("n") - F.col("large.n")).alias("outside")).filter("outside > 0"), "split")
+    # every pair of a crowd's groups has one outside the largest, so these are OUTSIDE rows a member at most
+    outside = rows.join(split.filter(F.col("outside") <= OUTSIDE), "variant").filter("root <> large")
+    outside = outside.select("variant", F.col("fp").alias("a"), F.col("root").alias("root_a"))
+    others = rows.select("variant", F.col("fp").alias("b"), F.col("root").alias("root_b"))
+    near = outside.join(others, "variant").filter((F.col("root_a") != F.col("root_b")) & (apart("a", "b") <= RADIUS)).select("a", "b")
+    dense = work.table(rows.join(split.filter(F.col("outside") > OUTSIDE), "variant", "left_semi").select("fp").distinct(), "dense")
     full = dense.repartition("fp").select("fp", around("fp", ball(tuple(range(64)), RADIUS // 2)).alias("variant"))
     # at most 2,081 fingerprints can meet at a variant of 64 bits, so the lists are bounded
     stars = full.groupBy("variant").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-    stars = stars.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).filter("a <> b").distinct()
-    return pairs.union(stars)
+    stars = stars.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).filter("a <> b")
+    return near.union(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -242,6 +242,40 @@ def test_links_join_up_planted_balls(spark):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
 
 
+def test_crowds_of_near_copies_lay_few_balls(spark, monkeypatch):
+    """A large crowd around one fingerprint needs no full balls, and those beside it are found either way."""
+    from screenloom.llm.common import Work
+    from screenloom.llm.graph import components
+
+    made = Counter()
+
+    class Counted(Work):
+        def table(self, df, name, instead_of=None):
+            out = super().table(df, name, instead_of)
+            made[name] += out.count()
+            return out
+
+    r = random.Random(13)
+    start = r.getrandbits(64)
+    fps = {start ^ sum(1 << b for b in r.sample(range(64), r.randrange(3))) for _ in range(300)}
+    beside = [f ^ (0b111 << k) for k, f in enumerate(sorted(fps)[:20])]
+    fps = sorted(fps | set(beside) | {f ^ (1 << 40 | 1 << 50) for f in beside})
+    df = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
+    want = defaultdict(set)
+    for f, root in zip(fps, slow_components(fps), strict=True):
+        want[root].add(f)
+    for most, dense in ((simhash.OUTSIDE, False), (0, True)):
+        monkeypatch.setattr(simhash, "OUTSIDE", most)
+        made.clear()
+        with Counted(spark) as work:
+            roots = {x.node & (1 << 64) - 1: x.root for x in components(simhash.links(df, work), work=work).collect()}
+        got = defaultdict(set)
+        for f in fps:
+            got[roots.get(f, ("alone", f))].add(f)
+        assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
+        assert made["members"] > len(fps) and (made["dense"] > 0) == dense
+
+
 def test_keep_one_of_each_group(docs):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
