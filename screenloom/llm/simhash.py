@@ -22,6 +22,7 @@ ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,10 +39,12 @@ from .hashing import Stretches, gram_hashes, parts, runs_of
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: For the groups of keep_one(): the similarity of shingles from which texts are near duplicates.
 CHECK_SHINGLE, SIMILARITY = 5, 0.8
-#: How many characters of texts tell which shingles are common, from how often on; and beyond how many
-#: pairs for each shingle of a text those that meet are first compared with one of them. They decide on
-#: cost only.
-SAMPLE_CHARS, COMMON, PAIRS = 30_000_000, 3, 16
+#: A shingle is common if it is in COMMON texts or more for every so many characters of all texts; and beyond
+#: how many pairs for each shingle of a text those that meet are first compared with one of them. They
+#: decide on cost only.
+COMMON_CHARS, COMMON, PAIRS = 30_000_000, 3, 16
+#: Shingles are first counted in so many buckets, which are summed up in parts.
+BUCKETS, BUCKETS_PART = 1 << 22, 1 << 16
 #: See signature() and shares().
 LIGHT, SKETCH, SHARED = 0.7, 16, 2
 #: Texts in a block, of which two meet at a time to be compared.
@@ -195,21 +198,61 @@ def text_key(text_col: str) -> Column:
     return F.xxhash64(F.col(text_col).cast("string"))
 
 
-def common_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
-    """The shingles, in order, that occur COMMON times or more in a sample of texts of about
-    SAMPLE_CHARS characters in all, which bounds what reaches the driver."""
-    rows = docs.select(text_key(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+def bucket_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def full_buckets(texts: DataFrame, least: int) -> np.ndarray:
+    """For each bucket, whether the texts have `least` shingles or more in it. A task sends its counts in
+    parts, squeezed, and the sums of a part are added up as they come."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int32)
+        for batch in batches:
+            kinds, n = np.unique(bucket_of(np.concatenate(sets_of(batch.column(0).to_pylist(), CHECK_SHINGLE))), return_counts=True)
+            counts[kinds] += n.astype(np.int32)
+        for k in range(0, BUCKETS, BUCKETS_PART):
+            if (part := counts[k : k + BUCKETS_PART]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // BUCKETS_PART], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["part", "counts"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total = sums.setdefault(part, np.zeros(BUCKETS_PART, np.int64))
+                total += np.frombuffer(zlib.decompress(counts.as_py()), np.int32)
+        bits = [np.packbits(total >= least).tobytes() for total in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array(bits, pa.binary())], ["part", "bits"])
+
+    parts_of = in_batches(texts).mapInArrow(count, "part int, counts binary").repartition("part")
+    full = np.zeros(BUCKETS, bool)
+    for row in parts_of.mapInArrow(add_up, "part int, bits binary").collect():
+        full[row.part * BUCKETS_PART : (row.part + 1) * BUCKETS_PART] = np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
+    return full
+
+
+def common_shingles(docs: DataFrame, id_col: str, text_col: str, work: Work) -> np.ndarray:
+    """The shingles, in order, that occur in COMMON texts or more for every COMMON_CHARS characters, counted
+    over all texts; of equal ones those of the least id count. Their share bounds what reaches the driver.
+
+    Shingles are counted by bucket first, so that only those of buckets that are full enough, which hold
+    all common ones, are counted by themselves and shuffled."""
+    rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    share = min(1.0, SAMPLE_CHARS / max(chars, 1))
-    rows = rows.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).dropDuplicates(["h"])
+    least = max(COMMON, math.ceil(COMMON * chars / COMMON_CHARS))
+    again = rows.groupBy(F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_id")).filter("_n > 1").select("_h", "_id")
+    texts = rows.join(work.table(again, "again"), F.col("h") == F.col("_h"), "left").filter(F.col("_h").isNull() | F.col("id").eqNullSafe(F.col("_id"))).select("text")
+    full = docs.sparkSession.sparkContext.broadcast(np.packbits(full_buckets(texts, least)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(full.value).astype(bool)
         for batch in batches:
-            kinds, n = np.unique(np.concatenate(sets_of(batch.column(0).to_pylist(), CHECK_SHINGLE)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n.astype(np.int64))], ["shingle", "n"])
+            found = np.concatenate(sets_of(batch.column(0).to_pylist(), CHECK_SHINGLE))
+            kinds, n = np.unique(found[held[bucket_of(found)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(n.astype(np.int64))], ["shingle", "n"])
 
-    counts = in_batches(rows.select("text")).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    found = counts.filter(F.col("n") >= COMMON).select("shingle").toArrow()
+    counts = in_batches(texts).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = counts.filter(F.col("n") >= least).select("shingle").toArrow()
     return np.sort(found.column(0).to_numpy())
 
 
@@ -420,7 +463,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     64-bit hashes: of different texts that collide in the first, one takes part in groups, and the
     others stay as documents of their own."""
     with Work(docs.sparkSession) as work:
-        rows = work.table(measured(docs, common_shingles(docs, text_col), id_col, text_col), "texts")
+        rows = work.table(measured(docs, common_shingles(docs, id_col, text_col, work), id_col, text_col), "texts")
         sure = work.table(text_links(rows, work), "sure")
         roots = components(similar_links(docs, rows, sure, id_col, text_col, work), work=work).withColumnRenamed("node", "h")
         first = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first")

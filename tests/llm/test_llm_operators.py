@@ -289,6 +289,24 @@ def test_keep_one_of_each_group(docs):
         assert r.doc_id is not None or all(x[0] is None for x, root in zip(all_rows, roots, strict=True) if root == of[None, r.text])
 
 
+def test_common_shingles_are_counted_over_all_texts(spark, monkeypatch):
+    from screenloom.llm.common import Work
+
+    r = random.Random(14)
+    rows = [(k, " ".join("w%02d" % r.randrange(3) for _ in range(r.randrange(4, 60)))) for k in range(300)]
+    rows += [(300, rows[7][1]), (None, rows[7][1]), (301, None), (302, ""), (None, None)]
+    texts = {t for _, t in rows}
+    counts = Counter(x for s in simhash.sets_of(sorted(texts, key=str), simhash.CHECK_SHINGLE) for x in s.tolist())
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    chars = sum(len(t or "") for _, t in rows)
+    for every in (chars, chars // 3, 30_000_000):
+        monkeypatch.setattr(simhash, "COMMON_CHARS", every)
+        least = max(simhash.COMMON, math.ceil(simhash.COMMON * chars / every))
+        with Work(spark) as work:
+            got = simhash.common_shingles(docs, "doc_id", "text", work)
+        assert got.tolist() == sorted(x for x, n in counts.items() if n >= least) and len(got) > 10
+
+
 def test_similar_texts_go_and_others_stay(spark):
     r = random.Random(8)
     base = [["w%05d" % r.randrange(10**5) for _ in range(150)] for _ in range(30)]
