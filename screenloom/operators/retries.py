@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from screenloom.sources.tables import shared_path
+
 from .lifecycle import STATUSES, backoff_ms, next_status
 from .replay import CHUNK, carried, replay
 
@@ -77,7 +79,8 @@ def poll_schedule(polls: DataFrame, key: str, order: list[str], ts: str = "ts",
     there is none (complete, not_found, failures, timeout); next_ms and since_change_ms are null from
     the stop on, and stop is told at the poll that brought it; those after it are `ignored`.
 
-    The clock runs from the last poll that succeeded with another signature than the one before it."""
+    The clock runs from the last poll that succeeded with another signature than the one before it. The
+    replayed rows are kept in the cluster's shared folder, which the result reads."""
     going = tuple(map(str, range(MAX_FAILURES)))
     began = polls.groupBy(F.col(key).alias("_first_of")).agg(F.min(millis(ts)).alias("_began"))
     rows = polls.join(began, F.col(key).eqNullSafe(F.col("_first_of"))).drop("_first_of").withColumn("_ms", millis(ts))
@@ -90,6 +93,10 @@ def poll_schedule(polls: DataFrame, key: str, order: list[str], ts: str = "ts",
         return F.when(state.isin(*going), then)
 
     rows = replay(rows, key, order, (*going, "complete", "not_found", "failures", "timeout"), step, going[0], chunk)
+    # written once: what follows reads the rows four times, and each time would replay the log again
+    path = shared_path(polls.sparkSession, "polls")
+    rows.write.option("compression", "zstd").parquet(path)
+    rows = polls.sparkSession.read.schema(rows.schema).parquet(path)
     told = F.when(~F.coalesce(F.col(failed), F.lit(False)), F.struct(F.col(signature).alias("is")))
     last = lambda c: F.last(c, ignorenulls=True)
     within = Window.partitionBy(key, "_chunk").orderBy("_at")

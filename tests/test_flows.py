@@ -109,6 +109,13 @@ def test_poll_schedule_in_small_pieces(spark):
     assert {x[-1] for x in whole} >= {None, "complete", "ignored"}
 
 
+def test_poll_schedule_replays_its_log_once(spark):
+    from screenloom.plans.flow_plans import polls
+
+    plan = retries.poll_schedule(polls(spark, DATA), "session", ["ts", "event_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically_increasing_id" not in plan and "events.parquet" not in plan
+
+
 @pytest.fixture
 def store(spark, tmp_path):
     return consumer.StoredTable(spark, str(tmp_path / "store"), snapshot=2)
