@@ -24,11 +24,10 @@ def parse_date(c: Column, compose: bool = True) -> Column:
 
     The text is split at its separators: a year alone, year and month (and day) in numbers, month and
     year in numbers, or a month's name and a year. Numbers are split by - or /, a name by one blank."""
-    return let(match_form(c, compose), date_of)
+    return let(match_form(c, compose), lambda text: let(F.split(text, "[-/ ]"), lambda parts: date_of(text, parts)))
 
 
-def date_of(text: Column) -> Column:
-    parts = F.split(text, "[-/ ]")
+def date_of(text: Column, parts: Column) -> Column:
     n = F.size(parts)
     at = lambda k: F.get(parts, F.lit(k))
     digits = lambda k, least, most: F.length(at(k)).between(least, most) & (F.translate(at(k), "0123456789", "") == "")

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from screenloom.functions.dates import is_expired
-from screenloom.functions.text import composed_names, equals_exact, holds_words, let
+from screenloom.functions.text import composed_lists, composed_names, folded, let, line
 
 PASS, FAIL, INDETERMINATE = "pass", "fail", "indeterminate"
 #: The ladder of education, lowest first.
@@ -31,8 +31,11 @@ def no_entries(entries: Column) -> Column:
     return entries.isNull() | (F.size(entries) == 0)
 
 
-def same_name(name: Column, sought: Column, mode: Column) -> Column:
-    return F.coalesce(F.when(mode == "exact", equals_exact(name, sought)).otherwise(holds_words(name, sought, compose=False)), F.lit(False))
+def same_name(sought: Column, mode: Column, body) -> Column:
+    """body(same), where same(name) is whether a name is the one sought, whose own form is made once for all names."""
+    exact = mode == "exact"
+    form = F.when(exact, folded(sought)).otherwise(F.nullif(line(sought), F.lit("  ")))
+    return let(form, lambda form: body(lambda name: F.coalesce(F.when(exact, folded(name) == form).otherwise(F.contains(line(name), form)), F.lit(False))))
 
 
 def min_years(profile: Column, rule: Column, now: Column) -> Column:
@@ -40,10 +43,14 @@ def min_years(profile: Column, rule: Column, now: Column) -> Column:
     return unless_missing(years.isNull(), passes(years >= rule["years"]))
 
 
+def demonstrated(skill: Column) -> Column:
+    return F.coalesce(skill["evidenceType"] == "demonstrated", F.lit(False))
+
+
 def required_skill(profile: Column, rule: Column, now: Column) -> Column:
-    found = F.filter(profile["skills"], lambda s: same_name(s["name"], rule["skill"], rule["matchMode"]))
-    shown = F.exists(found, lambda s: F.coalesce(s["evidenceType"] == "demonstrated", F.lit(False)))
-    return unless_missing(no_entries(profile["skills"]), passes((F.size(found) > 0) & (~F.coalesce(rule["mustBeDemonstrated"], F.lit(False)) | shown)))
+    listed = ~F.coalesce(rule["mustBeDemonstrated"], F.lit(False))
+    found = same_name(rule["skill"], rule["matchMode"], lambda same: F.exists(profile["skills"], lambda s: (listed | demonstrated(s)) & same(s["name"])))
+    return unless_missing(no_entries(profile["skills"]), passes(found))
 
 
 def rank_of(level: Column) -> Column:
@@ -57,8 +64,8 @@ def required_education(profile: Column, rule: Column, now: Column) -> Column:
 
 
 def required_certification(profile: Column, rule: Column, now: Column) -> Column:
-    found = F.filter(profile["certifications"], lambda c: same_name(c["name"], rule["name"], rule["matchMode"]))
-    return unless_missing(no_entries(profile["certifications"]), passes(F.exists(found, lambda c: ~is_expired(c["expiryDate"], now, compose=False))))
+    current = same_name(rule["name"], rule["matchMode"], lambda same: F.exists(profile["certifications"], lambda c: same(c["name"]) & ~is_expired(c["expiryDate"], now, compose=False)))
+    return unless_missing(no_entries(profile["certifications"]), passes(current))
 
 
 def location_allowlist(profile: Column, rule: Column, now: Column) -> Column:
@@ -77,8 +84,11 @@ RULES = {
 
 def readable(profile: Column) -> Column:
     """The profile with what rules compare in NFKC. outcome() and report() take it so."""
-    skills, held = composed_names(profile["skills"]), composed_names(composed_names(profile["certifications"]), "expiryDate")
-    return profile.withField("skills", skills).withField("certifications", held)
+    each = lambda entries, field: F.transform(profile[entries], lambda e: e[field])
+    beyond, (skills, names, dates) = composed_lists(each("skills", "name"), each("certifications", "name"), each("certifications", "expiryDate"))
+    put = lambda entries, field, values: F.zip_with(entries, values, lambda e, v: e.withField(field, v))
+    composed = profile.withField("skills", put(profile["skills"], "name", skills)).withField("certifications", put(put(profile["certifications"], "name", names), "expiryDate", dates))
+    return F.when(beyond, composed).otherwise(profile)
 
 
 def readable_rules(rules: Column) -> Column:
@@ -140,8 +150,8 @@ def detail(profile: Column, rule: Column, now: Column, why_no_years: Column | No
     unknown = said("years of experience could not be determined from the CV", *([": ", why_no_years] if why_no_years is not None else []), " (rule asks for ", years, " years)")
     min_years_said = F.when(profile["computedYearsExperience"].isNull(), unknown).otherwise(said(known, " years computed from dates, minimum ", years))
 
-    found = F.filter(profile["skills"], lambda s: same_name(s["name"], rule["skill"], rule["matchMode"]))
-    shown = F.get(F.filter(found, lambda s: F.coalesce(s["evidenceType"] == "demonstrated", F.lit(False))), F.lit(0))["name"]
+    found = same_name(rule["skill"], rule["matchMode"], lambda same: F.filter(profile["skills"], lambda s: same(s["name"])))
+    shown = F.get(F.filter(found, demonstrated), F.lit(0))["name"]
     first = F.get(found, F.lit(0))["name"]
     skill_said = (
         F.when(no_entries(profile["skills"]), said("no skills were extracted, so ", quoted(rule["skill"]), " could not be checked"))
@@ -158,7 +168,7 @@ def detail(profile: Column, rule: Column, now: Column, why_no_years: Column | No
         .otherwise(said("highest education ", F.get(F.array(*map(F.lit, EDUCATION)), (highest - 1).cast("int")), ", minimum ", rule["level"]))
     )
 
-    held = F.filter(profile["certifications"], lambda c: same_name(c["name"], rule["name"], rule["matchMode"]))
+    held = same_name(rule["name"], rule["matchMode"], lambda same: F.filter(profile["certifications"], lambda c: same(c["name"])))
     current = F.get(F.filter(held, lambda c: ~is_expired(c["expiryDate"], now, compose=False)), F.lit(0))["name"]
     lapsed = F.get(held, F.lit(0))
     certification_said = (
@@ -182,7 +192,13 @@ def detail(profile: Column, rule: Column, now: Column, why_no_years: Column | No
 
 
 def eliminates(result: Column, on_missing: Column) -> Column:
-    return (result == FAIL) | ((result == INDETERMINATE) & (on_missing == "eliminate"))
+    return result.isin(F.lit(FAIL), F.when(on_missing == "eliminate", F.lit(INDETERMINATE)))
+
+
+def elimination(profile: Column, rules: Column, now: Column) -> Column:
+    """struct<eliminated, eliminatedBy> as in report(), of which only these two are made. All rules are judged."""
+    fatal = F.filter(rules, lambda r: F.coalesce(eliminates(outcome(profile, r, now), r["on_missing"]), F.lit(False)))
+    return let(fatal, lambda f: F.struct((F.size(f) > 0).alias("eliminated"), F.get(f, F.lit(0))["label"].alias("eliminatedBy")))
 
 
 def report(profile: Column, rules: Column, now: Column, details: bool = False, why_no_years: Column | None = None) -> Column:

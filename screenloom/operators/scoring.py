@@ -44,31 +44,48 @@ def tier(score: Column, eliminated: Column, check: bool = True) -> Column:
     )
 
 
-def reconcile(ratings: DataFrame, criteria: DataFrame, keys: list[str], criterion: str = "criterion_id", scope: list[str] | None = None, everyone: DataFrame | None = None) -> DataFrame:
+def reconcile(
+    ratings: DataFrame, criteria: DataFrame, keys: list[str], criterion: str = "criterion_id", scope: list[str] | None = None, everyone: DataFrame | None = None, scored: bool = False
+) -> DataFrame:
     """keys, verdict, duplicates, missing, unknown: how a set of ratings fits the criteria.
 
     A criterion rated twice is the first thing to be wrong, then one not rated; ratings of unknown
     criteria are dropped and only reported. criteria has one row a criterion; ratings are counted
     before they meet it. With `scope` (such as a role) both have these columns, and ratings are held
     against the criteria of their own scope; they are part of the result. `everyone` has a row for each
-    set that there should be (keys and scope): one without any rating lacks all criteria."""
+    set that there should be (keys and scope): one without any rating lacks all criteria. With `scored`
+    (ratings have a rating, criteria a weight) there are also raw, the weighted sum over known criteria,
+    and valid, whether all their ratings lie in 0..10; both are null where none is known.
+
+    The verdict is told from counts, so that no lists are made where none is read. Ratings that are dealt by
+    keys and scope already aren't shuffled."""
     scope = scope or []
     own, keys = [*scope, criterion], [*keys, *scope]
-    known = criteria.select(*own, F.lit(True).alias("_known"))
-    counts = ratings.groupBy(*keys, criterion).agg(F.count(F.lit(1)).alias("_n")).join(known, own, "left")
+    fit, sums = [], []
+    known = criteria.groupBy(*own).agg(F.lit(True).alias("_known"), *([F.sum("weight").alias("_weight")] if scored else []))
+    if scored:
+        good = F.coalesce(F.col("rating").between(0, RATING_MAX), F.lit(False))
+        fit = [F.sum("rating").alias("_rating"), F.min(good).alias("_good")]
+        sums = [F.sum(F.col("_rating") * F.col("_weight")).cast("long").alias("raw"), F.min(F.when(F.col("_known"), F.col("_good"))).alias("valid")]
+    counts = ratings.groupBy(*keys, criterion).agg(F.count(F.lit(1)).alias("_n"), *fit).join(known, own, "left")
     every = criteria.groupBy(*scope).agg(F.sort_array(F.collect_set(criterion)).alias("_every"))
     got = counts.groupBy(*keys).agg(
+        F.max(F.when(F.col(criterion).isNotNull(), F.col("_n"))).alias("_most"),
+        F.count("_known").alias("_fit"),
         F.sort_array(F.collect_list(F.when(F.col("_n") > 1, F.col(criterion)))).alias("duplicates"),
         F.collect_set(F.when(F.col("_known"), F.col(criterion))).alias("_rated"),
         F.sort_array(F.collect_list(F.when(F.col("_known").isNull(), F.col(criterion)))).alias("unknown"),
+        *sums,
     )
+    also = ["raw", "valid"] if scored else []
     if everyone is not None:
         nothing = F.array().cast(got.schema["duplicates"].dataType)
-        got = everyone.select(*keys).join(got, keys, "left").select(*keys, *(F.coalesce(c, nothing).alias(c) for c in ("duplicates", "_rated", "unknown")))
+        got = everyone.select(*keys).join(got.hint("merge"), keys, "left").select(*keys, "_most", "_fit", *(F.coalesce(c, nothing).alias(c) for c in ("duplicates", "_rated", "unknown")), *also)
     out = got.join(every, scope, "left") if scope else got.crossJoin(F.broadcast(every))
     out = out.withColumn("missing", F.sort_array(F.coalesce(F.array_except("_every", "_rated"), F.array().cast(every.schema["_every"].dataType))))
-    verdict = F.when(F.size("duplicates") > 0, "duplicate").when(F.size("missing") > 0, "missing").otherwise("ok")
-    return out.select(*keys, verdict.alias("verdict"), "duplicates", "missing", "unknown")
+    lacking = F.coalesce("_fit", F.lit(0)) < F.coalesce(F.size("_every"), F.lit(0))
+    verdict = F.when(F.col("_most") > 1, "duplicate").when(lacking, "missing").otherwise("ok")
+    return out.select(*keys, verdict.alias("verdict"), "duplicates", "missing", "unknown", *also)
 
 
 def matrix(ratings: DataFrame, criteria: DataFrame, keys: list[str], criterion: str = "criterion_id") -> DataFrame:

@@ -24,12 +24,15 @@ def load(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
     """df dealt over all cores, some tasks each: rows that are short but costly lie in one task's split of a file,
-    and Spark would put small shuffled partitions together again if their number weren't given."""
+    and Spark would put small shuffled partitions together again if their number weren't given. With `rows`, a task
+    gets about that many at most, however large df is."""
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return df.repartition(n, key)
+    if rows is not None:
+        n = max(n, -(-df.count() // rows))
+    return df.repartition(n, *keys)
 
 
 def criteria(spark: SparkSession) -> DataFrame:
